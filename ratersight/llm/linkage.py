@@ -2,8 +2,8 @@
 
 A bucket (an LSH band, a shared line segment) may hold a third of all items, so its pairs are never listed. Each bucket
 first pairs its members with one hub, the member with the most bucket mates. Buckets whose members are then in one
-component need nothing more. The rest compare blocks of members by their sketches, only across components, and pass on
-just the pairs that the sketches leave possible. Every passed pair is verified exactly by the caller.
+component need nothing more. The others are cut into blocks; a task takes two blocks, tries the pairs across components
+that the sketches leave possible, and gives only links that join components. Every link is verified exactly.
 """
 
 from __future__ import annotations
@@ -74,31 +74,74 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _compare_blocks(cut: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _confirm(prepare: Callable, linked: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, b, x, y), x and y being the payloads of a and b, that are links."""
+
+    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs: dict[int, object] = {}
+            keep = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), prepare(batch.column(3).to_pylist())):
+                if a not in hubs:
+                    if len(hubs) >= 64:
+                        hubs.clear()
+                    hubs[a] = next(iter(prepare([x.as_py()])))
+                keep.append(linked(hubs[a], y))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return confirm
+
+
+def _compare_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between different components inside each pair of blocks: possible pairs are tried from the nearest sketches
+    on, and a pair whose ends have been joined meanwhile is not tried, so a block gives fewer links than it has members."""
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "i", "j"]):
-            if t.num_rows < 2:
-                continue
             node, comp, block = (t.column(c).to_numpy() for c in ("node", "component", "block"))
+            if comp.min() == comp.max():
+                continue
             same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
             sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
+            found = []
             for x in range(len(node)):
-                near = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1) <= cut
-                near &= comp != comp[x]
-                near &= node > node[x] if same else block != block[x]
-                if near.any():
-                    other = node[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[x])), pa.array(np.maximum(other, node[x]))], names=["a", "b"])
+                apart = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1)
+                near = np.flatnonzero((apart <= cut) & (comp != comp[x]) & (node > node[x]) & (same | (block != block[x])))
+                if len(near):
+                    found.append(np.stack([apart[near], np.full(len(near), x), near]))
+            if not found:
+                continue
+            tries = np.concatenate(found, axis=1)
+            tries = tries[:, np.argsort(tries[0], kind="stable")]
+            full: list[object] = list(prepare(t.column("payload").to_pylist()))
+            joined = {c: c for c in comp.tolist()}
+
+            def root(c: int) -> int:
+                while joined[c] != c:
+                    joined[c] = c = joined[joined[c]]
+                return c
+
+            own, ids, links = comp.tolist(), node.tolist(), []
+            for x, y in zip(tries[1].tolist(), tries[2].tolist()):
+                a, b = root(own[x]), root(own[y])
+                if a != b and linked(full[x], full[y]):
+                    joined[max(a, b)] = min(a, b)
+                    links.append((ids[x], ids[y]))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return compare
 
 
-def link(nodes: DataFrame, buckets: DataFrame, cut: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def link(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFrame], DataFrame], prepare: Callable, linked: Callable) -> tuple[DataFrame, DataFrame]:
     """(links, components) of nodes (node long, sketch array<long>) that share a key in buckets (key long, node long).
 
-    cut: pairs whose sketches differ in more bits are not candidates. verify: takes candidate pairs (a, b) and returns
-    those that are links. links: verified pairs (a, b) that hold every component together; pairs inside a component that
-    is already connected are not tried. Empty inputs give empty results. buckets should be cheap to read twice."""
+    cut: pairs whose sketches differ in more bits are not candidates. fetch: takes nodes (node) and returns their payloads
+    (node, payload). prepare: makes of a list of payloads what linked compares, exactly, two at a time. links: verified
+    pairs (a, b), a < b, that hold every component together; pairs inside a component that is already connected are not
+    tried. Empty inputs give empty results. buckets should be cheap to read twice."""
+    spark = nodes.sparkSession
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     members = scratch.table(buckets.join(shared, "key").distinct(), "buckets")
     sizes = members.groupBy("key").agg((F.count("*") - 1).alias("mates"))
@@ -108,22 +151,27 @@ def link(nodes: DataFrame, buckets: DataFrame, cut: int, verify: Callable[[DataF
     pairs = members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     tried = scratch.table(near.filter(differing(F.col("x"), F.col("y")) <= cut).select("a", "b"), "pairs")
-    links = scratch.table(verify(tried), "links")
+    asked = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    payloads = scratch.table(fetch(bounded(asked)), "payloads")
+    full = tried.join(payloads.toDF("b", "y"), "b").join(payloads.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    links = scratch.table(full.mapInArrow(_confirm(prepare, linked), "a long, b long").distinct(), "links")
     found = scratch.table(components(links), "components")
 
+    # the hub has met all members of its bucket; the others are left
     rest = members.join(hubs, "key").filter("node <> hub").drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"))
+    split = split.filter("lo < hi").groupBy("n", "of").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = scratch.table(rest.join(split, "key"), "rest")
     if rest.isEmpty():
         return links, found
+    payloads = scratch.table(fetch(bounded(rest.select("node").distinct())), "payloads")
     rest = rest.join(nodes.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "component", "sketch", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    rest = rest.repartition(scratch.parts(rest.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.mapInArrow(_compare_blocks(cut), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.table(more, "pairs")
+    rest = rest.join(payloads, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "node", "component", "sketch", "payload", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rest = rest.repartition(scratch.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = scratch.table(rest.mapInArrow(_compare_blocks(cut, prepare, linked), "a long, b long").distinct(), "links")
     if more.isEmpty():
         return links, found
-    links = scratch.table(links.union(verify(more)), "links")
+    links = scratch.table(links.union(more), "links")
     return links, scratch.table(components(links), "components")

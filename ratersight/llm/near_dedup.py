@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
 from ratersight.llm.hashing import U32, U64, mix, shingle_sets
-from ratersight.llm.linkage import bounded, link
+from ratersight.llm.linkage import link
 
 
 @dataclass(frozen=True)
@@ -32,13 +32,16 @@ class Settings:
 
     @property
     def cut(self) -> int:
-        """Most sketch bits in which a pair at the threshold may differ, with slack.
+        """Most sketch bits in which a pair at the threshold may differ: the expected number and slack.
 
-        Of k samples, Binomial(k, 1 - J) differ and toggle two bits each; of m toggles in n bits, n/2 (1 - (1 - 2/n)^m) remain odd."""
-        k, j = self.bands * self.rows, self.percent / 100
-        m = 2 * min(k, k * (1 - j) + self.slack * (k * j * (1 - j)) ** 0.5)
-        mean = self.bits / 2 * (1 - (1 - 2 / self.bits) ** m)
-        return int(mean + self.slack * (self.bits / 4 * (1 - (1 - 4 / self.bits) ** m)) ** 0.5)
+        Of k samples, Binomial(k, 1 - J) differ and toggle two bits each; of m toggles in n bits, n/2 (1 - (1 - 2/n)^m)
+        remain odd. Both parts vary, and their deviations are joined."""
+        k, j, n = self.bands * self.rows, self.percent / 100, self.bits
+        m = 2 * k * (1 - j)
+        mean = n / 2 * (1 - (1 - 2 / n) ** m)
+        of_samples = (1 - 2 / n) ** m * 2 * (k * j * (1 - j)) ** 0.5
+        of_bits = (n / 4 * (1 - (1 - 4 / n) ** m)) ** 0.5
+        return int(mean + self.slack * (of_samples**2 + of_bits**2) ** 0.5) + 1
 
 
 def _hashers(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,23 +105,6 @@ def _sign(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
     return sign
 
 
-def _confirm(words: int, percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hubs: dict[int, np.ndarray] = {}
-            keep = []
-            for a, x, own in zip(batch.column(0).to_pylist(), batch.column(2), shingle_sets(batch.column(3).to_pylist(), words)):
-                if a not in hubs:
-                    if len(hubs) >= 64:
-                        hubs.clear()
-                    hubs[a] = next(shingle_sets([x.as_py()], words))
-                both = len(np.intersect1d(hubs[a], own, assume_unique=True))
-                keep.append(100 * both >= percent * (len(hubs[a]) + len(own) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs (doc_id, text; other columns are ignored).
 
@@ -133,14 +119,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     nodes = signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes.filter("node is not null"), "nodes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = scratch.table(docs.join(bounded(asked), "doc_id"), "texts")
-        b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_confirm(s.words, s.percent), "a long, b long").distinct()
+    def fetch(asked: DataFrame) -> DataFrame:
+        return docs.select(F.col("doc_id").alias("node"), F.col("text").alias("payload")).join(asked, "node")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < s.percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= s.percent * (len(x) + len(y) - both)
 
-    _, found = link(nodes, nodes.select(F.explode("bands").alias("key"), "node"), s.cut, verify)
+    buckets = nodes.select(F.explode("bands").alias("key"), "node")
+    _, found = link(nodes, buckets, s.cut, fetch, lambda texts: shingle_sets(texts, s.words), linked)
     of_set = nodes.select("hi", "lo", "node").join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
