@@ -105,7 +105,7 @@ def _compare_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[
             sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
             found = []
             for x in range(len(node)):
-                apart = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1)
+                apart = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1).astype(np.int64)
                 near = np.flatnonzero((apart <= cut) & (comp != comp[x]) & (node > node[x]) & (same | (block != block[x])))
                 if len(near):
                     found.append(np.stack([apart[near], np.full(len(near), x), near]))
