@@ -66,6 +66,8 @@ class ShardReader:
         docs = np.frombuffer(ranges.read(index_at, n * _DOC.itemsize), _DOC)
         self.docs = [d if known else None for known, d in docs.tolist()]
         self.begins = np.concatenate(([0], np.cumsum(self.entries["packed"], dtype=np.int64)))
+        if self.begins[-1] != index_at - 8:
+            raise ValueError("the seek table does not fit the frames")
         self.unpacker = zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
