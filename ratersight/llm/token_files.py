@@ -33,7 +33,7 @@ _DOC = np.dtype([("known", "<u4"), ("doc_id", "<i8")])
 class ShardWriter:
     """Appends documents' ids to an open stream; finish() writes the index and the seek table."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         self.out, self.packer = out, zstandard.ZstdCompressor(level=level)
         self.entries: list[tuple[int, int, int]] = []
         self.docs: list[tuple[bool, int]] = []

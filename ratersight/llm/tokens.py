@@ -10,6 +10,8 @@ import regex
 
 #: A text is cut at spaces that a non-space follows; elsewhere the whole text goes to the library.
 _UNSAFE = re.compile(r" (?=\s)|<\|")
+#: Beyond these, lower case and normal forms are left to the library; up to U+024F no letter changes with those around it.
+_OTHER = re.compile("[^ -~\\n\u00c0-\u024f]")
 #: Kept words of each generation; the older of two generations is dropped when the newer is full.
 KEPT = 300_000
 
@@ -47,14 +49,15 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """A unit of letters only."""
-        if word.isascii():
-            return self._ids(word.lower())
-        return self._slow(word)
+        return self._mixed(word)
 
     def _mixed(self, unit: str) -> bytes:
-        if unit.isascii() and unit.isprintable():
-            return b"".join([self[p] if p.isalpha() else self._ids(p) for p in self.split(unit.lower())])
-        return self._slow(unit)
+        if _OTHER.search(unit):
+            return self._slow(unit)
+        unit = unit.lower()
+        if unit.isalpha():
+            return self._ids(unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SHOWN))
+        return b"".join([self[p] if p.isalpha() else self._ids(p.encode().decode("latin-1").translate(_SHOWN)) for p in self.split(unit)])
 
     def _slow(self, text: str) -> bytes:
         if self.normalizer:
@@ -64,6 +67,10 @@ class Encoder:
     def _head(self, unit: str) -> bytes:
         return self[unit]
 
+    def _fold(self, text: str) -> str:
+        """text with fewer different units of the same ids."""
+        return text if _OTHER.search(text) else text.lower()
+
     def __getitem__(self, unit: str) -> bytes:
         got = self.new.get(unit)
         if got is None:
@@ -78,7 +85,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if _UNSAFE.search(text):
             return self._library(text)
-        head, *rest = text.split(" ")
+        head, *rest = self._fold(text).split(" ")
         try:
             ids = list(map(self.new.__getitem__, rest))
         except KeyError:
@@ -102,6 +109,9 @@ class Spaced(Encoder):
             return self[word]
         return self._ids(piece.encode().decode("latin-1").translate(_SHOWN))
 
+    def _fold(self, text: str) -> str:
+        return text
+
     def _head(self, unit: str) -> bytes:
         return b"".join([self._ids(p.encode().decode("latin-1").translate(_SHOWN)) for p in self.split(unit)])
 
