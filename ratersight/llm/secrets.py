@@ -63,7 +63,7 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Spark gives matches without their places, so these come from the pieces between: a match starts after all pieces and
     matches before it, a running sum over the match's number."""
-    hits = blobs.filter(F.col("text").rlike(_any(rules))).dropDuplicates(["blob"])
+    hits = blobs.dropDuplicates(["blob"])
 
     def lengths(rule: Rule):
         size = lambda x: F.transform(x, F.length)
@@ -95,10 +95,10 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, vers
     paths = scratch.table(addressed.select("doc_id", "blob"), "paths")
     seen = _ledger(spark, f"{ledger}/seen", _SEEN).filter(F.col("rules") == version)
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left_anti")
-    unseen = scratch.table(unseen, "unseen").withColumnsRenamed({"blob": "_blob", "doc_id": "_doc"})
+    unseen = scratch.table(unseen.withColumn("wanted", F.lit(True)), "unseen").withColumnsRenamed({"blob": "_blob", "doc_id": "_doc"})
     texts = addressed.join(unseen, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    # needs both sides, so the optimizer can't search texts before the join has left those of unseen blobs
-    texts = texts.filter(F.when(F.col("blob") == F.col("_blob"), F.col("text").rlike(_any(rules))))
+    # a filter of both sides: the optimizer can't search texts before the join has left those of unseen blobs
+    texts = texts.filter(F.when(F.col("wanted"), F.col("text").rlike(_any(rules))))
     find(texts.select("blob", "text"), rules).select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(f"{ledger}/findings")
     unseen.select(F.col("_blob").alias("blob"), F.lit(version).alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
     found = _ledger(spark, f"{ledger}/findings", _FOUND).filter(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
