@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,8 @@ def _confirm(prepare: Callable, linked: Callable) -> Callable[[Iterable[pa.Recor
 
 def _compare_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links between different components inside each pair of blocks: possible pairs are tried from the nearest sketches
-    on, and a pair whose ends have been joined meanwhile is not tried, so a block gives fewer links than it has members."""
+    on, and a pair whose ends have been joined meanwhile is not tried, so a block gives fewer links than it has members.
+    A pair that shares several buckets is tried in that with the least key alone: `lower` holds a member's lesser keys."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "i", "j"]):
@@ -103,10 +105,20 @@ def _compare_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[
                 continue
             same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
             sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
+            lower = t.column("lower").combine_chunks()
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lower).to_numpy(zero_copy_only=False))))
+            names, at = np.unique(lower.flatten().to_numpy(), return_inverse=True)
+            owner, mark = np.repeat(np.arange(len(node)), np.diff(ends)), np.zeros(len(names), bool)
             found = []
             for x in range(len(node)):
                 apart = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1).astype(np.int64)
                 near = np.flatnonzero((apart <= cut) & (comp != comp[x]) & (node > node[x]) & (same | (block != block[x])))
+                if len(near) and ends[x] < ends[x + 1]:
+                    mark[at[ends[x] : ends[x + 1]]] = True
+                    elsewhere = np.zeros(len(node), bool)
+                    elsewhere[owner[mark[at]]] = True
+                    mark[at[ends[x] : ends[x + 1]]] = False
+                    near = near[~elsewhere[near]]
                 if len(near):
                     found.append(np.stack([apart[near], np.full(len(near), x), near]))
             if not found:
@@ -126,10 +138,9 @@ def _compare_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[
                 a, b = root(own[x]), root(own[y])
                 if a != b and linked(full[x], full[y]):
                     joined[max(a, b)] = min(a, b)
-                    links.append((ids[x], ids[y]))
+                    links.append((ids[x], ids[y], own[x], own[y]))
             if links:
-                a, b = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b", "u", "v"])
 
     return compare
 
@@ -166,12 +177,13 @@ def link(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFr
     if rest.isEmpty():
         return links, found
     payloads = scratch.table(fetch(bounded(rest.select("node").distinct())), "payloads")
-    rest = rest.join(nodes.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    keys = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the buckets of one node
+    rest = rest.join(nodes.select("node", "sketch"), "node").join(keys, "node").withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.join(payloads, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "component", "sketch", "payload", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rest = rest.select("key", "node", "component", "sketch", "payload", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     rest = rest.repartition(scratch.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = scratch.table(rest.mapInArrow(_compare_blocks(cut, prepare, linked), "a long, b long").distinct(), "links")
+    more = scratch.table(rest.mapInArrow(_compare_blocks(cut, prepare, linked), "a long, b long, u long, v long"), "links")
     if more.isEmpty():
         return links, found
-    links = scratch.table(links.union(more), "links")
+    links = scratch.table(links.union(more.select("a", "b")), "links")
     return links, scratch.table(components(links), "components")
