@@ -185,5 +185,8 @@ def link(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFr
     more = scratch.table(rest.mapInArrow(_compare_blocks(cut, prepare, linked), "a long, b long, u long, v long"), "links")
     if more.isEmpty():
         return links, found
-    links = scratch.table(links.union(more.select("a", "b")), "links")
-    return links, scratch.table(components(links), "components")
+    # the new links join whole components, so only these are the nodes of what is left to solve
+    joined = scratch.table(components(more.select(F.col("u").alias("a"), F.col("v").alias("b"))).toDF("component", "to"), "joined")
+    alone = joined.select(F.col("component").alias("node"), F.col("to").alias("component")).join(found, "node", "left_anti")
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return links.union(more.select("a", "b")), scratch.table(moved.union(alone), "components")
