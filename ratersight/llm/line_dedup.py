@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
 from ratersight.llm.hashing import U64, Rolling, chunks, mix
-from ratersight.llm.linkage import link
+from ratersight.llm.linkage import count_links
 
 
 @dataclass(frozen=True)
@@ -149,11 +149,12 @@ def _texts(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, lines array<int>, class_doc_id, n_links) of the documents that hold lines to remove.
+    """(doc_id, lines array<int>, class_doc_id, n_links) of the documents that hold lines to remove or lines with links.
 
     lines: the numbers, from 0, of lines of which an equal or nearly equal one comes earlier (by doc_id, then line).
-    class_doc_id: the smallest doc_id that holds the first line of one of their classes. n_links: how many of the verified
-    links that hold classes of different lines together those lines take part in. Null and empty texts have no lines. Rows that share a doc_id are
+    class_doc_id: the smallest doc_id that holds the first line of one of their classes, null where lines is empty.
+    n_links: the verified links of each of the document's lines, removed or not, added up; a link is a pair of different
+    lines within the edits, and all of them count. Null and empty texts have no lines. Rows that share a doc_id are
     taken as one document. Rows with a null doc_id come before all others. An empty table gives an empty result."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -164,16 +165,19 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         return docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").distinct()
 
     buckets = seen.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
-    links, found = link(nodes, buckets, 2 * s.edits, fetch, lambda lines: lines, lambda x, y: within(x, y, s.edits))
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree, found = count_links(nodes, buckets, 2 * s.edits, fetch, lambda lines: lines, lambda x, y: within(x, y, s.edits))
     place = F.struct("doc_id", "line_no")
     first = seen.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = first.join(found, "node", "left").join(degree, "node", "left").filter("n > 1 or component is not null")
     first = scratch.table(first.withColumn("component", F.coalesce("component", "node")), "firsts")
     classes = first.groupBy("component").agg(F.min("first").alias("first"))
     of_node = first.select("node", "component", "n_links").join(classes, "component").select("node", "first", "n_links")
-    gone = seen.select("doc_id", "line_no", "node").join(of_node, "node").filter(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"), F.min("first.doc_id").alias("class_doc_id"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    held = seen.select("doc_id", "line_no", "node").join(of_node, "node").withColumn("gone", ~place.eqNullSafe(F.col("first"))).filter("gone or n_links > 0")
+    return held.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("lines"),
+        F.min(F.when(F.col("gone"), F.col("first.doc_id"))).alias("class_doc_id"),
+        F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
 
 
 def without_lines(text, lines):

@@ -119,6 +119,19 @@ def test_lines_equal_brute_force(spark, monkeypatch):
         assert got[i].component_id == "c" and got[i].n_lines == (0 if t is None else t.count("\n") + 1)
 
 
+def test_line_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    rng = random.Random(8)
+    family = [f"a family of lines that are all near, number {c}" for c in "abcdefghijkl"] + ["a line apart from every other one of them"]
+    rows = [(i, "\n".join(rng.choice(family) for _ in range(1 + i % 3)), "c", 1, 1) for i in range(20)]
+    distinct = {x for _, t, *_ in rows for x in t.split("\n")}
+    degree = {x: sum(x != y and distance(x, y) <= 2 for y in distinct) for x in distinct}
+    assert sum(degree.values()) > 2 * len(distinct)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: got[i].n_links for i in got} == {i: sum(degree[x] for x in t.split("\n")) for i, t, *_ in rows}
+    assert got[0].n_removed == 0 and got[0].n_links > 0 and got[0].class_doc_id == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "a long, b long")
     got = {r.node: r.component for r in linkage.components(edges).collect()}
