@@ -18,11 +18,28 @@ from ratersight.llm.linkage import count_links
 
 @dataclass(frozen=True)
 class Settings:
-    """edits: lines at most so many edits (of code points) apart are linked. min_chars: shorter lines, without the blanks
+    """edits: lines at most so many edits (of code points) apart are linked. percent: or so many for every 100 code points
+    of the longer line, where that is more. min_chars: shorter lines, without the blanks
     around them, are left alone: headings, list items and the like repeat rightly."""
 
     edits: int = 2
     min_chars: int = 24
+    percent: int = 2
+
+    def budget(self, size: int | np.ndarray) -> int | np.ndarray:
+        """Edits allowed for a pair whose longer line has so many code points."""
+        return np.maximum(self.edits, size * self.percent // 100)
+
+    @property
+    def long(self) -> int:
+        """The least length whose budget is more than edits."""
+        return -(-100 * (self.edits + 1) // self.percent) if self.percent else 1 << 60
+
+    @property
+    def run(self) -> int:
+        """Code points in a row that a pair shares at least if the longer line is long: e edits leave e + 1 runs of n - e in
+        all; the shortest is that of the least n, where e is edits + 1."""
+        return -(-(self.long - self.edits - 1) // (self.edits + 2))
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -66,10 +83,76 @@ def keys_of(lines: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def parity(line: str) -> int:
-    """64 parities of counts of characters; an edit changes two of them at most."""
-    at = np.bincount(mix(np.frombuffer(line.encode("utf-32-le"), "<u4").astype(U64)).astype(np.int64) & 63, minlength=64) & 1
-    return int(np.packbits(at.astype(np.uint8), bitorder="little").view("<i8")[0])
+def minima_of(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(line's index, key) for lines that may belong to a long pair: the least hash of the substrings of q code points in
+    each window of s.run code points, so a shared run gives a shared key, wherever it is. The class of the length is part
+    of the key; a line near the end of its class is in the next one too, so lines within the budget share a class."""
+    q = max(1, s.run // 2)
+    wide = s.run - q + 1
+    at, keys = [], []
+    for first, run in chunks(x.encode("utf-32-le") for x in lines):
+        symbols = np.frombuffer(b"".join(run), "<u4")
+        size = np.array([len(x) // 4 for x in run], np.int64)
+        begin = np.cumsum(size) - size
+        places = np.arange(max(len(symbols) - q + 1, 0))
+        least, have = Rolling(symbols).of(places, places + q), 1
+        while have < wide and len(least):
+            step = min(have, wide - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        owner = np.repeat(np.arange(len(run)), size)[: len(least)]
+        keep = np.arange(len(least)) + s.run <= (begin + size)[owner]
+        keep[1:] &= (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+        owner, least = owner[keep], least[keep]
+        scale = np.log(1.25)
+        own = (np.log(np.maximum(size, 1)) / scale).astype(np.int64)
+        upper = (np.log(size * 100 // (100 - s.percent) + 2) / scale).astype(np.int64)
+        over = (upper > own)[owner]
+        for who, key, kind in ((owner, least, own), (owner[over], least[over], upper)):
+            at.append(who + first)
+            keys.append(mix(key ^ mix(kind[who].astype(U64))).view(np.int64))
+    return np.concatenate([*at, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.int64)])
+
+
+def all_keys(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(line's index, key): lines within the budget of the longer one share a key."""
+    short = [i for i, x in enumerate(lines) if len(x) < s.long]
+    own = keys_of([lines[i] for i in short], s.edits)
+    out = [(np.repeat(np.array(short, np.int64), own.shape[1]), own.ravel())]
+    # a line may be shorter than long, and the longer one of its pair not
+    tall = [i for i, x in enumerate(lines) if len(x) >= s.long - s.edits - 1] if s.percent else []
+    if tall:
+        at, keys = minima_of([lines[i] for i in tall], s)
+        out.append((np.array(tall, np.int64)[at], keys))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def parities(lines: list[str]) -> np.ndarray:
+    """Rows of 64 parities of counts of characters and 256 of pairs of characters; an edit changes two and four at most."""
+    out = np.zeros((len(lines), 5), U64)
+    for i, line in enumerate(lines):
+        x = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(U64)
+        pair = mix(x[1:] << U64(32) | x[:-1])
+        out[i, 0] = np.bitwise_xor.reduce(U64(1) << (mix(x) & U64(63)))
+        np.bitwise_xor.at(out[i], ((pair >> U64(6)) & U64(3)).astype(np.int64) + 1, U64(1) << (pair & U64(63)))
+    return out
+
+
+def comparer(s: Settings) -> Callable[[list[str]], tuple[Callable[[int], np.ndarray], Callable[[int, int], bool]]]:
+    def compare(lines: list[str]) -> tuple[Callable[[int], np.ndarray], Callable[[int, int], bool]]:
+        size, odd = np.array([len(x) for x in lines]), parities(lines)
+
+        def near(x: int) -> np.ndarray:
+            most = s.budget(np.maximum(size[x], size))
+            bits = np.bitwise_count(odd[x] ^ odd)
+            return (abs(size - size[x]) <= most) & (bits[:, 0] <= 2 * most) & (bits[:, 1:].sum(axis=1) <= 4 * most)
+
+        def linked(x: int, y: int) -> bool:
+            return within(lines[x], lines[y], int(s.budget(max(size[x], size[y]))))
+
+        return near, linked
+
+    return compare
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -82,9 +165,13 @@ def within(a: str, b: str, edits: int) -> bool:
     if len(a) - len(b) > edits:
         return False
     lo, hi = 0, len(b)
+    while lo + 64 <= hi and a[lo : lo + 64] == b[lo : lo + 64]:
+        lo += 64
     while lo < hi and a[lo] == b[lo]:
         lo += 1
     shift = len(a) - len(b)
+    while hi - 64 >= lo and a[hi - 64 + shift : hi + shift] == b[hi - 64 : hi]:
+        hi -= 64
     while hi > lo and a[hi - 1 + shift] == b[hi - 1]:
         hi -= 1
     a, b = a[lo : hi + shift], b[lo:hi]
@@ -113,32 +200,36 @@ def within(a: str, b: str, edits: int) -> bool:
 
 def _occurrences(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def occur(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # of lines whose keys this task has given; when full, keys are given again
         for batch in batches:
             rows: list[tuple] = []
-            fresh: list[str] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for no, line in enumerate(lines_of(text)):
-                    line = line.strip()
-                    if len(line) >= s.min_chars:
-                        own = line_id(line)
-                        new = own not in done
-                        if new:
-                            if len(done) >= 300_000:
-                                done.clear()
-                            done.add(own)
-                            fresh.append(line)
-                        rows.append((doc, no, own, new))
-            doc, no, own, new = zip(*rows) if rows else ((), (), (), ())
-            at = pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~np.array(new, bool)) if rows else pa.array([], pa.int64())
-            width = len(windows(s.edits))
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys_of(fresh, s.edits).ravel()), width).cast(pa.list_(pa.int64()))
-            signs = pa.array([parity(x) for x in fresh], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(own, pa.int64()), keys.take(at), signs.take(at)], names=["doc_id", "line_no", "node", "keys", "parity"])
+                rows += [(doc, no, line_id(x)) for no, line in enumerate(lines_of(text)) if len(x := line.strip()) >= s.min_chars]
+            doc, no, own = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(own, pa.int64())], names=["doc_id", "line_no", "node"])
 
     return occur
 
 
+def _buckets(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # of lines whose keys this task has given; when full, keys are given again
+        for batch in batches:
+            fresh: dict[int, str] = {}
+            for text in batch.column(0).to_pylist():
+                for line in lines_of(text):
+                    if len(x := line.strip()) >= s.min_chars and (own := line_id(x)) not in done:
+                        if len(done) >= 300_000:
+                            done.clear()
+                        done.add(own)
+                        fresh[own] = x
+            ids, lines = np.array(list(fresh), np.int64), list(fresh.values())
+            for lo in range(0, len(lines), 2000):
+                at, keys = all_keys(lines[lo : lo + 2000], s)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[lo + at])], names=["key", "node"])
+
+    return keyed
+
+
 def _texts(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,18 +245,17 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     lines: the numbers, from 0, of lines of which an equal or nearly equal one comes earlier (by doc_id, then line).
     class_doc_id: the smallest doc_id that holds the first line of one of their classes, null where lines is empty.
     n_links: the verified links of each of the document's lines, removed or not, added up; a link is a pair of different
-    lines within the edits, and all of them count. Null and empty texts have no lines. Rows that share a doc_id are
+    lines within the budget of edits, and all of them count. Null and empty texts have no lines. Rows that share a doc_id are
     taken as one document. Rows with a null doc_id come before all others. An empty table gives an empty result."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.table(docs.mapInArrow(_occurrences(s), "doc_id long, line_no int, node long, keys array<long>, parity long"), "lines")
-    nodes = seen.filter("keys is not null").select("node", F.array("parity").alias("sketch")).distinct()
+    seen = scratch.table(docs.mapInArrow(_occurrences(s), "doc_id long, line_no int, node long"), "lines")
 
     def fetch(asked: DataFrame) -> DataFrame:
         return docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").distinct()
 
-    buckets = seen.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
-    degree, found = count_links(nodes, buckets, 2 * s.edits, fetch, lambda lines: lines, lambda x, y: within(x, y, s.edits))
+    buckets = docs.select("text").mapInArrow(_buckets(s), "key long, node long")
+    degree, found = count_links(buckets, fetch, comparer(s))
     place = F.struct("doc_id", "line_no")
     first = seen.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = first.join(found, "node", "left").join(degree, "node", "left").filter("n > 1 or component is not null")

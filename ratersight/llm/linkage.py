@@ -192,7 +192,31 @@ def link(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFr
     return links.union(more.select("a", "b")), scratch.table(moved.union(alone), "components")
 
 
-def _count_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted by key, those whose key has more than one node."""
+
+    def several(rows: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        many = np.minimum.reduceat(rows[1], starts) < np.maximum.reduceat(rows[1], starts)
+        return rows[:, np.repeat(many, np.diff(np.append(starts, rows.shape[1])))]
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        if not held or rows[0, -1] != held[0][0, 0]:
+            rows, held = np.concatenate([*held, rows], axis=1), []
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in several(rows[:, :last])], names=["key", "node"])
+            rows = rows[:, last:]
+        held.append(rows)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in several(np.concatenate(held, axis=1))], names=["key", "node"])
+
+
+def _count_blocks(compare: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """All links inside each pair of blocks, as (a, b, n): a row (a, a, n) for each node with n links there, and rows
     (a, b, 0) that hold the linked nodes together. A pair that shares several buckets is tried in that with the least key
     alone: `lower` holds a member's lesser keys. So rows are as many as members, whatever the number of links."""
@@ -201,9 +225,8 @@ def _count_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[It
         for t in runs(batches, ["key", "i", "j"]):
             node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
             same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
             lower = [set(x) for x in t.column("lower").to_pylist()]
-            payloads, full = t.column("payload"), {}
+            near, linked = compare(t.column("payload").to_pylist())
             degree, joined, out = [0] * len(node), list(range(len(node))), []
 
             def root(c: int) -> int:
@@ -211,15 +234,9 @@ def _count_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[It
                     joined[c] = c = joined[joined[c]]
                 return c
 
-            def whole(x: int) -> object:
-                if x not in full:
-                    full[x] = next(iter(prepare([payloads[x].as_py()])))
-                return full[x]
-
             for x in range(len(node)):
-                apart = np.bitwise_count(sketch[x] ^ sketch).sum(axis=1)
-                for y in np.flatnonzero((apart <= cut) & (node > node[x]) & (same | (block != block[x]))).tolist():
-                    if lower[x].isdisjoint(lower[y]) and linked(whole(x), whole(y)):
+                for y in np.flatnonzero(near(x) & (node > node[x]) & (same | (block != block[x]))).tolist():
+                    if lower[x].isdisjoint(lower[y]) and linked(x, y):
                         degree[x] += 1
                         degree[y] += 1
                         a, b = root(x), root(y)
@@ -233,25 +250,26 @@ def _count_blocks(cut: int, prepare: Callable, linked: Callable) -> Callable[[It
     return count
 
 
-def count_links(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFrame], DataFrame], prepare: Callable, linked: Callable) -> tuple[DataFrame, DataFrame]:
+def count_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable) -> tuple[DataFrame, DataFrame]:
     """(degrees, components) of the nodes that are linked: (node, n_links), n_links counting every link of the node, and
     (node, component).
 
-    The arguments are those of link(). All candidate pairs of a bucket are verified, in pairs of blocks; counts are summed
-    in the tasks, so that no row is made for a pair."""
-    spark = nodes.sparkSession
-    shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    members = scratch.table(buckets.join(shared, "key").distinct(), "buckets")
+    buckets (key long, node long) are read once. fetch: as in link(). compare: takes a list of payloads and returns two
+    functions of their places: near(x), which of all are candidates, and linked(x, y), exact. All candidate pairs of a
+    bucket are verified, in pairs of blocks; counts are summed in the tasks, so that no row is made for a pair."""
+    spark = buckets.sparkSession
+    dealt = buckets.repartition(scratch.parts(spark), "key").sortWithinPartitions("key")
+    members = scratch.table(dealt.mapInArrow(_shared, "key long, node long").distinct(), "buckets")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"))
     sizes = sizes.groupBy("n", "of").agg(F.min("key").alias("key"))  # of buckets with the same members, one
-    members = scratch.table(members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "members")
+    members = scratch.table(members.join(sizes.select("key", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("blocks")), "key"), "members")
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the buckets of one node
     payloads = scratch.table(fetch(bounded(keys.select("node"))), "payloads")
-    rest = members.join(keys, "node").join(nodes.select("node", "sketch"), "node").join(payloads, "node")
+    rest = members.join(keys, "node").join(payloads, "node")
     rest = rest.withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "sketch", "payload", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rest = rest.select("key", "node", "payload", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     rest = rest.repartition(scratch.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.table(rest.mapInArrow(_count_blocks(cut, prepare, linked), "a long, b long, n long"), "links")
+    found = scratch.table(rest.mapInArrow(_count_blocks(compare), "a long, b long, n long"), "links")
     degrees = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     return degrees, scratch.table(components(found.filter("n = 0").select("a", "b")), "components")

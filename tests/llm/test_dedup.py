@@ -132,6 +132,32 @@ def test_line_links_are_all_counted(spark, monkeypatch):
     assert got[0].n_removed == 0 and got[0].n_links > 0 and got[0].class_doc_id == 0
 
 
+def test_budget_grows_with_the_line():
+    rng = random.Random(4)
+    s = line_dedup.Settings()
+    for size in [*range(143, 156), 199, 200, 201, 245, 249, 250, 400, 1003] * 4:
+        a = "".join(rng.choice("abcdé ") for _ in range(size))
+        b = list(a)
+        for k in range(most := int(s.budget(size))):  # spread evenly, which leaves the shortest runs
+            i = (size * (k + 1)) // (most + 1)
+            b[i] = rng.choice(["", "x", b[i] + "y"])
+        b = "".join(b)
+        most = int(s.budget(max(len(a), len(b))))
+        if distance(a, b) <= most:
+            at, keys = line_dedup.all_keys([a, b], s)
+            assert set(keys[at == 0]) & set(keys[at == 1])
+            near, linked = line_dedup.comparer(s)([a, b])
+            assert near(0)[1] and linked(0, 1)
+
+
+def test_a_replaced_word_leaves_a_paragraph_linked(spark):
+    words = [f"word{i}" for i in range(60)]
+    other = [*words[:30], "wabcde", *words[31:]]
+    rows = [(1, " ".join(words), "c", 1, 1), (2, " ".join(other), "c", 1, 1), (3, " ".join(f"other{i}" for i in range(60)), "c", 1, 1)]
+    got = {r.doc_id: (r.n_removed, r.n_links, r.class_doc_id) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (0, 1, 1), 2: (1, 1, 1), 3: (0, 0, 3)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "a long, b long")
     got = {r.node: r.component for r in linkage.components(edges).collect()}
