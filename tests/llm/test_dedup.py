@@ -99,6 +99,19 @@ def test_banded_distance_and_keys_lose_nothing():
             assert set(x) & set(y)
 
 
+def test_farthest_reach_is_the_same_distance():
+    rng = random.Random(2)
+    for _ in range(4000):
+        k = rng.randrange(5)
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(14) + 20 * rng.randrange(2)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "c"])
+        b = "".join(b)
+        assert line_dedup.near_enough(a, b, k) == (distance(a, b) <= k)
+
+
 def test_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linkage, "BLOCK", 8)
     rng = random.Random(5)
