@@ -19,8 +19,9 @@ from ratersight.llm.linkage import count_links
 @dataclass(frozen=True)
 class Settings:
     """edits: lines at most so many edits (of code points) apart are linked. percent: or so many for every 100 code points
-    of the longer line, where that is more. min_chars: shorter lines, without the blanks
-    around them, are left alone: headings, list items and the like repeat rightly."""
+    of the longer line, where that is more. min_chars: pairs whose longer
+    line is shorter have no edits: of such lines, equal sentences are found, see is_sentence(). Headings, list items and
+    the like repeat rightly."""
 
     edits: int = 2
     min_chars: int = 24
@@ -47,6 +48,11 @@ def lines_of(text: str | None) -> list[str]:
     return [] if text is None else text.split("\n")
 
 
+def is_sentence(line: str) -> bool:
+    """Whether a stripped line ends as a sentence does; a short line that does not is a heading, item or mark."""
+    return line.endswith((".", "!", "?", "\u2026", "\u3002", "\uff01", "\uff1f"))
+
+
 def line_id(line: str) -> int:
     """A 64-bit identity of a stripped line; two different lines share one with a probability of 2 ** -64."""
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
@@ -145,7 +151,7 @@ def comparer(s: Settings) -> Callable[[list[str]], tuple[Callable[[int], np.ndar
         def near(x: int) -> np.ndarray:
             most = s.budget(np.maximum(size[x], size))
             bits = np.bitwise_count(odd[x] ^ odd)
-            return (abs(size - size[x]) <= most) & (bits[:, 0] <= 2 * most) & (bits[:, 1:].sum(axis=1) <= 4 * most)
+            return (np.maximum(size[x], size) >= s.min_chars) & (abs(size - size[x]) <= most) & (bits[:, 0] <= 2 * most) & (bits[:, 1:].sum(axis=1) <= 4 * most)
 
         def linked(x: int, y: int) -> bool:
             return near_enough(lines[x], lines[y], int(s.budget(max(size[x], size[y]))))
@@ -242,9 +248,13 @@ def _occurrences(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc, no, line_id(x)) for no, line in enumerate(lines_of(text)) if len(x := line.strip()) >= s.min_chars]
-            doc, no, own = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(own, pa.int64())], names=["doc_id", "line_no", "node"])
+                for no, line in enumerate(lines_of(text)):
+                    x = line.strip()
+                    alone = len(x) >= s.min_chars or is_sentence(x)
+                    if alone or len(x) >= s.min_chars - s.edits:
+                        rows.append((doc, no, line_id(x), alone))
+            doc, no, own, exact = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(own, pa.int64()), pa.array(exact, pa.bool_())], names=["doc_id", "line_no", "node", "exact"])
 
     return occur
 
@@ -256,7 +266,7 @@ def _buckets(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
             fresh: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
                 for line in lines_of(text):
-                    if len(x := line.strip()) >= s.min_chars and (own := line_id(x)) not in done:
+                    if len(x := line.strip()) >= max(1, s.min_chars - s.edits) and (own := line_id(x)) not in done:
                         if len(done) >= 300_000:
                             done.clear()
                         done.add(own)
@@ -272,7 +282,7 @@ def _buckets(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
 def _texts(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {line_id(x): x for text in batch.column(0).to_pylist() for line in lines_of(text) if len(x := line.strip()) >= s.min_chars}
+            found = {line_id(x): x for text in batch.column(0).to_pylist() for line in lines_of(text) if len(x := line.strip()) >= max(1, s.min_chars - s.edits)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["node", "payload"])
 
     return texts
@@ -288,7 +298,7 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     taken as one document. Rows with a null doc_id come before all others. An empty table gives an empty result."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.table(docs.mapInArrow(_occurrences(s), "doc_id long, line_no int, node long"), "lines")
+    seen = scratch.table(docs.mapInArrow(_occurrences(s), "doc_id long, line_no int, node long, exact boolean"), "lines")
 
     def fetch(asked: DataFrame) -> DataFrame:
         return docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").distinct()
@@ -296,8 +306,8 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     buckets = docs.select("text").mapInArrow(_buckets(s), "key long, node long")
     degree, found = count_links(buckets, fetch, comparer(s))
     place = F.struct("doc_id", "line_no")
-    first = seen.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = first.join(found, "node", "left").join(degree, "node", "left").filter("n > 1 or component is not null")
+    first = seen.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("exact").alias("exact"))
+    first = first.join(found, "node", "left").join(degree, "node", "left").filter("exact and n > 1 or component is not null")
     first = scratch.table(first.withColumn("component", F.coalesce("component", "node")), "firsts")
     classes = first.groupBy("component").agg(F.min("first").alias("first"))
     of_node = first.select("node", "component", "n_links").join(classes, "component").select("node", "first", "n_links")

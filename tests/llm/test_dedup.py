@@ -171,6 +171,15 @@ def test_a_replaced_word_leaves_a_paragraph_linked(spark):
     assert got == {1: (0, 1, 1), 2: (1, 1, 1), 3: (0, 0, 3)}
 
 
+def test_short_sentences_go_and_short_headings_stay(spark):
+    near = "abcdefghijklmnopqrstuvwx"
+    lines = ["All rights reserved.", "Contents", near, near[:22], "tiny one.", "a heading of 22 letters"[:22]]
+    rows = [(1, "\n".join([*lines[:3], lines[5]]), "c", 1, 1), (2, "\n".join([*lines[:2], lines[3], "tiny two.", *lines[4:]]), "c", 1, 1)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].n_removed == 0 and got[1].n_links == 1
+    assert got[2].text == "\n".join(["Contents", "tiny two.", "tiny one.", lines[5]])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "a long, b long")
     got = {r.node: r.component for r in linkage.components(edges).collect()}
