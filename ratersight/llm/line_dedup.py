@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
@@ -136,29 +136,141 @@ def all_keys(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 def parities(lines: list[str]) -> np.ndarray:
     """Rows of 64 parities of counts of characters and 256 of pairs of characters; an edit changes two and four at most."""
     out = np.zeros((len(lines), 5), U64)
-    for i, line in enumerate(lines):
-        x = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(U64)
+    one = U64(1)
+    for first, run in chunks(x.encode("utf-32-le") for x in lines):
+        size = np.array([len(x) // 4 for x in run], np.int64)
+        full = np.flatnonzero(size)
+        if not len(full):
+            continue
+        x = np.frombuffer(b"".join(run), "<u4").astype(U64)
+        begin = np.cumsum(size)[full] - size[full]
+        out[first + full, 0] = np.bitwise_xor.reduceat(one << (mix(x) & U64(63)), begin)
         pair = mix(x[1:] << U64(32) | x[:-1])
-        out[i, 0] = np.bitwise_xor.reduce(U64(1) << (mix(x) & U64(63)))
-        np.bitwise_xor.at(out[i], ((pair >> U64(6)) & U64(3)).astype(np.int64) + 1, U64(1) << (pair & U64(63)))
+        inside = np.ones(len(x), bool)
+        inside[begin + size[full] - 1] = False  # a line's last character begins no pair
+        bit = np.zeros(len(x), U64)
+        bit[:-1] = one << (pair & U64(63))
+        bit[~inside] = 0
+        word = np.zeros(len(x), U64)
+        word[:-1] = pair >> U64(6) & U64(3)
+        for k in range(4):
+            out[first + full, k + 1] = np.bitwise_xor.reduceat(np.where(word == k, bit, U64(0)), begin)
     return out
 
 
-def comparer(s: Settings) -> Callable[[list[str]], tuple[Callable[[int], np.ndarray], Callable[[int, int], bool]]]:
-    def compare(lines: list[str]) -> tuple[Callable[[int], np.ndarray], Callable[[int, int], bool]]:
-        size, odd = np.array([len(x) for x in lines]), parities(lines)
-
-        def near(x: int) -> np.ndarray:
-            most = s.budget(np.maximum(size[x], size))
-            bits = np.bitwise_count(odd[x] ^ odd)
-            return (np.maximum(size[x], size) >= s.min_chars) & (abs(size - size[x]) <= most) & (bits[:, 0] <= 2 * most) & (bits[:, 1:].sum(axis=1) <= 4 * most)
-
-        def linked(x: int, y: int) -> bool:
-            return near_enough(lines[x], lines[y], int(s.budget(max(size[x], size[y]))))
-
-        return near, linked
-
-    return compare
+class Comparer:
+    """Compares lines, in the order of their lengths and with their parities, within the budget of the longer line."""
+
+    #: Pairs of one line from which they are verified together; pairs, columns and table cells that are held at a time.
+    TOGETHER, PAIRS, COLUMNS, CELLS = 24, 1 << 14, 64, 1 << 23
+
+    def __init__(self, lines: list[str], odd: np.ndarray, s: Settings):
+        self.lines, self.odd, self.s = lines, odd, s
+        self.size = np.array([len(x) for x in lines], np.int64)
+        self.symbols: np.ndarray | None = None
+        self.most = s.budget(self.size)
+        # a later line is the longer one: the last of them that can be within its budget
+        self.reach = np.searchsorted(self.size - self.most, self.size, "right") if len(lines) > 2 else None
+
+    def near(self, x: int) -> np.ndarray:
+        """Which later, and so not shorter, lines may be linked to line x."""
+        lo, hi = x + 1, len(self.size) if self.reach is None else int(self.reach[x])
+        lo = max(lo, int(np.searchsorted(self.size, self.s.min_chars)))
+        if lo >= hi:
+            return np.empty(0, np.int64)
+        most = self.most[lo:hi]
+        bits = np.bitwise_count(self.odd[lo:hi] ^ self.odd[x])
+        ok = (self.size[lo:hi] - self.size[x] <= most) & (bits[:, 0] <= 2 * most)
+        ok &= bits[:, 1:].sum(axis=1, dtype=np.int64) <= 4 * most
+        return lo + np.flatnonzero(ok)
+
+    def linked(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Which pairs of lines are within their budgets, exactly."""
+        most = self.s.budget(np.maximum(self.size[xs], self.size[ys]))
+        out = np.zeros(len(xs), bool)
+        order = np.lexsort((xs, most))
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(xs[order]) != 0) | (np.diff(most[order]) != 0))))
+        held: list[np.ndarray] = []
+        count = cells = 0
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            own = order[lo:hi]
+            k, deep = int(most[own[0]]), int(self.size[ys[own]].max())
+            if hi - lo < self.TOGETHER or 2 * k + 1 > 63 or min(deep, self.size[xs[own[0]]]) <= 2 * k:
+                out[own] = [near_enough(self.lines[x], self.lines[y], k) for x, y in zip(xs[own].tolist(), ys[own].tolist())]
+                continue
+            self._number()
+            if held and (count + len(own) > self.PAIRS or cells + deep * self.kinds > self.CELLS or k != most[held[0][0]]):
+                out[np.concatenate(held)] = self._together(xs, ys, np.concatenate(held), int(most[held[0][0]]))
+                held, count, cells = [], 0, 0
+            held.append(own)
+            count += len(own)
+            cells += deep * self.kinds
+        if held:
+            out[np.concatenate(held)] = self._together(xs, ys, np.concatenate(held), int(most[held[0][0]]))
+        return out
+
+    def _number(self) -> None:
+        """The lines' symbols as small numbers, end to end."""
+        if self.symbols is None:
+            names, symbols = np.unique(np.frombuffer("".join(self.lines).encode("utf-32-le"), "<u4"), return_inverse=True)
+            self.symbols, self.kinds, self.begin = symbols.astype(np.int32), len(names), np.cumsum(self.size) - self.size
+
+    def _together(self, xs: np.ndarray, ys: np.ndarray, pairs: np.ndarray, k: int) -> np.ndarray:
+        """within() of many pairs (by their places in xs and ys) at a time.
+
+        Bit r of a vector stands for row column - k + r of the pair's own band. The score follows the lowest diagonal to
+        the last column, where the vertical differences lead back from there to the last row."""
+        kind = np.uint32 if 2 * k + 1 < 32 else U64
+        one = kind(1)
+        order = np.argsort(-self.size[ys[pairs]], kind="stable")
+        xs, ys = xs[pairs[order]], ys[pairs[order]]
+        la, lb = self.size[xs], self.size[ys]
+        rows, where = np.unique(xs, return_inverse=True)
+        deep = int(lb[0])
+        # for each first line, column and symbol the band's rows that hold it
+        table = np.zeros((len(rows), deep, self.kinds), kind)
+        for i, x in enumerate(rows.tolist()):
+            text = self.symbols[self.begin[x] : self.begin[x] + self.size[x]]
+            for r in range(2 * k + 1):
+                lo, hi = max(0, k - r), min(deep, len(text) + k - r)
+                if lo < hi:
+                    table[i, np.arange(lo, hi), text[lo - k + r : hi - k + r]] |= one << kind(r)
+        table = table.ravel()
+        begin, own = self.begin[ys], where * (deep * self.kinds)
+        full, high = kind((1 << (2 * k + 1)) - 1), kind(2 * k)
+        n = len(xs)
+        plus, minus, hits = np.full(n, full >> kind(k) << kind(k), kind), np.zeros(n, kind), np.zeros(n, kind)
+        live = np.searchsorted(-lb, -np.arange(deep), "left")  # pairs with a column j
+        d, right, left = np.empty(n, kind), np.empty(n, kind), np.empty(n, kind)
+        for j in range(deep):
+            m = live[j]
+            if j % self.COLUMNS == 0:
+                column = np.arange(j, min(deep, j + self.COLUMNS))[:, None]
+                at = np.take(self.symbols, begin[:m] + column, mode="clip") + (own[:m] + column * self.kinds)
+                eqs = np.take(table, at, mode="clip")
+            eq, p, q, t, h, u, c = eqs[j % self.COLUMNS, :m], plus[:m], minus[:m], d[:m], right[:m], left[:m], hits[:m]
+            np.bitwise_and(eq, p, out=t)
+            t += p
+            t ^= p
+            t |= eq
+            t |= q
+            t &= full
+            np.bitwise_or(t, p, out=h)
+            np.invert(h, out=h)
+            h |= q
+            np.bitwise_and(t, p, out=u)
+            np.right_shift(t, high, out=p)
+            c += p
+            t >>= one
+            np.bitwise_and(t, h, out=q)
+            t |= h
+            np.invert(t, out=t)
+            np.bitwise_or(t, u, out=p)
+        below = (full >> one) & ~((one << (la - lb + k).astype(kind)) - one)  # the rows under the last one
+        score = k + lb - hits.astype(np.int64) - np.bitwise_count(plus & below) + np.bitwise_count(minus & below)
+        out = np.empty(n, bool)
+        out[order] = score <= k
+        return out
 
 
 def _reach(a: str, i: int, b: str, j: int) -> int:
@@ -178,6 +290,8 @@ def _reach(a: str, i: int, b: str, j: int) -> int:
 
 def near_enough(a: str, b: str, edits: int) -> bool:
     """within(), by the farthest row that each diagonal reaches with 0, 1, 2 ... edits: quick where edits are few."""
+    if abs(len(a) - len(b)) <= edits and (a.startswith(b) or b.startswith(a)):
+        return True
     if edits * edits > max(len(a), len(b)):
         return within(a, b, edits)
     goal = len(a) - len(b)
@@ -247,14 +361,15 @@ def _occurrences(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
     def occur(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for no, line in enumerate(lines_of(text)):
                     x = line.strip()
                     alone = len(x) >= s.min_chars or is_sentence(x)
                     if alone or len(x) >= s.min_chars - s.edits:
-                        rows.append((doc, no, line_id(x), alone))
-            doc, no, own, exact = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(own, pa.int64()), pa.array(exact, pa.bool_())], names=["doc_id", "line_no", "node", "exact"])
+                        rows.append((doc, row, no, line_id(x), alone))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "row", "line_no", "node", "exact"])
 
     return occur
 
@@ -288,35 +403,50 @@ def _texts(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
     return texts
 
 
-def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, lines array<int>, class_doc_id, n_links) of the documents that hold lines to remove or lines with links.
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, payload) with the payload's length in code points and its parities."""
+    for batch in batches:
+        lines = batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in lines], pa.int64()), pa.array([x.tobytes() for x in parities(lines)], pa.binary())], names=["node", "payload", "size", "sketch"])
+
 
-    lines: the numbers, from 0, of lines of which an equal or nearly equal one comes earlier (by doc_id, then line).
-    class_doc_id: the smallest doc_id that holds the first line of one of their classes, null where lines is empty.
-    n_links: the verified links of each of the document's lines, removed or not, added up; a link is a pair of different
-    lines within the budget of edits, and all of them count. Null and empty texts have no lines. Rows that share a doc_id are
-    taken as one document. Rows with a null doc_id come before all others. An empty table gives an empty result."""
+def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, row, lines array<int>, every array<int>, copies, class_doc_id, n_links) of the rows of docs that hold lines
+    to remove or lines with links. A row is known by its doc_id and its text's hash (row); copies: rows that share both.
+
+    lines: the numbers, from 0, of lines of which an equal or nearly equal one comes earlier (by doc_id, then row, then
+    line). every: for rows of which there are copies, the lines that all copies but one lose. class_doc_id: the smallest
+    doc_id that holds the first line of one of their classes, null where lines is empty. n_links: the verified links of
+    each of the row's lines, removed or not, added up; a link is a pair of different lines within the budget of edits, and
+    all of them count. Null and empty texts have no lines. Different rows that share a doc_id, null or not, are rows of
+    their own. Rows with a null doc_id come before all others. An empty table gives an empty result."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.table(docs.mapInArrow(_occurrences(s), "doc_id long, line_no int, node long, exact boolean"), "lines")
+    seen = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(_occurrences(s), "doc_id long, row long, line_no int, node long, exact boolean")
+    seen = scratch.table(seen, "lines")
 
     def fetch(asked: DataFrame) -> DataFrame:
-        return docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").distinct()
+        own = docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").groupBy("node").agg(F.first("payload").alias("payload"))
+        return own.mapInArrow(_sketched, "node long, payload string, size long, sketch binary")
 
     buckets = docs.select("text").mapInArrow(_buckets(s), "key long, node long")
-    degree, found = count_links(buckets, fetch, comparer(s))
-    place = F.struct("doc_id", "line_no")
+    degree, found = count_links(buckets, fetch, lambda lines, odd: Comparer(lines, odd, s))
+    place = F.struct("doc_id", "row", "line_no")
     first = seen.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("exact").alias("exact"))
     first = first.join(found, "node", "left").join(degree, "node", "left").filter("exact and n > 1 or component is not null")
     first = scratch.table(first.withColumn("component", F.coalesce("component", "node")), "firsts")
     classes = first.groupBy("component").agg(F.min("first").alias("first"))
     of_node = first.select("node", "component", "n_links").join(classes, "component").select("node", "first", "n_links")
-    held = seen.select("doc_id", "line_no", "node").join(of_node, "node").withColumn("gone", ~place.eqNullSafe(F.col("first"))).filter("gone or n_links > 0")
-    return held.groupBy("doc_id").agg(
+    held = seen.select("doc_id", "row", "line_no", "node").join(of_node, "node").withColumn("gone", ~place.eqNullSafe(F.col("first")))
+    out = held.groupBy("doc_id", "row").agg(
         F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("lines"),
+        F.sort_array(F.collect_set("line_no")).alias("every"),
+        F.count("*").alias("n"),
         F.min(F.when(F.col("gone"), F.col("first.doc_id"))).alias("class_doc_id"),
         F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
+    out = out.withColumn("copies", (F.col("n") / F.size("every")).cast("long")).withColumn("n_links", (F.col("n_links") / F.col("copies")).cast("long"))
+    return out.filter("copies > 1 or n_links > 0 or size(lines) > 0").select("doc_id", "row", "lines", F.when(F.col("copies") > 1, F.col("every")).alias("every"), "copies", "class_doc_id", "n_links")
 
 
 def without_lines(text, lines):
@@ -329,14 +459,34 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with all its columns, its text without repeated lines, and n_lines, n_removed, n_links and class_doc_id.
 
     Every row stays, texts of removed lines only become empty. class_doc_id is the row's own doc_id where nothing was
-    removed. Columns of docs that clash with the added ones are replaced. Null texts stay null, with n_lines 0."""
-    gone = duplicate_lines(docs, settings).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines"), F.col("class_doc_id").alias("_class"), F.col("n_links").alias("_links"))
-    kept = docs.drop("n_lines", "n_removed", "n_links", "class_doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    added = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))),
-        "n_removed": F.coalesce(F.size("_lines"), F.lit(0)),
-        "n_links": F.coalesce("_links", F.lit(0)),
-        "class_doc_id": F.coalesce("_class", "doc_id"),
-        "text": without_lines(F.col("text"), F.col("_lines")),
-    }
-    return kept.withColumns(added).drop("_doc", "_lines", "_class", "_links")
+    removed. Of repeated rows (doc_id and text), one keeps its lines. Columns of docs that have the names of the added ones
+    are replaced; other names can't clash. Null texts stay null, with n_lines 0."""
+    out, _ = marked_lines(docs, settings)
+    return out
+
+
+ADDED = ("n_lines", "n_removed", "n_links", "class_doc_id")
+
+
+def marked_lines(docs: DataFrame, settings: Settings = Settings(), names: tuple[str, ...] = ADDED) -> tuple[DataFrame, tuple[str, ...]]:
+    """dedup_lines() with other names for its four added columns; returns the names too."""
+    gone = scratch.table(duplicate_lines(docs, settings), "gone")
+    columns = [c for c in docs.columns if c not in names]
+    # all of a row but its text in one column, so that no name can clash
+    own = docs.select(F.struct(*columns).alias("own"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_row"))
+    gone = gone.withColumnsRenamed({"doc_id": "gone_doc"})
+    both = own.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_row") == F.col("row")), "left")
+    again = F.lit(False)
+    if not gone.filter("copies > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc", "text_row").orderBy(F.xxhash64(F.to_json("own"))))
+        both = both.filter("coalesce(copies, 1) = 1").withColumn("again", F.lit(False)).unionByName(both.filter("copies > 1").withColumn("again", nth > 1))
+        again = F.col("again")
+    lines, text = F.when(again, F.col("every")).otherwise(F.col("lines")), F.col("own.text").cast("string")
+    added = (
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))),
+        F.coalesce(F.size(lines), F.lit(0)),
+        F.coalesce("n_links", F.lit(0).cast("long")),
+        F.coalesce(F.when(again, F.least("class_doc_id", "doc")).otherwise(F.col("class_doc_id")), F.col("doc")),
+    )
+    kept = [without_lines(text, lines).alias("text") if c == "text" else F.col("own")[c].alias(c) for c in columns]
+    return both.select(*kept, *(value.alias(name) for name, value in zip(names, added))), names

@@ -216,59 +216,177 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in several(np.concatenate(held, axis=1))], names=["key", "node"])
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of equal keys, of rows sorted by keys, and the places where the groups begin and end."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        new = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        if held and tuple(k[:, 0]) != last:
+            new = np.concatenate(([0], new))
+        if held and not len(new):
+            held.append(batch)
+            continue
+        if len(new):
+            done = [*held, batch.slice(0, int(new[-1]))]
+            before = sum(x.num_rows for x in held)
+            cuts = np.concatenate(([0], before + new))
+            t = pa.Table.from_batches(done)
+            if t.num_rows:
+                yield t, np.unique(cuts)
+            held = [batch.slice(int(new[-1]))]
+        else:
+            held = [batch]
+        last = tuple(k[:, -1])
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.array([0, t.num_rows])
+
+
+def _shares(lower: np.ndarray, ends: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some members share a lesser key with one: members' lists of keys lie end to end. Keys of one member alone
+    can't be shared; the others are bits of a row for each member, or, where these are too many, marks of one member."""
+    n = len(ends) - 1
+    names, at, times = np.unique(lower, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), np.diff(ends))
+    keep = times[at] > 1
+    names = np.cumsum(times > 1) - 1
+    at, owner = names[at[keep]], owner[keep]
+    width = int((times > 1).sum())
+    if not width:
+        return lambda x, ys: np.zeros(len(ys), bool)
+    if n * width <= 1 << 26:
+        rows = np.zeros((n, width), bool)
+        rows[owner, at] = True
+        bits = np.packbits(rows, axis=1)
+        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        return lambda x, ys: (bits[ys] & bits[x]).any(axis=1)
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    mark = np.zeros(width, bool)
+
+    def marked(x: int, ys: np.ndarray) -> np.ndarray:
+        own = at[begin[x] : begin[x + 1]]
+        mark[own] = True
+        out = np.array([mark[at[begin[y] : begin[y + 1]]].any() for y in ys.tolist()], bool)
+        mark[own] = False
+        return out
+
+    return marked
+
+
+#: Pairs of one block that are verified at a time.
+TRIES = 1 << 17
+
+
 def _count_blocks(compare: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """All links inside each pair of blocks, as (a, b, n): a row (a, a, n) for each node with n links there, and rows
     (a, b, 0) that hold the linked nodes together. A pair that shares several buckets is tried in that with the least key
     alone: `lower` holds a member's lesser keys. So rows are as many as members, whatever the number of links."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["key", "i", "j"]):
-            node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
-            same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            lower = [set(x) for x in t.column("lower").to_pylist()]
-            near, linked = compare(t.column("payload").to_pylist())
-            degree, joined, out = [0] * len(node), list(range(len(node))), []
-
-            def root(c: int) -> int:
-                while joined[c] != c:
-                    joined[c] = c = joined[joined[c]]
-                return c
+    def solve(node: np.ndarray, block: np.ndarray, same: bool, shares: Callable, own) -> Iterator[tuple[int, int, int]]:
+        n = len(node)
+        degree, label = np.zeros(n, np.int64), np.arange(n)
+        xs: list[np.ndarray] = []
+        ys: list[np.ndarray] = []
+
+        def verify() -> None:
+            nonlocal xs, ys, label
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            xs, ys = [], []
+            ok = own.linked(x, y)
+            x, y = x[ok], y[ok]
+            np.add.at(degree, x, 1)
+            np.add.at(degree, y, 1)
+            while len(x):
+                a, b = label[x], label[y]
+                apart = a != b
+                if not apart.any():
+                    break
+                x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label != label[label]).any():
+                    label = label[label]
+
+        tries = 0
+        for x in range(n):
+            near = own.near(x)  # of the later ones
+            if not same:
+                near = near[block[near] != block[x]]
+            if len(near):
+                near = near[~shares(x, near)]
+            if len(near):
+                xs.append(np.full(len(near), x))
+                ys.append(near)
+                tries += len(near)
+                if tries >= TRIES:
+                    verify()
+                    tries = 0
+        if xs:
+            verify()
+        for v in np.flatnonzero(label != np.arange(n)).tolist():
+            yield int(node[v]), int(node[label[v]]), 0
+        for v in np.flatnonzero(degree).tolist():
+            yield int(node[v]), int(node[v]), int(degree[v])
 
-            for x in range(len(node)):
-                for y in np.flatnonzero(near(x) & (node > node[x]) & (same | (block != block[x]))).tolist():
-                    if lower[x].isdisjoint(lower[y]) and linked(x, y):
-                        degree[x] += 1
-                        degree[y] += 1
-                        a, b = root(x), root(y)
-                        if a != b:
-                            joined[a] = b
-                            out.append((int(node[x]), int(node[y]), 0))
-            out += [(int(v), int(v), n) for v, n in zip(node, degree) if n]
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in whole_runs(batches, ["key", "i", "j"]):
+            node, block, i, j, size = (t.column(c).to_numpy() for c in ("node", "block", "i", "j", "size"))
+            payload = t.column("payload").to_pylist()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+            lower = t.column("lower").combine_chunks()
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lower).to_numpy(zero_copy_only=False))))
+            flat = lower.flatten().to_numpy()
+            out: list[tuple[int, int, int]] = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if hi - lo < 2:
+                    continue
+                order = lo + np.argsort(size[lo:hi], kind="stable")
+                if hi - lo == 2:
+                    x, y = order.tolist()
+                    if (i[lo] == j[lo] or block[x] != block[y]) and not np.isin(flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]).any():
+                        own = compare([payload[x], payload[y]], sketch[order])
+                        if len(own.near(0)) and own.linked(np.array([0]), np.array([1]))[0]:
+                            a, b = int(node[x]), int(node[y])
+                            out += [(a, b, 0), (a, a, 1), (b, b, 1)]
+                    continue
+                own_ends = np.concatenate(([0], np.cumsum(ends[order + 1] - ends[order])))
+                own_lower = np.concatenate([flat[ends[v] : ends[v + 1]] for v in order.tolist()])
+                out += solve(node[order], block[order], bool(i[lo] == j[lo]), _shares(own_lower, own_ends), compare([payload[v] for v in order.tolist()], sketch[order]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "n"])
 
     return count
 
 
+#: Members of one block of a bucket whose pairs are all counted, and bytes of their payloads.
+MEMBERS, BYTES = 2048, 8 << 20
+
+
 def count_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable) -> tuple[DataFrame, DataFrame]:
     """(degrees, components) of the nodes that are linked: (node, n_links), n_links counting every link of the node, and
     (node, component).
 
-    buckets (key long, node long) are read once. fetch: as in link(). compare: takes a list of payloads and returns two
-    functions of their places: near(x), which of all are candidates, and linked(x, y), exact. All candidate pairs of a
-    bucket are verified, in pairs of blocks; counts are summed in the tasks, so that no row is made for a pair."""
+    buckets (key long, node long) are read once. fetch: takes nodes (node) and returns (node, payload string, size long,
+    sketch binary). compare: takes payloads and sketches in the order of their sizes, and returns an object with near(x),
+    which later ones are candidates, and linked(xs, ys), exact. All candidate pairs of a bucket are verified, in pairs of
+    blocks; counts are summed in the tasks, so that no row is made for a pair. A block is bounded in members and bytes."""
     spark = buckets.sparkSession
     dealt = buckets.repartition(scratch.parts(spark), "key").sortWithinPartitions("key")
     members = scratch.table(dealt.mapInArrow(_shared, "key long, node long").distinct(), "buckets")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"))
     sizes = sizes.groupBy("n", "of").agg(F.min("key").alias("key"))  # of buckets with the same members, one
-    members = scratch.table(members.join(sizes.select("key", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("blocks")), "key"), "members")
+    members = scratch.table(members.join(sizes.select("key"), "key"), "members")
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the buckets of one node
     payloads = scratch.table(fetch(bounded(keys.select("node"))), "payloads")
-    rest = members.join(keys, "node").join(payloads, "node")
+    heavy = members.join(payloads.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    heavy = heavy.select("key", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(4 * F.col("bytes") / BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
+    rest = members.join(keys, "node").join(payloads, "node").join(bounded(scratch.table(heavy, "heavy")), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rest = rest.withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "node", "payload", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rest = rest.select("key", "node", "payload", "size", "sketch", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     rest = rest.repartition(scratch.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = scratch.table(rest.mapInArrow(_count_blocks(compare), "a long, b long, n long"), "links")
     degrees = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def test_farthest_reach_is_the_same_distance():
 
 
 def test_lines_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "BLOCK", 8)
+    monkeypatch.setattr(linkage, "MEMBERS", 8)
     rng = random.Random(5)
     base = "this is a line of some length, number {:04d} of the family"
     lines = [base.format(rng.randrange(10000)) for _ in range(60)] + ["short", "", "   ", "another line that stands alone in all documents é"]
@@ -133,7 +134,7 @@ def test_lines_equal_brute_force(spark, monkeypatch):
 
 
 def test_line_links_are_all_counted(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "BLOCK", 4)
+    monkeypatch.setattr(linkage, "MEMBERS", 4)
     rng = random.Random(8)
     family = [f"a family of lines that are all near, number {c}" for c in "abcdefghijkl"] + ["a line apart from every other one of them"]
     rows = [(i, "\n".join(rng.choice(family) for _ in range(1 + i % 3)), "c", 1, 1) for i in range(20)]
@@ -159,8 +160,9 @@ def test_budget_grows_with_the_line():
         if distance(a, b) <= most:
             at, keys = line_dedup.all_keys([a, b], s)
             assert set(keys[at == 0]) & set(keys[at == 1])
-            near, linked = line_dedup.comparer(s)([a, b])
-            assert near(0)[1] and linked(0, 1)
+            own = sorted([a, b], key=len)
+            compared = line_dedup.Comparer(own, line_dedup.parities(own), s)
+            assert list(compared.near(0)) == [1] and compared.linked(np.array([0]), np.array([1]))[0]
 
 
 def test_a_replaced_word_leaves_a_paragraph_linked(spark):
@@ -180,6 +182,61 @@ def test_short_sentences_go_and_short_headings_stay(spark):
     assert got[2].text == "\n".join(["Contents", "tiny two.", "tiny one.", lines[5]])
 
 
+def edited(text, n, rng):
+    out = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(out) + 1)
+        out[i : i + rng.randrange(2)] = rng.choice(["", "a", "c", "xy"])
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("size", "most"), [(30, 2), (160, 5), (530, 14), (1900, 40)])
+def test_many_pairs_at_a_time_equal_one_at_a_time(size, most, monkeypatch):
+    monkeypatch.setattr(line_dedup.Comparer, "PAIRS", 500)
+    rng = random.Random(size)
+    base = "".join(rng.choice("abcdé fgh") for _ in range(size))
+    lines = sorted((edited(base, rng.randrange(most), rng) for _ in range(50)), key=len)
+    s = line_dedup.Settings()
+    own = line_dedup.Comparer(lines, line_dedup.parities(lines), s)
+    want = {(x, y) for x, y in itertools.combinations(range(50), 2) if line_dedup.within(lines[x], lines[y], int(s.budget(len(lines[y]))))}
+    tries = [(x, y) for x in range(50) for y in own.near(x).tolist()]
+    assert want <= set(tries) and 0 < len(want) < 50 * 49 // 2
+    ok = own.linked(*np.array(tries).T)
+    assert {t for t, k in zip(tries, ok) if k} == want
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    again, new = "a line that was seen before, in full", "a line that is found nowhere else at all"
+    rows = [(1, again, "c", 1, 1), (5, f"first\n{again}", "c", 1, 1), (5, f"{again}\n{new}", "c", 2, 2), (None, f"x\n{again}", "c", 1, 1), (None, f"y\n{again}", "d", 1, 1)]
+    rows += [rows[2]] * 2
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert [t for d, t, _ in got if d == 1] == [""]
+    assert sorted(t for d, t, _ in got if d == 5) == ["", "", new, "first"]
+    assert sorted(n for d, _, n in got if d == 0) == [0, 1] and {t[0] for d, t, _ in got if d == 0} == {"x", "y"}
+
+
+def test_names_of_columns_cannot_clash(spark):
+    schema = "doc_id long, text string, _doc int, _lines int, own int, row int, copies int, again int, n_lines string, gone_doc int"
+    rows = [(1, "one line that is long enough to count", 1, 2, 3, 4, 5, 6, "x", 7), (2, "one line that is long enough to count\nb", 1, 2, 3, 4, 5, 6, "x", 7)]
+    got = sorted(line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect())
+    assert [(r.text, r._doc, r._lines, r.own, r.row, r.copies, r.again, r.gone_doc, r.n_lines, r.n_removed) for r in got] == [(rows[0][1], 1, 2, 3, 4, 5, 6, 7, 1, 0), ("b", 1, 2, 3, 4, 5, 6, 7, 2, 1)]
+
+
+def test_whole_runs():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(200):
+        keys = sorted(rng.randrange(5) for _ in range(rng.randrange(30)))
+        batches, at = [], 0
+        while at < len(keys):
+            n = rng.randrange(1, 6)
+            batches.append(pa.RecordBatch.from_pydict({"k": keys[at : at + n]}))
+            at += n
+        got = [t.column("k").to_pylist()[a:b] for t, cuts in linkage.whole_runs(batches, ["k"]) for a, b in zip(cuts, cuts[1:])]
+        assert got == [list(g) for _, g in itertools.groupby(keys)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "a long, b long")
     got = {r.node: r.component for r in linkage.components(edges).collect()}
