@@ -12,35 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
-from ratersight.llm.hashing import U64, Rolling, chunks, mix
+from ratersight.llm.hashing import U64, Rolling, chunks, mix, words
 from ratersight.llm.linkage import count_links
 
 
 @dataclass(frozen=True)
 class Settings:
-    """edits: lines at most so many edits (of code points) apart are linked. percent: or so many for every 100 code points
-    of the longer line, where that is more. min_chars: pairs whose longer
-    line is shorter have no edits: of such lines, equal sentences are found, see is_sentence(). Headings, list items and
-    the like repeat rightly."""
+    """edits: lines at most so many edits apart are linked. Edits are of words where the longer line has min_words or more,
+    so that a replaced word leaves a paragraph linked, else of code points. min_chars: pairs whose longer line is shorter
+    have no edits: of such lines, equal sentences are found, see is_sentence(). Headings, list items and the like repeat
+    rightly."""
 
     edits: int = 2
     min_chars: int = 24
-    percent: int = 2
-
-    def budget(self, size: int | np.ndarray) -> int | np.ndarray:
-        """Edits allowed for a pair whose longer line has so many code points."""
-        return np.maximum(self.edits, size * self.percent // 100)
-
-    @property
-    def long(self) -> int:
-        """The least length whose budget is more than edits."""
-        return -(-100 * (self.edits + 1) // self.percent) if self.percent else 1 << 60
-
-    @property
-    def run(self) -> int:
-        """Code points in a row that a pair shares at least if the longer line is long: e edits leave e + 1 runs of n - e in
-        all; the shortest is that of the least n, where e is edits + 1."""
-        return -(-(self.long - self.edits - 1) // (self.edits + 2))
+    min_words: int = 20
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -66,10 +51,11 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, x) for d in range(edits + 1) for i in range(edits + 1) for x in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
 
-def keys_of(lines: list[str], edits: int) -> np.ndarray:
-    """A row of keys for each line: hashes of (indexed length, segment, substring). Lines within so many edits share one."""
+def keys_of(lines: list[bytes], edits: int, kind: int = 0) -> np.ndarray:
+    """A row of keys for each line, given as 32-bit symbols: hashes of (kind, indexed length, segment, substring). Lines
+    within so many edits share one."""
     out = np.empty((len(lines), len(windows(edits))), np.int64)
-    for first, run in chunks(x.encode("utf-32-le") for x in lines):
+    for first, run in chunks(lines):
         symbols = np.frombuffer(b"".join(run), "<u4")
         size = np.array([len(x) // 4 for x in run], np.int64)
         begin = np.cumsum(size) - size
@@ -83,61 +69,40 @@ def keys_of(lines: list[str], edits: int) -> np.ndarray:
             ok = (start >= 0) & (end <= size) & (length > 0)
             start, end = np.where(ok, start, 0), np.where(ok, end, 0)
             h = roll.of(begin + start, begin + end)
-            h = mix(h ^ mix(length.astype(U64) * U64(64) + U64(i)))
-            own = mix(begin.astype(U64) ^ U64((first + 1) << 32) ^ U64(k << 58))  # no substring there: a key of its own
+            h = mix(h ^ mix(length.astype(U64) * U64(64) + U64(i + (kind << 40))))
+            own = mix(begin.astype(U64) ^ U64((first + 1) << 32) ^ U64(k << 58 | kind << 57))  # no substring there: a key of its own
             out[first : first + len(run), k] = np.where(ok, h, own).view(np.int64)
     return out
 
 
-def minima_of(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(line's index, key) for lines that may belong to a long pair: the least hash of the substrings of q code points in
-    each window of s.run code points, so a shared run gives a shared key, wherever it is. The class of the length is part
-    of the key; a line near the end of its class is in the next one too, so lines within the budget share a class."""
-    q = max(1, s.run // 2)
-    wide = s.run - q + 1
-    at, keys = [], []
-    for first, run in chunks(x.encode("utf-32-le") for x in lines):
-        symbols = np.frombuffer(b"".join(run), "<u4")
-        size = np.array([len(x) // 4 for x in run], np.int64)
-        begin = np.cumsum(size) - size
-        places = np.arange(max(len(symbols) - q + 1, 0))
-        least, have = Rolling(symbols).of(places, places + q), 1
-        while have < wide and len(least):
-            step = min(have, wide - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        owner = np.repeat(np.arange(len(run)), size)[: len(least)]
-        keep = np.arange(len(least)) + s.run <= (begin + size)[owner]
-        keep[1:] &= (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        owner, least = owner[keep], least[keep]
-        scale = np.log(1.25)
-        own = (np.log(np.maximum(size, 1)) / scale).astype(np.int64)
-        upper = (np.log(size * 100 // (100 - s.percent) + 2) / scale).astype(np.int64)
-        over = (upper > own)[owner]
-        for who, key, kind in ((owner, least, own), (owner[over], least[over], upper)):
-            at.append(who + first)
-            keys.append(mix(key ^ mix(kind[who].astype(U64))).view(np.int64))
-    return np.concatenate([*at, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.int64)])
+def word_symbols(lines: list[str]) -> list[bytes]:
+    """Each line's words (runs of other bytes than ASCII white space) as 32-bit hashes."""
+    out: list[bytes] = []
+    for _, run in chunks(x.encode() for x in lines):
+        h, owner, *_ = words(run)
+        h = (h >> U64(32)).astype("<u4")
+        cut = np.searchsorted(owner, np.arange(len(run) + 1))
+        out += [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(run))]
+    return out
 
 
 def all_keys(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(line's index, key): lines within the budget of the longer one share a key."""
-    short = [i for i, x in enumerate(lines) if len(x) < s.long]
-    own = keys_of([lines[i] for i in short], s.edits)
-    out = [(np.repeat(np.array(short, np.int64), own.shape[1]), own.ravel())]
-    # a line may be shorter than long, and the longer one of its pair not
-    tall = [i for i, x in enumerate(lines) if len(x) >= s.long - s.edits - 1] if s.percent else []
-    if tall:
-        at, keys = minima_of([lines[i] for i in tall], s)
-        out.append((np.array(tall, np.int64)[at], keys))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-
-def parities(lines: list[str]) -> np.ndarray:
-    """Rows of 64 parities of counts of characters and 256 of pairs of characters; an edit changes two and four at most."""
+    """(line's index, key): lines that may be linked share a key. Lines of nearly min_words words have both kinds."""
+    worded = word_symbols(lines)
+    n = np.array([len(x) // 4 for x in worded], np.int64)
+    at, keys = [], []
+    for kind, own in ((0, np.flatnonzero(n < s.min_words)), (1, np.flatnonzero(n >= s.min_words - s.edits))):
+        got = keys_of([worded[i] if kind else lines[i].encode("utf-32-le") for i in own.tolist()], s.edits, kind)
+        at.append(np.repeat(own, got.shape[1]))
+        keys.append(got.ravel())
+    return np.concatenate(at), np.concatenate(keys)
+
+
+def parities(lines: list[bytes]) -> np.ndarray:
+    """Rows of 64 parities of counts of symbols and 256 of pairs of them; an edit changes two and four at most."""
     out = np.zeros((len(lines), 5), U64)
     one = U64(1)
-    for first, run in chunks(x.encode("utf-32-le") for x in lines):
+    for first, run in chunks(lines):
         size = np.array([len(x) // 4 for x in run], np.int64)
         full = np.flatnonzero(size)
         if not len(full):
@@ -146,67 +111,110 @@ def parities(lines: list[str]) -> np.ndarray:
         begin = np.cumsum(size)[full] - size[full]
         out[first + full, 0] = np.bitwise_xor.reduceat(one << (mix(x) & U64(63)), begin)
         pair = mix(x[1:] << U64(32) | x[:-1])
-        inside = np.ones(len(x), bool)
-        inside[begin + size[full] - 1] = False  # a line's last character begins no pair
-        bit = np.zeros(len(x), U64)
-        bit[:-1] = one << (pair & U64(63))
-        bit[~inside] = 0
-        word = np.zeros(len(x), U64)
-        word[:-1] = pair >> U64(6) & U64(3)
+        bit, word = np.zeros(len(x), U64), np.zeros(len(x), U64)
+        bit[:-1], word[:-1] = one << (pair & U64(63)), pair >> U64(6) & U64(3)
+        bit[begin + size[full] - 1] = 0  # a line's last symbol begins no pair
         for k in range(4):
             out[first + full, k + 1] = np.bitwise_xor.reduceat(np.where(word == k, bit, U64(0)), begin)
     return out
 
 
-class Comparer:
-    """Compares lines, in the order of their lengths and with their parities, within the budget of the longer line."""
+def sketches(lines: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(order, parities of characters, then of words): lines that are compared by words come last, in the order of their
+    numbers of words; the others in that of their lengths."""
+    worded = word_symbols(lines)
+    n = np.array([len(x) // 4 for x in worded], np.int64)
+    order = np.where(n >= s.min_words, (1 << 40) + n, [len(x) for x in lines])
+    by_words = n >= s.min_words - s.edits
+    chars = parities([b"" if k >= s.min_words else x.encode("utf-32-le") for x, k in zip(lines, n.tolist())])
+    return order, np.concatenate((chars, parities([x if k else b"" for x, k in zip(worded, by_words.tolist())])), axis=1)
 
-    #: Pairs of one line from which they are verified together; pairs, columns and table cells that are held at a time.
-    TOGETHER, PAIRS, COLUMNS, CELLS = 24, 1 << 14, 64, 1 << 23
+
+class Comparer:
+    """Compares lines, in the order and with the parities of sketches()."""
 
     def __init__(self, lines: list[str], odd: np.ndarray, s: Settings):
-        self.lines, self.odd, self.s = lines, odd, s
-        self.size = np.array([len(x) for x in lines], np.int64)
-        self.symbols: np.ndarray | None = None
-        self.most = s.budget(self.size)
-        # a later line is the longer one: the last of them that can be within its budget
-        self.reach = np.searchsorted(self.size - self.most, self.size, "right") if len(lines) > 2 else None
+        self.s, self.odd, self.lines = s, odd, lines
+        self.words = [x.encode().split() for x in lines]
+        self.n_words = np.array([len(x) for x in self.words], np.int64)
+        self.by_words = int(np.searchsorted(self.n_words >= s.min_words, True))  # the first line that is
+        self.size = np.array([len(x) for x in lines[: self.by_words]], np.int64)
+        self.held: dict[bool, Sequences] = {}
 
     def near(self, x: int) -> np.ndarray:
-        """Which later, and so not shorter, lines may be linked to line x."""
-        lo, hi = x + 1, len(self.size) if self.reach is None else int(self.reach[x])
-        lo = max(lo, int(np.searchsorted(self.size, self.s.min_chars)))
-        if lo >= hi:
-            return np.empty(0, np.int64)
-        most = self.most[lo:hi]
-        bits = np.bitwise_count(self.odd[lo:hi] ^ self.odd[x])
-        ok = (self.size[lo:hi] - self.size[x] <= most) & (bits[:, 0] <= 2 * most)
-        ok &= bits[:, 1:].sum(axis=1, dtype=np.int64) <= 4 * most
-        return lo + np.flatnonzero(ok)
+        """Which later lines may be linked to line x."""
+        s, out = self.s, []
+        if x < self.by_words:
+            lo = max(x + 1, int(np.searchsorted(self.size, s.min_chars)))
+            out.append((lo, int(np.searchsorted(self.size, self.size[x] + s.edits, "right")), slice(0, 5)))
+        if x >= self.by_words or self.n_words[x] >= s.min_words - s.edits:
+            lo = max(x + 1, self.by_words)
+            out.append((lo, self.by_words + int(np.searchsorted(self.n_words[self.by_words :], self.n_words[x] + s.edits, "right")), slice(5, 10)))
+        found = []
+        for lo, hi, part in out:
+            if lo < hi:
+                bits = np.bitwise_count(self.odd[lo:hi, part] ^ self.odd[x, part])
+                found.append(lo + np.flatnonzero((bits[:, 0] <= 2 * s.edits) & (bits[:, 1:].sum(axis=1, dtype=np.int64) <= 4 * s.edits)))
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
     def linked(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        """Which pairs of lines are within their budgets, exactly."""
-        most = self.s.budget(np.maximum(self.size[xs], self.size[ys]))
+        """Which pairs of lines, the second ones later, are within the edits, exactly."""
         out = np.zeros(len(xs), bool)
-        order = np.lexsort((xs, most))
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(xs[order]) != 0) | (np.diff(most[order]) != 0))))
+        for by_words in (False, True):
+            own = np.flatnonzero((ys >= self.by_words) == by_words)
+            if len(own):
+                if by_words not in self.held:
+                    numbers: dict[bytes, int] = {}
+                    spelt = ["".join([_SYMBOLS(numbers.setdefault(w, len(numbers))) for w in x]) for x in self.words] if by_words else self.lines
+                    self.held[by_words] = Sequences(spelt)
+                out[own] = self.held[by_words].linked(xs[own], ys[own], self.s.edits)
+        return out
+
+
+def _SYMBOLS(n: int) -> str:
+    """A character for a word's number; none is a surrogate."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
+class Sequences:
+    """Strings whose pairs are compared many at a time."""
+
+    #: Pairs of one string from which they are verified together; pairs, columns and table cells that are held at a time.
+    TOGETHER, PAIRS, COLUMNS, CELLS = 24, 1 << 14, 64, 1 << 23
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.size = np.array([len(x) for x in lines], np.int64)
+        self.symbols: np.ndarray | None = None
+
+    def linked(self, xs: np.ndarray, ys: np.ndarray, k: int) -> np.ndarray:
+        """Which pairs are within k edits."""
+        out = np.zeros(len(xs), bool)
+        order = np.argsort(xs, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(xs[order]) != 0)))
         held: list[np.ndarray] = []
         count = cells = 0
+
+        def flush() -> None:
+            nonlocal held, count, cells
+            if held:
+                out[np.concatenate(held)] = self._together(xs, ys, np.concatenate(held), k)
+            held, count, cells = [], 0, 0
+
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
             own = order[lo:hi]
-            k, deep = int(most[own[0]]), int(self.size[ys[own]].max())
-            if hi - lo < self.TOGETHER or 2 * k + 1 > 63 or min(deep, self.size[xs[own[0]]]) <= 2 * k:
-                out[own] = [near_enough(self.lines[x], self.lines[y], k) for x, y in zip(xs[own].tolist(), ys[own].tolist())]
-                continue
-            self._number()
-            if held and (count + len(own) > self.PAIRS or cells + deep * self.kinds > self.CELLS or k != most[held[0][0]]):
-                out[np.concatenate(held)] = self._together(xs, ys, np.concatenate(held), int(most[held[0][0]]))
-                held, count, cells = [], 0, 0
-            held.append(own)
-            count += len(own)
-            cells += deep * self.kinds
-        if held:
-            out[np.concatenate(held)] = self._together(xs, ys, np.concatenate(held), int(most[held[0][0]]))
+            deep = int(self.size[ys[own]].max())
+            if hi - lo >= self.TOGETHER and 2 * k + 1 < 64 and min(deep, self.size[xs[own[0]]]) > 2 * k:
+                self._number()
+                if deep * self.kinds <= self.CELLS:
+                    if count + len(own) > self.PAIRS or cells + deep * self.kinds > self.CELLS:
+                        flush()
+                    held.append(own)
+                    count += len(own)
+                    cells += deep * self.kinds
+                    continue
+            out[own] = [near_enough(self.lines[x], self.lines[y], k) for x, y in zip(xs[own].tolist(), ys[own].tolist())]
+        flush()
         return out
 
     def _number(self) -> None:
@@ -220,7 +228,7 @@ class Comparer:
 
         Bit r of a vector stands for row column - k + r of the pair's own band. The score follows the lowest diagonal to
         the last column, where the vertical differences lead back from there to the last row."""
-        kind = np.uint32 if 2 * k + 1 < 32 else U64
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, U64) if 2 * k + 1 < 8 * t().itemsize)
         one = kind(1)
         order = np.argsort(-self.size[ys[pairs]], kind="stable")
         xs, ys = xs[pairs[order]], ys[pairs[order]]
@@ -239,7 +247,7 @@ class Comparer:
         begin, own = self.begin[ys], where * (deep * self.kinds)
         full, high = kind((1 << (2 * k + 1)) - 1), kind(2 * k)
         n = len(xs)
-        plus, minus, hits = np.full(n, full >> kind(k) << kind(k), kind), np.zeros(n, kind), np.zeros(n, kind)
+        plus, minus, hits = np.full(n, full >> kind(k) << kind(k), kind), np.zeros(n, kind), np.zeros(n, np.int32)
         live = np.searchsorted(-lb, -np.arange(deep), "left")  # pairs with a column j
         d, right, left = np.empty(n, kind), np.empty(n, kind), np.empty(n, kind)
         for j in range(deep):
@@ -403,11 +411,13 @@ def _texts(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
     return texts
 
 
-def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, payload) with the payload's length in code points and its parities."""
-    for batch in batches:
-        lines = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in lines], pa.int64()), pa.array([x.tobytes() for x in parities(lines)], pa.binary())], names=["node", "payload", "size", "sketch"])
+def _sketched(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, odd = sketches(batch.column(1).to_pylist(), s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order), pa.array([x.tobytes() for x in odd], pa.binary())], names=["node", "payload", "size", "sketch"])
+
+    return sketched
 
 
 def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -417,8 +427,8 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     lines: the numbers, from 0, of lines of which an equal or nearly equal one comes earlier (by doc_id, then row, then
     line). every: for rows of which there are copies, the lines that all copies but one lose. class_doc_id: the smallest
     doc_id that holds the first line of one of their classes, null where lines is empty. n_links: the verified links of
-    each of the row's lines, removed or not, added up; a link is a pair of different lines within the budget of edits, and
-    all of them count. Null and empty texts have no lines. Different rows that share a doc_id, null or not, are rows of
+    each of the row's lines, removed or not, added up; a link is a pair of different lines within the edits, and all of
+    them count. Null and empty texts have no lines. Different rows that share a doc_id, null or not, are rows of
     their own. Rows with a null doc_id come before all others. An empty table gives an empty result."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -427,7 +437,7 @@ def duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     def fetch(asked: DataFrame) -> DataFrame:
         own = docs.select("text").mapInArrow(_texts(s), "node long, payload string").join(asked, "node").groupBy("node").agg(F.first("payload").alias("payload"))
-        return own.mapInArrow(_sketched, "node long, payload string, size long, sketch binary")
+        return own.mapInArrow(_sketched(s), "node long, payload string, size long, sketch binary")
 
     buckets = docs.select("text").mapInArrow(_buckets(s), "key long, node long")
     degree, found = count_links(buckets, fetch, lambda lines, odd: Comparer(lines, odd, s))

@@ -370,7 +370,7 @@ def count_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], com
     (node, component).
 
     buckets (key long, node long) are read once. fetch: takes nodes (node) and returns (node, payload string, size long,
-    sketch binary). compare: takes payloads and sketches in the order of their sizes, and returns an object with near(x),
+    sketch binary). compare: takes payloads and sketches in the order of size, and returns an object with near(x),
     which later ones are candidates, and linked(xs, ys), exact. All candidate pairs of a bucket are verified, in pairs of
     blocks; counts are summed in the tasks, so that no row is made for a pair. A block is bounded in members and bytes."""
     spark = buckets.sparkSession
@@ -381,8 +381,8 @@ def count_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], com
     members = scratch.table(members.join(sizes.select("key"), "key"), "members")
     keys = members.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the buckets of one node
     payloads = scratch.table(fetch(bounded(keys.select("node"))), "payloads")
-    heavy = members.join(payloads.select("node", "size"), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    heavy = heavy.select("key", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(4 * F.col("bytes") / BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
+    heavy = members.join(payloads.select("node", F.octet_length("payload").alias("bytes")), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    heavy = heavy.select("key", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
     rest = members.join(keys, "node").join(payloads, "node").join(bounded(scratch.table(heavy, "heavy")), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rest = rest.withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -96,7 +96,7 @@ def test_banded_distance_and_keys_lose_nothing():
         near = distance(a, b) <= k
         assert line_dedup.within(a, b, k) == near
         if near and min(len(a), len(b)) > k:
-            x, y = line_dedup.keys_of([a, b], k)
+            x, y = line_dedup.keys_of([a.encode("utf-32-le"), b.encode("utf-32-le")], k)
             assert set(x) & set(y)
 
 
@@ -146,23 +146,37 @@ def test_line_links_are_all_counted(spark, monkeypatch):
     assert got[0].n_removed == 0 and got[0].n_links > 0 and got[0].class_doc_id == 0
 
 
-def test_budget_grows_with_the_line():
+def by_rule(a, b, s=line_dedup.Settings()):
+    """The rule of Settings, by full tables."""
+    x, y = a.encode().split(), b.encode().split()
+    if max(len(x), len(y)) >= s.min_words:
+        return distance(x, y) <= s.edits
+    return max(len(a), len(b)) >= s.min_chars and distance(a, b) <= s.edits
+
+
+def test_pairs_by_words_and_by_characters_share_keys():
     rng = random.Random(4)
     s = line_dedup.Settings()
-    for size in [*range(143, 156), 199, 200, 201, 245, 249, 250, 400, 1003] * 4:
-        a = "".join(rng.choice("abcdé ") for _ in range(size))
+    seen = [0, 0]
+    for n in [*range(15, 26), 40, 90] * 8:
+        a = [f"w{rng.randrange(50)}" for _ in range(n)]
         b = list(a)
-        for k in range(most := int(s.budget(size))):  # spread evenly, which leaves the shortest runs
-            i = (size * (k + 1)) // (most + 1)
-            b[i] = rng.choice(["", "x", b[i] + "y"])
-        b = "".join(b)
-        most = int(s.budget(max(len(a), len(b))))
-        if distance(a, b) <= most:
-            at, keys = line_dedup.all_keys([a, b], s)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(2)] = rng.choice([[], ["x"], ["yy"], [b[i] + "z"]])
+        own = [" ".join(a), " ".join(b)]
+        order, odd = line_dedup.sketches(own, s)
+        own = [own[i] for i in np.argsort(order, kind="stable")]
+        odd = odd[np.argsort(order, kind="stable")]
+        near = by_rule(*own)
+        seen[near] += 1
+        if near:
+            at, keys = line_dedup.all_keys(own, s)
             assert set(keys[at == 0]) & set(keys[at == 1])
-            own = sorted([a, b], key=len)
-            compared = line_dedup.Comparer(own, line_dedup.parities(own), s)
-            assert list(compared.near(0)) == [1] and compared.linked(np.array([0]), np.array([1]))[0]
+        compared = line_dedup.Comparer(own, odd, s)
+        tried = list(compared.near(0))
+        assert near <= (tried == [1]) and (tried == [1] and bool(compared.linked(np.array([0]), np.array([1]))[0])) == near
+    assert min(seen) > 10
 
 
 def test_a_replaced_word_leaves_a_paragraph_linked(spark):
@@ -190,19 +204,15 @@ def edited(text, n, rng):
     return "".join(out)
 
 
-@pytest.mark.parametrize(("size", "most"), [(30, 2), (160, 5), (530, 14), (1900, 40)])
-def test_many_pairs_at_a_time_equal_one_at_a_time(size, most, monkeypatch):
-    monkeypatch.setattr(line_dedup.Comparer, "PAIRS", 500)
+@pytest.mark.parametrize(("size", "k"), [(30, 2), (160, 5), (530, 14), (1900, 33)])
+def test_many_pairs_at_a_time_equal_one_at_a_time(size, k, monkeypatch):
+    monkeypatch.setattr(line_dedup.Sequences, "PAIRS", 500)
     rng = random.Random(size)
     base = "".join(rng.choice("abcdé fgh") for _ in range(size))
-    lines = sorted((edited(base, rng.randrange(most), rng) for _ in range(50)), key=len)
-    s = line_dedup.Settings()
-    own = line_dedup.Comparer(lines, line_dedup.parities(lines), s)
-    want = {(x, y) for x, y in itertools.combinations(range(50), 2) if line_dedup.within(lines[x], lines[y], int(s.budget(len(lines[y]))))}
-    tries = [(x, y) for x in range(50) for y in own.near(x).tolist()]
-    assert want <= set(tries) and 0 < len(want) < 50 * 49 // 2
-    ok = own.linked(*np.array(tries).T)
-    assert {t for t, k in zip(tries, ok) if k} == want
+    lines = [edited(base, rng.randrange(k + 2), rng) for _ in range(50)]
+    xs, ys = np.triu_indices(50, 1)
+    want = [line_dedup.within(lines[x], lines[y], k) for x, y in zip(xs, ys)]
+    assert line_dedup.Sequences(lines).linked(xs, ys, k).tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_rows_that_share_an_id_keep_their_own_lines(spark):
