@@ -1,5 +1,5 @@
-"""Agreement statistics as columns for groupBy().agg(): y is the ground truth, p the rating. All are sums of powers, so
-they are combined before the shuffle."""
+"""Agreement statistics as columns for groupBy().agg(): y is the ground truth, p the rating. All are sums, combined
+before the shuffle."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def r2(y, p) -> Column:
     """1 - SSE / SST about the mean of y; 1 or 0 where SST is 0, null for fewer than two pairs. Not a squared correlation."""
     y, p = _c(y).cast("double"), _c(p).cast("double")
     sse, n = F.sum((y - p) * (y - p)), F.count(y)
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
+    sst = F.var_pop(y) * n  # not from raw sums, which lose digits where n is large
     return F.when(n < 2, None).when(sst <= 1e-12, F.when(sse <= 1e-12, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 
 

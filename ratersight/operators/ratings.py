@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import exp, lgamma, log
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import agreement as A
@@ -10,9 +12,14 @@ from ratersight.functions import agreement as A
 CELL = ["model", "run", "item"]
 
 
-def cells(raw: DataFrame, cap: int = 6, failure_policy: str = "backfill") -> DataFrame:
+def caps(item: str = "item", cap: int = 6, total_cap: int = 60) -> Column:
+    """The greatest rating of an item; item 0 is the total."""
+    return F.when(F.col(item) == 0, total_cap).otherwise(cap)
+
+
+def cells(raw: DataFrame, cap: int | Column = 6, failure_policy: str = "backfill") -> DataFrame:
     """Ratings under the failure rules: a missing one becomes ground truth minus cap (an error of cap) with failure 1, or
-    goes (`drop`); one over the cap goes; a cell that is not there stays out."""
+    goes (`drop`); one over the cap goes; a cell that is not there stays out. cap may be a column, as caps() is."""
     missing = F.col("rating").isNull() | F.isnan("rating")
     out = raw.withColumn("failure", missing.cast("int"))
     if failure_policy == "drop":
@@ -20,27 +27,42 @@ def cells(raw: DataFrame, cap: int = 6, failure_policy: str = "backfill") -> Dat
     return out.withColumn("rating", F.when(missing, (F.col("ground_truth") - cap).cast("double")).otherwise(F.col("rating"))).filter(F.col("rating") <= cap)
 
 
-def counted(rated: DataFrame, keys: list[str]) -> DataFrame:
-    """Rated pairs as counts of (ground_truth, rating) per key: small tables from which label ranks are taken."""
-    return rated.groupBy(*keys, "ground_truth", "rating").agg(F.count("*").alias("n"))
+def ranked(rated: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts n (and failures) of each pair (y, p) of ground truth and rating per key, with the positions a and b of both
+    among the labels that y and p take together in that key, and low, the key's least y.
 
+    One pass over the ratings, combined before the shuffle; all else is over the small table of counts, and nothing is
+    joined back, so no filter can be inferred into the scan."""
+    y, p = F.col("ground_truth").cast("double").alias("y"), F.col("rating").cast("double").alias("p")
+    failures = F.sum("failure").cast("long") if "failure" in rated.columns else F.lit(0).cast("long")
+    own = rated.groupBy(*keys, y, p).agg(F.count("*").alias("n"), failures.alias("failures"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col("y").alias("v")), F.struct(F.lit(False).alias("truth"), F.col("p").alias("v"))))
+    both = own.withColumn("side", sides)
+    by = Window.partitionBy(*keys)
+    both = both.withColumns({"at": F.dense_rank().over(by.orderBy("side.v")).cast("double"), "low": F.min("y").over(by)})
+    place = lambda truth, name: F.max(F.when(F.col("side.truth") == truth, F.col("at"))).alias(name)
+    return both.groupBy(*keys, "y", "p").agg(F.first("n").alias("n"), F.first("failures").alias("failures"), F.first("low").alias("low"), place(True, "a"), place(False, "b"))
 
-def qwk(rated: DataFrame, keys: list[str]) -> DataFrame:
-    """Quadratic weighted kappa per key, on the positions of the labels that y and p take together in that key."""
-    own = counted(rated, keys)
-    labels = own.select(*keys, F.col("ground_truth").cast("double").alias("v")).union(own.select(*keys, "rating")).distinct()
-    rank = labels.withColumn("at", F.dense_rank().over(Window.partitionBy(*keys).orderBy("v")).cast("double"))
-    both = own.withColumn("y", F.col("ground_truth").cast("double")).join(rank.withColumnsRenamed({"v": "y", "at": "a"}), [*keys, "y"]).join(rank.withColumnsRenamed({"v": "rating", "at": "b"}), [*keys, "rating"])
+
+def _kappa() -> Column:
     a, b, n = F.col("a"), F.col("b"), F.col("n")
     observed = F.sum(n * (a - b) * (a - b))
     expected = F.sum(n * a * a) + F.sum(n * b * b) - 2 * F.sum(n * a) * F.sum(n * b) / F.sum(n)
-    return both.groupBy(*keys).agg((1 - F.try_divide(observed, expected)).alias("qwk"))
+    return 1 - F.try_divide(observed, expected)
+
+
+def qwk(rated: DataFrame, keys: list[str]) -> DataFrame:
+    """Quadratic weighted kappa per key, on the positions of the labels that y and p take together in that key."""
+    return ranked(rated, keys).groupBy(*keys).agg(_kappa().alias("qwk"))
 
 
 def metrics(rated: DataFrame, keys: list[str] = CELL) -> DataFrame:
-    """n, failures, mae, r2 and qwk per key; one pass over the pairs, and one over their counts."""
-    base = rated.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("failure").cast("long").alias("failures"), A.mae("ground_truth", "rating").alias("mae"), A.r2("ground_truth", "rating").alias("r2"))
-    return base.join(qwk(rated, keys), keys)
+    """n, failures, mae, r2 and qwk per key, all from one table of counts of pairs."""
+    y, p, n = F.col("y") - F.col("low"), F.col("p") - F.col("low"), F.col("n")
+    total, sse = F.sum("n"), F.sum(n * (y - p) * (y - p))
+    sst = F.sum(n * y * y) - F.sum(n * y) * F.sum(n * y) / total
+    r2 = F.when(total < 2, None).when(sst <= 1e-12, F.when(sse <= 1e-12, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
+    return ranked(rated, keys).groupBy(*keys).agg(total.alias("n"), F.sum("failures").alias("failures"), (F.sum(n * F.abs(y - p)) / total).alias("mae"), r2.alias("r2"), _kappa().alias("qwk"))
 
 
 def gated(measured: DataFrame, expected: DataFrame, spare: int = 10) -> DataFrame:
@@ -51,10 +73,10 @@ def gated(measured: DataFrame, expected: DataFrame, spare: int = 10) -> DataFram
     return out.withColumns({c: F.when(F.col("status") == "scored", F.col(c)) for c in ("mae", "r2", "qwk")}).drop("expected")
 
 
-def over_runs(scored: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Mean and population deviation of each value over runs."""
+def over_runs(scored: DataFrame, keys: list[str], values: list[str], **more: Column) -> DataFrame:
+    """Mean and population deviation of each value over runs, and other aggregates by name."""
     parts = [f(F.col(v)).alias(f"{name}_{v}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return scored.groupBy(*keys).agg(F.count("*").alias("n_runs"), *parts)
+    return scored.groupBy(*keys).agg(F.count("*").alias("n_runs"), *parts, *(c.alias(n) for n, c in more.items()))
 
 
 def macro(scored: DataFrame) -> DataFrame:
@@ -82,12 +104,98 @@ def classified(rated: DataFrame, keys: list[str], cut: int) -> DataFrame:
     return rated.filter("failure = 0").groupBy(*keys).agg(A.precision(y, p).alias("precision"), A.recall(y, p).alias("recall"), A.f1(y, p).alias("f1"), F.count("*").alias("n"))
 
 
+def classified_over_runs(rated: DataFrame, keys: list[str], cut: int) -> DataFrame:
+    """Mean and population deviation over runs of precision, recall and F1, and the mean n; the gates don't apply."""
+    own = classified(rated, [*keys, "run"], cut)
+    return over_runs(own, keys, ["precision", "recall", "f1"], n_samples=F.avg("n"))
+
+
+def total_truth(truth: DataFrame, items: int = 10) -> DataFrame:
+    """(session, total) of the sessions that have all items 1 .. items in truth (session, item, ground_truth): the sum of
+    the items, whatever total is stored elsewhere."""
+    own = truth.filter(F.col("item").between(1, items) & F.col("ground_truth").isNotNull())
+    return own.groupBy("session").agg(F.sum("ground_truth").cast("long").alias("total"), F.count_distinct("item").alias("k")).filter(F.col("k") == items).drop("k")
+
+
+def with_total_sessions(valid: DataFrame) -> DataFrame:
+    """valid (item, session) with item 0 as the union of all items' sessions."""
+    return valid.select("item", "session").union(valid.select(F.lit(0).alias("item"), "session")).distinct()
+
+
+def mean_icc(per_item: DataFrame) -> DataFrame:
+    """Per model: mean and population deviation of the items' mean ICCs."""
+    return per_item.groupBy("model").agg(F.avg("mean_icc").alias("mean"), F.stddev_pop("mean_icc").alias("std"), F.count("mean_icc").alias("n_items"))
+
+
+def overall(scored: DataFrame, value: str, item: str = "item") -> DataFrame:
+    """Per model: the stored overall value (item 0), or the mean of the items that have one where it is not there."""
+    stored = F.max(F.when(F.col(item) == 0, F.col(value)))
+    return scored.groupBy("model").agg(F.coalesce(stored, F.avg(F.when(F.col(item) > 0, F.nanvl(value, F.lit(None))))).alias(value), stored.isNull().alias("fallback"))
+
+
+def evaluated(rated: DataFrame, items: tuple[int, int] = (1, 10)) -> DataFrame:
+    """The stand-alone evaluation: MAE, R2 and ICC(3,k) of each run, then their mean and population deviation, per model
+    and item of a range. Failures are left out; a run needs two pairs for R2 and an ICC."""
+    own = rated.filter(F.col("item").between(*items) & (F.col("failure") == 0)).groupBy("model", "item", "run")
+    runs = own.agg(A.mae("ground_truth", "rating").alias("mae"), A.r2("ground_truth", "rating").alias("r2"), A.icc("ground_truth", "rating", "icc3k").alias("icc"))
+    return over_runs(runs, ["model", "item"], ["mae", "r2", "icc"])
+
+
+def progress(expected: DataFrame, rated: DataFrame) -> DataFrame:
+    """Per model: cells done, failed and absent."""
+    keys = ["session", "item", "model", "run"]
+    own = expected.join(rated.select(*keys, "failure"), keys, "left")
+    f = F.col("failure")
+    return own.groupBy("model").agg(F.count_if(f == 0).alias("ok"), F.count_if(f == 1).alias("failed"), F.count_if(f.isNull()).alias("skipped"))
+
+
+def paired_delta(scored: DataFrame, keys: list[str], value: str, flag: str = "reasoning") -> DataFrame:
+    """The other's value less the reasoning one's per key, of pairs in which both are finite."""
+    finite = scored.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+    a = finite.filter(F.col(flag)).select(*keys, F.col(value).alias("r"))
+    b = finite.filter(~F.col(flag)).select(*keys, F.col(value).alias("nr"))
+    return a.join(b, keys).withColumn("delta", F.col("nr") - F.col("r"))
+
+
 def icc_over_runs(rated: DataFrame, keys: list[str], kind: str = "icc3", least: int = 10) -> DataFrame:
     """Mean and population deviation over runs of the ICC of runs with at least so many pairs; pairs of the last run."""
     own = rated.groupBy(*keys, "run").agg(F.count("*").alias("n"), A.icc("ground_truth", "rating", kind).alias("icc")).filter(F.col("n") >= least)
     return own.groupBy(*keys).agg(F.avg("icc").alias("mean_icc"), F.stddev_pop("icc").alias("std_icc"), F.max_by("n", "run").alias("n_sessions"))
 
 
+def spearman_p(rho: float, n: int) -> float:
+    """The two-sided p-value of a rank correlation by Student's t with n - 2 degrees of freedom (on the driver)."""
+    if abs(rho) >= 1:
+        return 0.0
+    k = n - 2
+    t2 = rho * rho * k / (1 - rho * rho)
+    return _beta_share(k / 2, 0.5, k / (k + t2))
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(300):
+        m = i // 2
+        top = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + top * d or 1e-30)
+        c = 1 + top / c or 1e-30
+        f *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    return front * (f - 1)
+
+
+def stars(p: float) -> str:
+    """Marks of significance at 0.001, 0.01 and 0.05."""
+    return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else ""
+
+
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, least: int = 4) -> DataFrame:
     """Rank correlation with average ranks for ties, per key with at least so many pairs."""
     def ranked(c: str):

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an explicit order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    place = _free(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name that df has no column of."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def visit_number(patient: str, date: str) -> Column:
@@ -18,11 +26,24 @@ def visit_number(patient: str, date: str) -> Column:
 
 
 def lookup(df: DataFrame, dimension: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
-    """A small dimension's columns by key, with defaults for misses."""
-    out = df.join(F.broadcast(dimension), keys, "left")
+    """A dimension's columns by key, with defaults for misses. It is broadcast only if the session's size limit allows."""
+    out = df.join(dimension, keys, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def ranked_rows(df: DataFrame, key: str) -> DataFrame:
+    """df with place, the row's number from 1 by an integer key that no two rows share, and total, the number of rows.
+
+    Rows are numbered inside blocks of keys; the blocks' counts, a small table, are added up. No task gets all rows."""
+    size = 1 << 12
+    own = df.withColumn("block", F.floor(F.col(key) / size))
+    counts = own.groupBy("block").agg(F.count("*").alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy(key))
+    return own.withColumn("place", within).join(counts, "block").withColumn("place", F.col("place") + F.col("before")).drop("block", "before")
+
+
 def shard(order: str, shards: int, total: Column) -> Column:
     """Contiguous shards of total // shards rows by rank `order` (from 1); the last one takes what is over."""
     size = F.floor(total / shards)
@@ -64,7 +85,72 @@ def centred(value: str, keys: list[str]) -> dict[str, Column]:
 
 def z_scores(df: DataFrame, values: list[str]) -> DataFrame:
     """Each value less its mean over its sample deviation; 0 where that is 0 or unknown. One row of totals is broadcast."""
-    totals = df.agg(*(f(v).alias(f"_{name}_{v}") for v in values for name, f in (("m", F.avg), ("s", F.stddev_samp))))
-    out = df.join(F.broadcast(totals))
-    z = {f"{v}_z": F.coalesce(F.try_divide(F.col(v) - F.col(f"_m_{v}"), F.when(F.col(f"_s_{v}") > 0, F.col(f"_s_{v}"))), F.lit(0.0)) for v in values}
-    return out.withColumns(z).drop(*totals.columns)
+    totals = df.agg(*(f(v).alias(f"{name}_of_{v}") for v in values for name, f in (("mean", F.avg), ("deviation", F.stddev_samp))))
+    out = df.select(F.struct("*").alias("row")).join(F.broadcast(totals.select(F.struct("*").alias("totals"))))
+    of = lambda name, v: F.col("totals")[f"{name}_of_{v}"]
+    z = [F.coalesce(F.try_divide(F.col("row")[v] - of("mean", v), F.when(of("deviation", v) > 0, of("deviation", v))), F.lit(0.0)).alias(f"{v}_z") for v in values]
+    return out.select("row.*", *z)
+
+
+def left_preferred(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which columns that both sides have are the left side's."""
+    return left.join(right.drop(*(c for c in right.columns if c in left.columns and c not in keys)), keys, "left")
+
+
+def listed(df: DataFrame, model: str, table: DataFrame, key: str, deny: tuple = (), allow: tuple | None = None) -> DataFrame:
+    """The rows whose model is in a table of models, not on the deny-list and, if there is one, on the allow-list."""
+    out = df.join(table.select(F.col(key).alias(model)).distinct(), model, "left_semi")
+    if deny:
+        out = out.filter(~F.col(model).isin(*deny))
+    return out if allow is None else out.filter(F.col(model).isin(*allow))
+
+
+def renamed(df: DataFrame, column: str, names: DataFrame, shown: str, key: str, to: str) -> DataFrame:
+    """`to`: the key of a shown name by a table of names, or the name itself where it is not there. Of several keys the least."""
+    one = names.groupBy(F.col(shown).alias(column)).agg(F.min(key).alias(to))
+    return df.join(one, column, "left").withColumn(to, F.coalesce(F.col(to), F.col(column).cast(one.schema[to].dataType)))
+
+
+def unpivoted(df: DataFrame, keys: list[str], columns: dict[str, object], name: str, value: str) -> DataFrame:
+    """Label columns as rows: `columns` maps each one to the value of `name`."""
+    parts = F.array(*(F.struct(F.lit(v).alias(name), F.col(c).alias(value)) for c, v in columns.items()))
+    return df.select(*keys, F.inline(parts))
+
+
+def shared_columns(left: DataFrame, right: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Names that both tables have, those of the left one alone and those of the right one alone, in their order."""
+    both = [c for c in left.columns if c in right.columns]
+    return both, [c for c in left.columns if c not in both], [c for c in right.columns if c not in both]
+
+
+def stacked(df: DataFrame, columns: list[str], name: str = "value") -> DataFrame:
+    """The values of several columns in one."""
+    return df.select(F.explode(F.array(*(F.col(c) for c in columns))).alias(name))
+
+
+def position(keys: list, order: list) -> Column:
+    """The place, from 1, of a row within its keys in a full order; without keys the table should be a report's."""
+    return F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order))
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Predictors of two fits side by side: the left one's in its order, then those of the right one alone in theirs."""
+    a = left.select(key, F.struct(*(c for c in left.columns if c != key)).alias("l"))
+    b = right.select(key, F.struct(*(c for c in right.columns if c != key)).alias("r"))
+    return a.join(b, key, "full_outer").withColumn("place", position([], [F.col("l").isNull(), F.coalesce(F.col("l")[order], F.col("r")[order]), key]))
+
+
+def in_order(df: DataFrame, column: str, order: list) -> DataFrame:
+    """The rows whose value is in a fixed list, with their place in it."""
+    spark = df.sparkSession
+    listed_values = spark.createDataFrame(list(enumerate(order)), f"place int, {column} {df.schema[column].dataType.simpleString()}")
+    return df.join(F.broadcast(listed_values), column)  # a literal list
+
+
+def pauses(df: DataFrame, keys: list[str], gap: str, long: float = 0.5) -> DataFrame:
+    """Of gaps over 0: count, mean, deviation, quantiles, and the gaps over `long` in falling order with their number."""
+    q = lambda p: F.percentile(gap, F.lit(p)).alias(f"p{round(100 * p)}")
+    over = F.col(gap) > long
+    aggregates = (F.count("*").alias("n"), F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("std"), *map(q, (0.25, 0.5, 0.75, 0.9, 0.95)), F.count_if(over).alias("n_long"), F.sort_array(F.collect_list(F.when(over, F.col(gap))), asc=False).alias("long"))
+    own = df.filter(F.col(gap) > 0)
+    return own.groupBy(*keys).agg(*aggregates)

@@ -5,23 +5,38 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions.text import clock
 
-#: Fixed values, in seconds: pauses that end a segment anywhere, after a sentence, after a clause and after a question;
+#: The marks of a clause's end. In seconds: pauses that end a segment anywhere, after a sentence, after a clause and after a question;
 #: the least length of a segment that a clause ends, and the length that ends any.
+CLAUSE_MARKS = frozenset(",;:\u2014\u2013")
 LONG, SENTENCE, CLAUSE, QUESTION, LEAST, MOST = 2.0, 0.2, 0.3, 0.3, 2.0, 30.0
 
 
 def vtt(cues: DataFrame, key: str, order: str, start: str, end: str, text: str) -> DataFrame:
-    """One WEBVTT text per key, cues in order; a null text is an empty cue."""
+    """One WEBVTT text per key, cues in order; a null text is an empty cue. See also whole_vtt()."""
     cue = F.concat(clock(F.col(start)), F.lit(" --> "), clock(F.col(end)), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
     own = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, cue.alias("cue")))).alias("cues"))
     return own.select(key, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda c: c["cue"]), "\n")).alias("vtt"))
 
 
+def whole_vtt(text: Column) -> Column:
+    """The WEBVTT text of a transcript without segments: one cue over all."""
+    return F.concat(F.lit("WEBVTT\n\n00:00:00.000 --> 99:59:59.999\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
+def merged(chunks: DataFrame, key: str = "track") -> DataFrame:
+    """Words of a recording that was transcribed in chunks (key, chunk, length, words array<struct<word, start, end>>), their
+    times shifted by the lengths of the chunks before: (key, no, word, start, end), no counting from 0."""
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    own = chunks.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0.0)), "first": F.coalesce(F.sum(F.size("words")).over(before), F.lit(0))})
+    words = own.select(key, "offset", "first", F.posexplode("words").alias("at", "w"))
+    return words.select(key, (F.col("first") + F.col("at")).cast("long").alias("no"), "w.word", (F.col("w.start") + F.col("offset")).alias("start"), (F.col("w.end") + F.col("offset")).alias("end"))
+
+
 def spoken(turns: DataFrame) -> DataFrame:
     """(track, no, word, start, end) of conversations, at an even pace with a pause after each turn."""
     words = turns.select(F.col("conv_id").alias("track"), "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("at", "word")).filter("word <> ''")
@@ -38,13 +53,13 @@ def segment(words: Iterable[tuple[str, float, float]]) -> list[tuple[float, floa
     for here, after in zip(words, words[1:]):
         held.append(here)
         gap, length = after[1] - here[2], here[2] - held[0][1]
-        mark = here[0][-1:]
+        mark = here[0].rstrip()[-1:]
         reason = None
         if gap >= LONG:
             reason = "long pause"
         elif mark in {".", "!", "?"} and gap > SENTENCE:
             reason = "sentence"
-        elif mark in {",", ";", ":"} and gap > CLAUSE:
+        elif mark in CLAUSE_MARKS and gap > CLAUSE:
             reason = "clause" if length >= LEAST else None
         elif length >= MOST:
             reason = "length"

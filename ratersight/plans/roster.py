@@ -254,12 +254,10 @@ def visit_number(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", tables.visit_number("o_custkey", "o_orderdate").alias("visit_no"))
 
 
-@query("with t as (select count(*) as total from customer) select c_custkey, cast(case when total // 7 = 0 then 6 else least(c_custkey // greatest(total // 7, 1), 6) end as int) as shard from customer, t")
+@query("with t as (select c_custkey, row_number() over (order by c_custkey) as place, count(*) over () as total from customer where c_custkey % 5 <> 1) select c_custkey, cast(case when total // 7 = 0 then 6 else least((place - 1) // greatest(total // 7, 1), 6) end as int) as shard from t")
 def shard_assignment(spark, d):
-    own = table(spark, d, "customer").select("c_custkey")
-    total = own.agg(F.count("*").alias("total"))
-    out = own.join(F.broadcast(total)).withColumn("place", F.col("c_custkey") + 1)  # keys are consecutive, from 0
-    return out.select("c_custkey", tables.shard("place", 7, F.col("total")).alias("shard"))
+    own = tables.ranked_rows(table(spark, d, "customer").select("c_custkey").filter("c_custkey % 5 <> 1"), "c_custkey")
+    return own.select("c_custkey", tables.shard("place", 7, F.col("total")).alias("shard"))
 
 
 @query(f"with {SCORED}, m as (select model, item, avg(mae) as mae from scored group by all), k as (select *, row_number() over (partition by item order by round(mae, 9), model) as place from m) select item, place, model, {_r('mae')} from k where place <= 3")
@@ -433,9 +431,33 @@ def offset_merge(spark, d):
     return own.select("conv_id", "turn", "start", (F.col("start") + n).alias("end"))
 
 
-@query(None)
+#: Words at an even pace, every ninth with a dash at its end and every eleventh with white space; rules as in transcripts.segment.
+_SEGMENTS = """with recursive t as (select conv_id as track, turn, string_split_regex(coalesce(text, ''), '\\s+') as ws from conversations),
+x as (select track, turn, unnest(range(0, len(ws))) as i, ws from t),
+v as (select track, turn * 100000 + i as no, ws[i + 1] || case when (turn * 100000 + i) % 9 = 4 then chr(8212) when (turn * 100000 + i) % 11 = 5 then ',  ' else '' end as word, turn * 600.0 + i * 0.5 + case when i % 7 = 6 then 0.3 else 0.0 end + case when i % 9 = 5 then 0.15 else 0.0 end as start from x where ws[i + 1] <> ''),
+n as (select track, row_number() over w as rn, word, round(start, 3) as start, round(start + 0.25, 3) as fin, round(lead(start) over w - start - 0.25, 3) as gap, no from v window w as (partition by track order by no)),
+m as (select track, rn, word, start, fin, gap, no, right(rtrim(word), 1) as mark, coalesce(max(case when contains(word, '?') then rn end) over (partition by track order by rn rows between unbounded preceding and current row), 0) as asked from n),
+r(track, rn, first, began, reason) as (
+  select track, cast(0 as bigint), cast(1 as bigint), min(start), 'begin' from m group by track
+  union all
+  select m.track, m.rn, case when r.reason in ('', 'begin') then r.first else m.rn end, case when r.reason in ('', 'begin') then r.began else m.start end,
+    case when m.gap is null then 'final' when m.gap >= 2 then 'long pause' when m.mark in ('.', '!', '?') and m.gap > 0.2 then 'sentence'
+    when m.mark in (',', ';', ':', chr(8212), chr(8211)) and m.gap > 0.3 then case when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 2 then 'clause' else '' end
+    when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 30 then 'length'
+    when m.gap > 0.3 and m.asked >= greatest(m.rn - 4, case when r.reason in ('', 'begin') then r.first else m.rn end) then 'question' else '' end
+  from r join m on m.track = r.track and m.rn = r.rn + 1),
+e as (select track, rn, first, began, reason from r where reason not in ('', 'begin'))
+select e.track, row_number() over (partition by e.track order by e.rn) - 1 as no, round(e.began, 3) as start, round(any_value(l.fin), 3) as "end", string_agg(m.word, ' ' order by m.rn) as text, e.reason from e join m on m.track = e.track and m.rn between e.first and e.rn join m l on l.track = e.track and l.rn = e.rn group by e.track, e.rn, e.began, e.reason"""
+
+
+@query(_SEGMENTS)
 def pause_segments_full(spark, d):
-    return transcripts.pause_segments(transcripts.spoken(table(spark, d, "conversations")))
+    own = transcripts.spoken(table(spark, d, "conversations"))
+    at, no = F.col("no") % 100_000, F.col("no")
+    mark = F.when(no % 9 == 4, "\u2014").when(no % 11 == 5, ",  ").otherwise("")
+    own = own.withColumns({"word": F.concat("word", mark), "start": F.col("start") + F.when(at % 9 == 5, 0.15).otherwise(0.0)}).withColumn("end", F.col("start") + 0.25)
+    own = own.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
+    return rounded(transcripts.pause_segments(own), 3)
 
 
 _FRAME = f"""{PANEL},
@@ -444,7 +466,8 @@ framed as (select *, session % 50 as patient, model % 2 = 0 as reasoning, log10(
 
 
 @query(f"""with {_FRAME}, c as (select *, avg(severity) over (partition by patient, item) as severity_between from framed),
-z as (select session, item, model, abs_error, severity_between, severity - severity_between as severity_within, log_params, (log_params - (select avg(log_params) from c)) / (select stddev_samp(log_params) from c) as log_params_z from c)
+t as (select avg(log_params) as m, stddev_samp(log_params) as s from framed),
+z as (select session, item, model, abs_error, severity_between, severity - severity_between as severity_within, log_params, (log_params - m) / s as log_params_z from c, t)
 select session, item, model, {_r('abs_error', 'severity_between', 'severity_within', 'log_params_z')} from z""")
 def lme_features(spark, d):
     return features.frame(_cells(spark, d)).select("session", "item", "model", "abs_error", "severity_between", "severity_within", "log_params_z")
@@ -454,13 +477,3 @@ def lme_features(spark, d):
 def prune_terms(spark, d):
     own = features.frame(_cells(spark, d)).withColumn("constant", F.lit(1))
     return features.prunable(own, ["severity", "log_params", "constant", "reasoning"])
-
-
-@query(None)
-def lme_fixed_effects(spark, d):
-    return features.mixed_model(features.frame(_cells(spark, d)), "abs_error", ["severity_between", "severity_within", "log_params_z"], ["model", "item", "patient"])[0]
-
-
-@query(None)
-def lme_item_blups(spark, d):
-    return features.mixed_model(features.frame(_cells(spark, d)), "abs_error", ["severity_between", "severity_within", "log_params_z"], ["model", "item", "patient"])[1].filter("factor = 'item'")

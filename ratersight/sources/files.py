@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
 
-#: Fixed value: item and run in the name of a prediction's file.
-PREDICTION = r"(\d+)_output_(\d+)\.json$"
+def prediction_name(prefix: str) -> str:
+    """The pattern of a prediction file's name, with its item and run; the name begins with the prefix."""
+    return rf"^{re.escape(prefix)}(\d+)_output_(\d+)\.json$"
 
 
 def part(path: Column, back: int) -> Column:
@@ -41,10 +45,22 @@ def first_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return texts(spark, root, glob).groupBy("patient", "session").agg(F.min_by("text", "path").alias("text"), F.min("path").alias("path"))
 
 
-def predictions(spark: SparkSession, root: str, pattern: str = PREDICTION) -> DataFrame:
-    """(patient, session, item, run, rating, explanation) of the prediction files below root; other files are left out."""
-    own = texts(spark, root, "*.json").filter(F.col("path").rlike(pattern))
-    number = lambda i: F.regexp_extract("path", pattern, i).cast("int")
+def named_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Each session's file of one fixed name, such as an item's segment."""
+    return texts(spark, root, name)
+
+
+def unprocessed(spark: SparkSession, root: str, glob: str, done: DataFrame) -> DataFrame:
+    """texts() of the files whose paths are not in done (path) yet."""
+    return pending(texts(spark, root, glob), done, ["path"])
+
+
+def predictions(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """(patient, session, item, run, rating, explanation) of the prediction files below root, whose names begin with the
+    prefix; other files are left out."""
+    pattern, name = prediction_name(prefix), part(F.col("path"), 1)
+    own = texts(spark, root, "*.json").withColumn("name", name).filter(F.col("name").rlike(pattern))
+    number = lambda i: F.regexp_extract("name", pattern, i).cast("int")
     return own.select("patient", "session", number(1).alias("item"), number(2).alias("run"), X.rating(F.col("text")).alias("rating"), X.explanation(F.col("text")).alias("explanation"))
 
 
@@ -66,3 +82,26 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of wanted whose keys are not done yet."""
     return wanted.join(done.select(*keys), keys, "left_anti")
+
+
+def sheets(spark: SparkSession, path: str, expected: list[int]) -> DataFrame:
+    """The sheets that sinks.write_sheets() left, as one table of strings with the item of each sheet's name; warns of
+    expected items that have no sheet. Columns that a sheet lacks are null."""
+    own = spark.read.option("header", "true").option("mergeSchema", "true").csv(path)
+    out = own.withColumn("item", F.regexp_extract("sheet", r"^(\d+)", 1).try_cast("int")).drop("sheet")
+    there = {r.item for r in out.select("item").distinct().collect()}
+    for item in expected:
+        if item not in there:
+            warnings.warn(f"no sheet of item {item}", stacklevel=2)
+    return out
+
+
+def blups(spark: SparkSession, path: str) -> DataFrame:
+    """Item effects as sinks.write_table() left them, the level as an int."""
+    own = csv_table(spark, path, "stratum string, factor string, level string, dev double, dev_low double, dev_high double, total double")
+    return own.withColumn("level", F.col("level").try_cast("int"))
+
+
+def bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a bundle that sinks.write_bundle() left, by name."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

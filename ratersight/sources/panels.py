@@ -15,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every expected cell: session x item x model x run. The dimensions are arrays of fixed size, exploded row by row."""
     span = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session")).withColumn("item", span(1, ITEMS)).withColumn("model", span(0, MODELS - 1)).withColumn("run", span(0, RUNS - 1))
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session"))
+    # a row becomes 150: a small file's one split is dealt to all cores first
+    return sessions.repartition(spark.sparkContext.defaultParallelism, "session").withColumn("item", span(1, ITEMS)).withColumn("model", span(0, MODELS - 1)).withColumn("run", span(0, RUNS - 1))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,3 +37,37 @@ def natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     pct = lambda c: F.max(F.least(F.lit(6), F.round(100 * F.col(c)).cast("int")))
     keys = (F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("item"), (F.col("l_partkey") % 5).alias("model"), (F.col("l_suppkey") % 3).alias("run"))
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(pct("l_discount").alias("ground_truth"), pct("l_tax").cast("double").alias("rating"))
+
+
+#: The models of the panels: number, name, variant, whether it reasons, parameters in all and active, context, architecture.
+MODEL_TABLE = (
+    (0, "Qwen Alpha (30B)", "full", "Yes", "30B", "3B", 262144, "moe"),
+    (1, "Llama Beta (8B)", "no_desc", "No", "8B", "8B", 131072, "dense"),
+    (2, "Gemma Gamma with a long name (27B)", "no_dem", "Yes", "27B", "27B", 131072, "Dense"),
+    (3, "GPT Delta (120B)", "raw", "No", "120B", "5.1B", 128000, "MoE"),
+    (4, "Plain Epsilon", "full", "Yes", "7B", "7B", 32768, None),
+)
+MODEL_SCHEMA = "model int, name string, variant string, reasons string, total_params string, active_params string, context_length bigint, arch string"
+
+
+def models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MODEL_TABLE), MODEL_SCHEMA)
+
+
+def total_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct totals (item 0) beside panel(): ground truth is the sum of the items, the cap is 60."""
+    s, m, r = (F.col(c) for c in ("session", "model", "run"))
+    made = grid(spark, sf_dir).filter("item = 1").withColumn("item", F.lit(0))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(ITEMS)), F.lit(0).cast("long"), lambda t, i: t + (7 * s + 3 * i + s % 11) % 7)
+    h, g = (31 * s + 3 * m + r) % 101, (m + r) % 4
+    value = F.when(h == 1, None).when((h == 2) & (g == 1), 61).otherwise(F.least(F.greatest(F.col("ground_truth") + (13 * s + 11 * m + 17 * r) % 31 - 15, F.lit(0)), F.lit(60)))
+    own = made.withColumn("ground_truth", total.cast("int")).filter(~((h == 0) & (g == 0)))
+    return own.withColumn("rating", value.cast("double")).select("session", "item", "model", "run", "ground_truth", "rating")
+
+
+def annotated(cells: DataFrame, spark: SparkSession) -> DataFrame:
+    """Cells with their patient, lengths of transcript and reasoning, and what the model table says of their model."""
+    table = models(spark).select("model", "total_params", "context_length", F.col("arch").alias("architecture"), (F.col("reasons") == "Yes").alias("reasoning"))
+    s, i, m, r = (F.col(c) for c in ("session", "item", "model", "run"))
+    out = cells.join(F.broadcast(table), "model")  # five rows
+    return out.withColumns({"patient": s % 50, "num_trans_tokens": 500 + s * 37 % 1000, "num_reason_tokens": F.when(F.col("reasoning"), (17 * s + 5 * i + 3 * m + 29 * r) % 800).otherwise(0)})

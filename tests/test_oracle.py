@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from ratersight.plans import roster
+from ratersight.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -24,10 +24,10 @@ def rows(frame, columns):
     return sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in own.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(roster.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_equal(spark, con, name):
-    want = con.execute(roster.ORACLE_SQL[name]).df()
-    got = roster.QUERIES[name](spark, SF).toPandas()
+    want = con.execute(catalog.ORACLE_SQL[name]).df()
+    got = catalog.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
     assert rows(got, columns) == rows(want, columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratersight.functions import agreement as A
 from ratersight.functions import text as X
 from ratersight.operators import features, ratings, tables, transcripts
-from ratersight.plans import roster
+from ratersight.plans import catalog, roster
 from ratersight.sources.panels import grid, panel
 
 PAIRS = [(0, 0), (1, 2), (2, 2), (3, 1), (4, 6), (6, 5), (2, 0), (5, 5), (3, 3), (0, 1), (6, 6), (1, 1)]
@@ -98,23 +98,63 @@ def test_pause_rules():
     short = [("why?", 0.0, 0.1), ("so,", 0.1, 0.2), ("x", 0.6, 0.7)]  # a clause mark in a short segment ends the search
     assert [r for *_, r in transcripts.segment(short)] == ["final"]
     assert transcripts.segment([]) == []
+    dash = [("hello", 0.0, 3.0), ("there\u2014 ", 3.0, 4.0), ("again", 4.5, 5.0)]
+    assert [(t, r) for *_, t, r in transcripts.segment(dash)] == [("hello there\u2014 ", "clause"), ("again", "final")]
 
 
 def test_balanced_one_way_model(spark):
     rng = np.random.default_rng(1)
     effect = rng.normal(0, 2, 8)
     rows = [(str(g), float(effect[g] + rng.normal()), 1.0) for g in range(8) for _ in range(20)]
-    fixed, blups = features.mixed_model(spark.createDataFrame(rows, "g string, y double, c double"), "y", [], ["g"], iterations=2000)
+    fit = features.mixed_model(spark.createDataFrame(rows, "g string, y double, c double"), "y", ["c"], ["g"])
     means = [statistics.mean(y for g, y, _ in rows if g == str(k)) for k in range(8)]
     within = statistics.mean(statistics.variance([y for g, y, _ in rows if g == str(k)]) for k in range(8))
     between = statistics.variance(means) - within / 20
     grand = statistics.mean(means)
-    assert fixed.first().estimate == pytest.approx(grand, abs=1e-3)
-    for r in blups.collect():
-        assert r.blup == pytest.approx((means[int(r.level)] - grand) * between / (between + within / 20), abs=2e-2)
+    assert fit.terms[0][1] == pytest.approx(grand, abs=1e-6) and fit.converged and not fit.singular and fit.dropped == {"c": "no variation"}
+    assert (fit.variances["g"], fit.noise) == pytest.approx((between, within), rel=1e-3)
+    for _, level, blup, _ in fit.levels:
+        assert blup == pytest.approx((means[int(level)] - grand) * between / (between + within / 20), abs=1e-3)
+
+
+def test_nested_factor_is_absorbed_exactly(spark):
+    rng = np.random.default_rng(3)
+    patient, visit, item = rng.normal(0, 1, 4), rng.normal(0, 0.7, 24), rng.normal(0, 0.5, 3)
+    rows = [(f"p{v % 4}", f"v{v}", f"i{i}", float(x), float(2 * x), float(1 + 0.5 * x + patient[v % 4] + visit[v] + item[i] + rng.normal(0, 0.6))) for v in range(24) for i in range(3) for x in [rng.normal()] if (v + i) % 7]
+    df = spark.createDataFrame(rows, "p string, v string, i string, x double, twice double, y double")
+    one = features.mixed_model(df, "y", ["x", "twice"], ["p", "i"], "v")
+    two = features.mixed_model(df, "y", ["x"], ["p", "i", "v"])
+    assert one.dropped == {"twice": "depends on the terms before it"} and one.converged and two.converged
+    for f in "piv":
+        assert one.variances[f] == pytest.approx(two.variances[f], abs=1e-3)
+    for a, b in zip(one.terms, two.terms):
+        assert a[1:] == pytest.approx(b[1:], abs=1e-4)
+    of = {(f, x): e for f, x, e, _ in two.levels}
+    assert all(e == pytest.approx(of[f, x], abs=1e-3) for f, x, e, _ in one.levels)
+    flat = features.mixed_model(df.withColumn("y", F.col("x") + F.rand(1) * 1e-3).withColumn("p", F.xxhash64("v", "i") % 3), "y", ["x"], ["p"])
+    assert flat.singular or flat.variances["p"] < flat.noise
+
+
+def test_rank_correlations_have_p_values():
+    got = [ratings.spearman_p(r, n) for r, n in ((0.5, 10), (0.9, 10), (0.1, 30), (-0.7, 8), (1.0, 5), (0.0, 9))]
+    assert got == pytest.approx([0.141113, 0.000387, 0.599048, 0.053224, 0.0, 1.0], abs=1e-6)
+    assert [ratings.stars(p) for p in got[:4]] == ["", "***", "", ""]
+
+
+def test_texts_of_prompts_and_roles(spark):
+    one = spark.createDataFrame([("do this", "a b c d e", "Practitioner: hi", "hm: x", "plain")], "i string, t string, p string, u string, v string")
+    got = one.select(X.keep_room(F.col("i"), F.col("t"), 5).alias("k"), X.keep_room(F.col("i"), F.col("t"), 2).alias("none"), X.prompt(F.col("i"), F.col("t"), True).alias("one"), X.prompt(F.col("i"), F.col("t")).alias("two"), *(X.roles(F.col(c)).alias(f"r{c}") for c in "puv")).first()
+    assert (got.k, got.none, len(got.one), [m.role for m in got.two]) == ("c d e", "", 1, ["system", "user"])
+    assert [tuple(got[f"r{c}"]) for c in "puv"] == [("Practitioner", "hi"), ("Unclear", "hm: x"), ("Unclear", "plain")]
+
+
+def test_rows_are_numbered_without_one_task(spark):
+    rows = spark.range(0, 20_000, 3).withColumnRenamed("id", "k")
+    got = tables.ranked_rows(rows, "k")
+    assert got.agg(F.count_if(F.col("place") != F.col("k") / 3 + 1).alias("bad"), F.min("total").alias("n")).first() == (0, 6667)
 
 
 def test_roster_has_sql():
     import __spark_entry__
 
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(roster.ORACLE_SQL) >= 44
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(catalog.ORACLE_SQL) >= 80
