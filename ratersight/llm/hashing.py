@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 U8, U32, U64 = np.uint8, np.uint32, np.uint64
 #: White space of the word rule: space and \x09-\x0D, as in bytes.split().
@@ -13,6 +14,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
 #: Texts are handled together up to so many bytes, which bounds the arrays in memory.
 CHUNK_BYTES = 1 << 19
 
@@ -79,7 +82,11 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     begins = np.zeros(len(texts), np.int64)
     np.cumsum([len(t) + 1 for t in texts[:-1]], out=begins[1:])
     owner = np.searchsorted(begins, starts, "right") - 1
-    return Rolling(a).of(starts, ends), owner, starts, ends, joined
+    hashed = Rolling(a).of(starts, ends)
+    # modulo a power of two, long words can be made to share a polynomial hash; these get another one
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashed[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
+    return hashed, owner, starts, ends, joined
 
 
 def shingles(text_words: np.ndarray, n: int) -> np.ndarray:

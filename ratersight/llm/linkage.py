@@ -2,8 +2,10 @@
 
 A bucket (an LSH band, a shared line segment) may hold a third of all items, so its pairs are never listed. Each bucket
 first pairs its members with one hub, the member with the most bucket mates. Buckets whose members are then in one
-component need nothing more. The others are cut into blocks; a task takes two blocks, tries the pairs across components
-that the sketches leave possible, and gives only links that join components. Every link is verified exactly.
+component need nothing more. In the others, the members of the bucket's largest component and the rest are cut into blocks,
+and each pair of blocks but those inside the largest component meets in a task: as many copies of a member as there are
+blocks that it may have links to. The task tries the pairs across components that the sketches leave possible, and gives
+only links that join components. Every link is verified exactly.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
 
-#: Members of one block of a bucket; pairs of blocks are compared in one task's memory.
-BLOCK = 256
+#: Members of one block of a bucket, and bytes of their payloads; pairs of blocks are compared in one task's memory.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Rows of longs that may be broadcast (16 MB as a hash table at most); larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -172,14 +174,21 @@ def link(nodes: DataFrame, buckets: DataFrame, cut: int, fetch: Callable[[DataFr
     rest = members.join(hubs, "key").filter("node <> hub").drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"))
     split = split.filter("lo < hi").groupBy("n", "of").agg(F.min("key").alias("key"))  # of buckets with the same members, one
-    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = scratch.table(rest.join(split, "key"), "rest")
+    rest = scratch.table(rest.join(split.select("key"), "key"), "rest")
     if rest.isEmpty():
         return links, found
     payloads = scratch.table(fetch(bounded(rest.select("node").distinct())), "payloads")
+    sized = rest.join(payloads.select("node", F.octet_length("payload").alias("bytes")), "node").groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "bytes", "component")).alias("most")
+    split = sized.groupBy("key").agg(most, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    cut_in = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    split = split.select("key", F.col("most.component").alias("largest"), cut_in(F.col("most.n"), F.col("most.bytes")).alias("of_largest"), cut_in(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("of_rest"))
+    rest = rest.join(scratch.table(split, "split"), "key")
     keys = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the buckets of one node
-    rest = rest.join(nodes.select("node", "sketch"), "node").join(keys, "node").withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.join(payloads, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.join(nodes.select("node", "sketch"), "node").join(keys, "node").withColumn("lower", F.filter("keys", lambda k: k < F.col("key")))
+    inside, dealt = F.col("component") == F.col("largest"), F.xxhash64("node")
+    rest = rest.withColumn("block", F.when(inside, F.pmod(dealt, F.col("of_largest"))).otherwise(F.col("of_largest") + F.pmod(dealt, F.col("of_rest"))).cast("int"))
+    rest = rest.join(payloads, "node").withColumn("k", F.explode(F.sequence(F.when(inside, F.col("of_largest")).otherwise(0), F.col("of_largest") + F.col("of_rest") - 1)))
     rest = rest.select("key", "node", "component", "sketch", "payload", "lower", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     rest = rest.repartition(scratch.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = scratch.table(rest.mapInArrow(_compare_blocks(cut, prepare, linked), "a long, b long, u long, v long"), "links")

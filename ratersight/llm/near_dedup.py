@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
 from ratersight.llm.hashing import U32, U64, mix, shingle_sets
-from ratersight.llm.linkage import link
+from ratersight.llm.linkage import bounded, link
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,11 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
 def _sign(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     a, b = _hashers(s.bands * s.rows)
 
-    def signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def signed(ids: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, x in enumerate(sets) if len(x)]
         n = len(sets)
         samples = np.empty((len(a), len(full)), U32)
-        digests = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full]
+        digests = [hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest() for i in full]
         if full:
             x = (np.concatenate([sets[i] for i in full]) >> U64(32)).astype(U32)
             begins = np.zeros(len(full), np.int64)
@@ -79,7 +79,7 @@ def _sign(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
             for row in samples[i * s.rows : (i + 1) * s.rows]:
                 h = mix(h * U64(0x9E3779B97F4A7C15) + row)
             bands[:, i] = h.view(np.int64)
-        key = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        key = np.frombuffer(b"".join(digests), "<i8")
         where = np.full(n, -1)
         where[full] = np.arange(len(full))
         at = pa.array(where, mask=where < 0)
@@ -88,12 +88,12 @@ def _sign(s: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
             kind = pa.array(values) if values.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
             return kind.take(at)
 
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), column(key[:, 0]), column(key[:, 1]), column(sketch), column(bands)], names=["doc_id", "n_shingles", "hi", "lo", "sketch", "bands"])
+        return pa.RecordBatch.from_arrays([*ids.columns, pa.array([len(x) for x in sets], pa.int64()), column(key), column(sketch), column(bands)], names=["doc_id", "row", "n_shingles", "hi", "sketch", "bands"])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, first, size = batch.column(0), [], 0, 0
-            for i, own in enumerate(shingle_sets(batch.column(1).to_pylist(), s.words)):
+            ids, held, first, size = batch.select([0, 1]), [], 0, 0
+            for i, own in enumerate(shingle_sets(batch.column(2).to_pylist(), s.words)):
                 held.append(own)
                 size += len(own)
                 if size > 1 << 17:
@@ -111,16 +111,30 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Words are runs of other bytes than ASCII white space, A-Z as a-z. A text of fewer words than a shingle has one
     shingle, all of it. Null, empty and blank texts have none (n_shingles 0) and are linked with nothing. Rows of equal
     sets are one node, however many. component_id: the smallest doc_id that links reach; kept: doc_id is that one.
-    Repeated rows share a node and so are kept or dropped alike. Rows with a null doc_id are in the component of the
-    other rows of their set, if any, and never kept. An empty table gives an empty result."""
+    Repeated rows share a node and so are kept or dropped alike. Rows with a null doc_id are in the components of their
+    sets and never kept; a component without any id has none. Different texts that share a doc_id are judged apart. Sets
+    are told apart by 64 bits of a digest. An empty table gives an empty result."""
+    s = settings
+    return _components(docs, settings).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _components(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, row, n_shingles, component, component_id) per row of docs; row: its text's hash, by which rows that share a
+    doc_id are told apart; component: a number of its group, null for an empty set; component_id: the group's least id."""
     s = settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = scratch.table(docs.mapInArrow(_sign(s), "doc_id long, n_shingles long, hi long, lo long, sketch array<long>, bands array<long>"), "signed")
-    nodes = signed.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    nodes = scratch.table(nodes.filter("node is not null"), "nodes")
+    signed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    signed = scratch.table(signed.mapInArrow(_sign(s), "doc_id long, row long, n_shingles long, hi long, sketch array<long>, bands array<long>"), "signed")
+    # a set is known by 64 bits of its digest, whichever ids its rows have
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
+    nodes = signed.filter("hi is not null").groupBy("hi").agg(least, F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = scratch.table(nodes.select(F.col("hi").alias("node"), "least.doc_id", "least.row", "sketch", "bands"), "nodes")
 
     def fetch(asked: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").alias("node"), F.col("text").alias("payload")).join(asked, "node")
+        rows = nodes.select("node", F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row")).join(asked, "node")
+        texts = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").alias("payload"))
+        own = texts.join(bounded(rows), (F.col("row") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "payload")
+        return own.groupBy("node").agg(F.first("payload").alias("payload"))  # repeated rows once
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         if 100 * min(len(x), len(y)) < s.percent * max(len(x), len(y)):
@@ -130,12 +144,34 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
     _, found = link(nodes, buckets, s.cut, fetch, lambda texts: shingle_sets(texts, s.words), linked)
-    of_set = nodes.select("hi", "lo", "node").join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    joined = nodes.select("node", "doc_id").join(found, "node")  # only what is linked
+    names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = joined.join(names, "component").select("node", "component", "component_id")
+    of_set = nodes.select("node", "doc_id").join(joined, "node", "left")
+    of_set = of_set.select(F.col("node").alias("hi"), F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = signed.select("doc_id", "row", "n_shingles", "hi").join(of_set, "hi", "left")
+    return out.select("doc_id", "row", "n_shingles", "component", F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs, with all its columns, without the rows that near_duplicates() does not keep; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, settings).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs, with all its columns, with one row of each group of near-duplicates; rows without shingles stay.
+
+    The row with the smallest doc_id stays, of several with that id the one whose text has the least hash, of rows that are
+    equal in both one. Rows with a null doc_id are in the group of their set and stay only where it has no other rows, one
+    of them. So different texts that share a doc_id are judged apart. Columns of any names stay as they are."""
+    rows = _components(docs, settings).filter("component is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))  # rows with a group's smallest id, nearly always one
+    heads = scratch.table(rows.filter(first).groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")), "heads")
+    least = heads.groupBy("component").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    second = heads.join(least, "component").filter("row <> least").select("doc_id", "row")
+    gone = rows.filter(~first).select("doc_id", "row").distinct().union(second)
+    gone = scratch.table(gone.toDF("gone_doc", "gone_row"), "gone")
+    repeated = scratch.table(heads.filter("copies > 1").select(F.col("doc_id").alias("gone_doc"), F.col("row").alias("gone_row")), "repeated")
+    own = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("binary")).alias("row"))
+    same = F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("row") == F.col("gone_row"))
+    kept = own.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc", "row").orderBy(F.xxhash64(F.to_json("own"))))
+        once = kept.join(repeated, same, "left_semi").withColumn("nth", nth).filter("nth = 1").drop("nth")
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select("own.*")
