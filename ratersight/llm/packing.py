@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
+from ratersight.llm.linkage import bounded
 from ratersight.llm.tokens import encoder
 
 
@@ -96,19 +97,24 @@ def _seat(plan: dict[int, np.ndarray]) -> Callable[[Iterable[pa.RecordBatch]], I
     return seat
 
 
+#: Parts of each length that are ranked apart.
+SALTS = 64
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and end_id; null and empty texts are end_id alone. Only documents of more ids than
     capacity are cut, into pieces of that many, of which the first may be shorter. Repeated rows are packed each on its
     own, and so are rows with a null doc_id. An empty table gives an empty result. The plan is made on the driver from
-    counts of at most `capacity` lengths; ranks are counted within salts of a length, since one length may hold a large
-    share of all pieces, and the salts' counts (capacity times the shuffle partitions at most) give each salt its first
-    rank."""
+    counts of at most `capacity` lengths; ranks are counted within SALTS salts of a length, since one length may hold a
+    large share of all pieces. The salts' counts, capacity times SALTS rows at most whatever the table's size, give each
+    salt its first rank."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(scratch.parts(spark))))
+    # by partition and place, so that repeated rows are spread too; written at once, so that they stay as they are
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     salted = scratch.table(salted, "pieces")
     sizes = scratch.table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -116,6 +122,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("rank", within - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = salted.withColumn("rank", within - 1).join(bounded(bases), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_seat(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

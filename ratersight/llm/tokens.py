@@ -27,13 +27,15 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     Both supported kinds of tokenizer cut a text before each space that a non-space follows, whatever stands around, so
-    such units are encoded apart and their ids joined. Tests hold this against the library."""
+    such units are encoded apart and their ids joined. Tests hold this against the library. specials: strings of special
+    tokens in a text become these tokens; else a text cannot forge an end of a document."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # as the files' own description has it: strings of special tokens in a text are ordinary text
+        self.library.encode_special_tokens = not specials
         self.normalizer, self.pre = self.library.normalizer, self.library.pre_tokenizer
         self.model = self.library.model.tokenize
         self.split = regex.compile(pattern).findall
@@ -117,12 +119,12 @@ class Spaced(Encoder):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = False) -> Encoder:
     """The encoder of a tokenizer file, one for each worker process."""
     import json
 
     with open(path) as f:
         pre = json.load(f)["pre_tokenizer"]
     if pre["type"] == "ByteLevel":
-        return Spaced(path, BYTE_LEVEL)
-    return Encoder(path, pre["pretokenizers"][0]["pattern"]["Regex"])
+        return Spaced(path, BYTE_LEVEL, specials)
+    return Encoder(path, pre["pretokenizers"][0]["pattern"]["Regex"], specials)
