@@ -19,8 +19,8 @@ _GAPS = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: edits allowed for every 100 code points of an item. min_chars: shorter items are not looked for, since
-    common phrases match them. block_bytes: bytes of items that are searched for at a time, and sent to every task."""
+    """percent: edits allowed for every 100 code points of an item. min_chars: shorter items are looked for without edits,
+    and where whole words bound them. block_bytes: bytes of items that are searched for at a time, and sent to every task."""
 
     percent: float = 5.0
     min_chars: int = 24
@@ -81,6 +81,8 @@ class Finder:
             if len(text) >= settings.min_chars:
                 edits = int(len(text) * settings.percent / 100)
                 self.items.append((key, text, edits, masks(text)))
+            elif text:
+                self.items.append((key, f" {text} ", 0, masks(f" {text} ")))
         own = [(i, at, p.encode()) for i, (_, text, edits, _) in enumerate(self.items) for at, p in pieces(text, edits)]
         self.width = min((len(p) for *_, p in own), default=1)
         for i, at, p in own:
@@ -101,7 +103,7 @@ class Finder:
         """(text's index, item's id, edits, end) of each item found in each normal text."""
         if not self.items:
             return
-        for first, run in chunks(t.encode() for t in texts):
+        for first, run in chunks(f" {t} ".encode() for t in texts):  # so that words at the ends are bounded too
             joined = b"\n".join(run)
             hits = np.flatnonzero(self.filter[self._slots(joined)])
             if not len(hits):
@@ -116,7 +118,7 @@ class Finder:
                         places.setdefault((doc, i), []).append(len(joined[begins[doc] : hit].decode()) - at)
             for (doc, i), starts in places.items():
                 key, item, edits, where = self.items[i]
-                text = texts[first + doc]
+                text = f" {texts[first + doc]} "
                 reach: list[list[int]] = []  # the windows around the hits, overlapping ones as one
                 for start in sorted(starts):
                     lo, hi = max(0, start - edits), start + len(item) + edits
@@ -130,7 +132,7 @@ class Finder:
                     if found < best:
                         best, end = found, lo + at
                 if best <= edits:
-                    yield first + doc, key, best, end
+                    yield first + doc, key, best, min(max(end - 1, 0), len(texts[first + doc]))
 
 
 def _find(items: list[tuple[object, str]], settings: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -170,8 +172,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, settings: Settings = S
     """(doc_id, item_id, edits, end) for each item of benchmark (item_id, text) that a document (doc_id, text) holds.
 
     Both are compared as lower-case letters and digits with single spaces. edits: the least edit distance of the item to
-    a passage of the document; end: where that passage ends in the normal text. Null, empty and very short texts of
-    either side match nothing. Repeated rows of a document or an item give repeated rows. Items are searched for in
+    a passage of the document; end: where that passage ends in the normal text. Items of fewer than min_chars are found
+    as whole words without edits. Null and empty texts of either side match nothing. Repeated rows of a document or an item give repeated rows. Items are searched for in
     blocks of a bounded size, whatever the benchmark's size; all documents are read once for each block. Empty tables
     give an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
