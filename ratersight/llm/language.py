@@ -15,12 +15,10 @@ from ratersight.llm.quality import held_out
 
 @dataclass(frozen=True)
 class Settings:
-    """each: documents of a language, at most, that are learned from. chars: code points of each of them, from a place that
-    its id's hash tells. chain: words, at most, of one sequence; sequences also end with lines. bits: of feature hashes."""
+    """each: documents of a language, at most, that are learned from, whole. bits: of feature hashes. epochs: of learning.
+    A sequence is a line, however long."""
 
     each: int = 100
-    chars: int = 2000
-    chain: int = 64
     bits: int = 18
     epochs: int = 6
     rate: float = 0.3
@@ -59,8 +57,7 @@ def analyse(texts: list[str], s: Settings) -> Words:
     line = np.concatenate(([0], np.cumsum(symbols == 10)))[starts]
     new = np.ones(len(starts), bool)
     np.not_equal(line[1:], line[:-1], out=new[1:])
-    run = np.arange(len(starts)) - np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0)) if len(starts) else starts
-    sequence = np.cumsum(new | (run % s.chain == 0)) - 1
+    sequence = np.cumsum(new) - 1
     c = np.zeros(len(symbols) + 3, np.uint32)
     c[1 : len(symbols) + 1] = np.where(letter, symbols, 0)  # c[i + 1] is symbol i, edges are 0
     shift = np.uint32(32 - s.bits)
@@ -229,8 +226,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     hashed = F.xxhash64("doc_id")
     ids = own.select("doc_id", "lang").groupBy("lang", F.pmod(hashed, F.lit(s.each)).alias("part")).agg(F.min(F.struct(F.xxhash64(F.lit(1), "doc_id"), "doc_id")).alias("m"))
     ids = F.broadcast(ids.select("lang", "m.doc_id"))  # languages times `each` rows
-    start = F.pmod(hashed, F.greatest(F.lit(1), F.length("text") - s.chars)).cast("int")
-    rows = own.join(ids, ["doc_id", "lang"]).select("lang", F.col("text").substr(start + 1, F.lit(s.chars)).alias("text")).collect()
+    rows = own.join(ids, ["doc_id", "lang"]).select("lang", "text").collect()
     rows = sorted((r.lang, r.text) for r in rows)
     return learn([t for _, t in rows], [x for x, _ in rows], s)
 
