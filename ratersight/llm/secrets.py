@@ -3,6 +3,7 @@ version are scanned. DataFrame functions only."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,8 +39,12 @@ RULES = (
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 BASE = 3
-#: Names this set of rules in the ledger; to be changed with any rule.
-RULES_VERSION = "2026-1"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """Names a set of rules in the ledger: other rules, or another order, have another name."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:24]
+
 
 _SEEN = "blob string, rules string"
 _FOUND = "blob string, rules string, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
@@ -83,13 +88,14 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'" if "\"" not in pattern else 'r"' + pattern.replace('"', "\\x22") + '"'
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
-    """Scan what the ledger has not seen of versions (doc_id, text), add it to the ledger, and give every path its findings.
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger has not seen, under these very rules, of versions (doc_id, text), add it to the ledger, and give
+    every path its findings.
 
     Returns doc_id, blob (SHA-256 of the text) and spans for each row. Null texts count as empty. Rows of equal texts,
     however many, are one blob, which is scanned once. Findings are written before the blobs are marked as seen, so a run
     that broke off is repeated without loss, and findings written twice count once. Other columns are ignored."""
-    spark = versions.sparkSession
+    spark, version = versions.sparkSession, version_of(rules)
     versions = versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     addressed = versions.withColumn("blob", F.sha2("text", 256))
     paths = scratch.table(addressed.select("doc_id", "blob"), "paths")
