@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+#: By session: temporary folders, and paths that were given out.
+_own: dict[int, str] = {}
+_made: dict[int, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new temporary one, on a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark, "_ratersight_scratch", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="ratersight-")
-            spark._ratersight_scratch = found
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if id(spark) not in _own:
+            _own[id(spark)] = "file://" + tempfile.mkdtemp(prefix="ratersight-")
+            atexit.register(shutil.rmtree, _own[id(spark)].removeprefix("file://"), ignore_errors=True)
+        found = _own[id(spark)]
     return found.rstrip("/")
 
 
 def fresh(spark: SparkSession, label: str) -> str:
     """A new, unused path below root()."""
     path = f"{root(spark)}/ratersight-{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(id(spark), []).append(path)
     return path
 
 
@@ -37,11 +44,13 @@ def table(df: DataFrame, label: str) -> DataFrame:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; DataFrames that read them must be done with."""
+    """Delete this session's scratch tables; DataFrames that read them must be done with. For the caller to say: a query's
+    result is read from them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    made = _made.pop(id(spark), [])
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -70,7 +70,11 @@ def test_dedup_keeps_columns_and_one_of_each_group(spark):
     rows = [(1, "a b c d e f g", "x", 1, 1), (2, "a b c d e f g", "y", 2, 2), (3, "other words stand here now ok", "z", 3, 3), (None, "a b c d e f g", "n", 4, 4)]
     got = near_dedup.dedup(spark.createDataFrame(rows, DOCS))
     assert got.columns == ["doc_id", "text", "component_id", "node", "lines"]
-    assert sorted(r.component_id for r in got.collect()) == ["n", "x", "z"]
+    assert sorted(r.component_id for r in got.collect()) == ["x", "z"]
+    one, two = "a b c d e f g", "some quite other words are here for all"
+    rows = [(5, one, "a", 1, 1), (5, one, "b", 1, 1), (5, two, "c", 1, 1), (6, one, "d", 1, 1), (6, None, "e", 1, 1), (6, "", "f", 1, 1), *[(None, "only null ids have these words", x, 1, 1) for x in "gh"]]
+    got = sorted(r.component_id for r in near_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert len(got) == 5 and got[0] in "ab" and got[1:4] == ["c", "e", "f"] and got[4] in "gh"
 
 
 def distance(a, b):
