@@ -14,16 +14,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: A document that keeps less of its characters than this goes whole: what it lost is 8/9 or more of it, so that, had it all
+#: come from one document, the two would be similar by 0.8 or more. What is left of copies are headings and changed words.
+SCRAP = 1 / 9
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, or nearly repeat, earlier ones go, and documents of which nothing is left; n_chars follows."""
-    kept = line_dedup.dedup_lines(docs)
-    kept = kept.filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """Lines that repeat, or nearly repeat, earlier ones go, and documents of which but scraps are left; n_chars follows.
+
+    White space at the ends of lines and texts doesn't count as kept. Columns that share a name with the operator's counts
+    are the documents' own."""
+    names = tuple(_free(docs, n) for n in line_dedup.ADDED)
+    was = _free(docs, "was")
+    marked, (_, n_removed, *_) = line_dedup.marked_lines(docs.withColumn(was, F.length(F.trim("text"))), names=names)
+    cut = F.col(n_removed) > 0
+    left = F.length(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    kept = marked.filter(~cut | (left > SCRAP * F.col(was)) & (left > 0))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more. Repeated rows
+    and rows without an id are in their groups too."""
     return near_dedup.dedup(docs)
 
 
@@ -39,7 +60,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("packing", packing_stage)]
 
-#: No stage but the last could be told in SQL; tests hold the stages against brute force.
+#: The stages can't be told in SQL; tests/llm/test_pipeline.py holds each one's decisions against brute force.
 ORACLE_SQL = None
 
 
