@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratersight.llm import scratch
 from ratersight.llm.hashing import U64, Rolling, chunks
 
 _GAPS = re.compile(r"[\W_]+")
@@ -160,6 +161,7 @@ def _clean(items: list[tuple[object, str]], settings: Settings) -> Callable[[Ite
 
 def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about block_bytes, each small enough to be sent to every task."""
+    scratch.short_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(size) // settings.block_bytes

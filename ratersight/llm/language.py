@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratersight.llm import scratch
 from ratersight.llm.hashing import Rolling, chunks
 from ratersight.llm.quality import held_out
 
@@ -221,6 +222,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     Each language gives the documents with the smallest hashes in each of `each` parts of its ids. Null languages and
     texts are left out."""
     s = settings
+    scratch.short_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     hashed = F.xxhash64("doc_id")

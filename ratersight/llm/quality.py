@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratersight.llm import scratch
 from ratersight.llm.fingerprints import _ANCHOR_HASHES
 from ratersight.llm.hashing import U8, U64, chunks, mix, words
 
@@ -180,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """The model of labels.quality (doc_id, quality), learned from a bounded sample outside the held-out rows.
 
     Labels that are null or of unknown documents are left out. Few rows go to the driver: `sample` rows of features."""
+    scratch.short_batches(docs.sparkSession)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null")
     own = own.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(settings.sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")

@@ -17,6 +17,7 @@ _made: dict[int, list[str]] = {}
 
 def root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, a new temporary one, on a local master alone."""
+    short_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
@@ -28,6 +29,17 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of one Arrow batch; whole texts are long, and a batch of them is held several times on its way.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which hold whole texts, to BATCH_ROWS rows, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A new, unused path below root()."""
     path = f"{root(spark)}/ratersight-{label}-{uuid.uuid4().hex}"
