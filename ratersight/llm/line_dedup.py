@@ -485,7 +485,8 @@ def marked_lines(docs: DataFrame, settings: Settings = Settings(), names: tuple[
     # all of a row but its text in one column, so that no name can clash
     own = docs.select(F.struct(*columns).alias("own"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_row"))
     gone = gone.withColumnsRenamed({"doc_id": "gone_doc"})
-    both = own.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_row") == F.col("row")), "left")
+    # what goes grows with the table: it is merged at any size, never broadcast
+    both = own.join(gone.hint("merge"), F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_row") == F.col("row")), "left")
     again = F.lit(False)
     if not gone.filter("copies > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("doc", "text_row").orderBy(F.xxhash64(F.to_json("own"))))
