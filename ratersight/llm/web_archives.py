@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import json
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +25,9 @@ LOCAL, CENTRAL, END, END64, LOCATOR64, EXTRA64 = 0x04034B50, 0x02014B50, 0x06054
 #: The profile of revisits of equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER_BYTES = 16 << 20
-INDEX = "indexes/index.cdxj"
+INDEX, DESCRIPTION = "indexes/index.cdxj", "datapackage.json"
+#: Rows of one batch of records read, and bytes that are looked through at a time for the ends of records.
+BATCH, STEP = 1000, 1 << 16
 
 
 class ZipWriter:
@@ -61,7 +65,9 @@ class ZipWriter:
 
 
 class ZipReader:
-    """The members of a ZIP file by its central directory, read by range (an object with size and read(start, length))."""
+    """The members of a ZIP file by its central directory, read by range (an object with size and read(start, length)).
+
+    Stored and deflated members are known; only stored ones have a start(), from which parts of them can be read."""
 
     def __init__(self, ranges):
         self.ranges = ranges
@@ -79,7 +85,7 @@ class ZipReader:
             if head[0] != END64:
                 raise ValueError("no 64-bit end of a central directory")
             count, size, start = head[7], head[8], head[9]
-        self.members: dict[str, tuple[int, int, int]] = {}  # name -> size, offset of the local header, checksum
+        self.members: dict[str, tuple[int, int, int, int]] = {}  # name -> bytes held, offset of the local header, checksum, method
         held, at = ranges.read(start, size), 0
         for _ in range(count):
             sign, _, _, _, method, _, _, crc, packed, full, n, extra, note, _, _, _, where = struct.unpack_from("<IHHHHHHIIIHHHHHII", held, at)
@@ -95,21 +101,28 @@ class ZipReader:
                     packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                     where = wide.pop(0) if where == 0xFFFFFFFF else where
                 more += 4 + length
-            if method == 0:
-                self.members[name] = (full, where, crc)
+            self.members[name] = (packed, where, crc, method)
             at = end + note
 
     def start(self, name: str) -> int:
-        """Where a member's bytes begin."""
-        _, where, _ = self.members[name]
+        """Where a stored member's bytes begin."""
+        if self.members[name][3] != 0:
+            raise ValueError(f"{name} is not stored, so parts of it can't be read")
+        return self._start(name)
+
+    def _start(self, name: str) -> int:
+        where = self.members[name][1]
         sign, *_, n, extra = struct.unpack("<IHHHHHIIIHH", self.ranges.read(where, 30))
         if sign != LOCAL:
             raise ValueError(f"{name} has no local header")
         return where + 30 + n + extra
 
     def read(self, name: str) -> bytes:
-        size, _, crc = self.members[name]
-        data = self.ranges.read(self.start(name), size)
+        size, _, crc, method = self.members[name]
+        if method not in (0, 8):
+            raise ValueError(f"{name} is compressed by an unknown method")
+        data = self.ranges.read(self._start(name), size)
+        data = zlib.decompress(data, -15) if method == 8 else data
         if zlib.crc32(data) != crc:
             raise ValueError(f"{name} does not match its checksum")
         return data
@@ -124,8 +137,65 @@ def _name(page_id: int | None) -> str:
 
 
 def _number(name: str) -> int | None:
-    own = name[len("<urn:page:") : -1]
-    return None if own == "none" else int(own)
+    """The page of a record's name; records that others wrote have none."""
+    own = name.removeprefix("<urn:page:").removesuffix(">")
+    return int(own) if name.startswith("<urn:page:") and own != "none" else None
+
+
+def url_key(url: str | None) -> str:
+    """The sort key of a URL: the host's labels from the last to the first, then path and query, in lower case."""
+    url = "".join((url or "").split())
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        host = None
+    if not host:
+        return url.lower() or "-"
+    return (",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")).lower()
+
+
+def index_entries(text: str) -> Iterator[dict]:
+    """The entries of an index of lines that hold a key, a time and an object, or the object alone."""
+    for line in text.splitlines():
+        if "{" in line and not line.startswith("!"):
+            yield json.loads(line[line.index("{") :])
+
+
+def walk(ranges, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzipped record of an archive that begins at start."""
+    at = 0
+    while at < size:
+        unpack, seen = zlib.decompressobj(31), at
+        while not unpack.eof:
+            if seen >= size:
+                raise ValueError("the last record is cut off")
+            part = ranges.read(start + seen, min(STEP, size - seen))
+            unpack.decompress(part)
+            seen += len(part)
+        end = seen - len(unpack.unused_data)
+        yield at, end - at
+        at = end
+
+
+def records(package: ZipReader) -> Iterator[tuple[str, int, int]]:
+    """(member, offset, length) of the records of a package: by its indexes, or, of archives that none mentions, by walking
+    through their gzipped records. Archives must be stored."""
+    indexed: set[tuple[str, int]] = set()
+    for name in package.members:
+        if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx")):
+            for entry in index_entries(package.read(name).decode()):
+                file, at = str(entry["filename"]), int(entry["offset"])
+                file = file if file in package.members else f"archive/{file}"
+                if (file, at) not in indexed:
+                    indexed.add((file, at))
+                    yield file, at, int(entry["length"])
+    known = {file for file, _ in indexed}
+    for name, (size, *_) in package.members.items():
+        if name.endswith((".warc.gz", ".warc")) and name not in known:
+            if name.endswith(".warc"):
+                raise ValueError(f"{name} is not gzipped by record and has no index")
+            yield from ((name, at, length) for at, length in walk(package.ranges, package.start(name), size))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -143,19 +213,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse(packed: bytes) -> tuple[dict[str, str], int, bytes]:
-    """(header fields, the payload's length by its HTTP header, the payload that is there) of one gzipped record."""
-    raw = gzip.decompress(packed)
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header lines by their names in lower case."""
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+
+
+def parse(packed: bytes) -> tuple[dict[str, str], int | None, bytes]:
+    """(header fields by names in lower case, the full payload's length, the payload that is there) of one record, gzipped
+    or not. The length is null for a revisit whose HTTP header tells none. A response's digest by SHA-1 is checked, and
+    computed where it has no such one."""
+    raw = gzip.decompress(packed) if packed.startswith(b"\x1f\x8b") else packed
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines)
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    told = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
-    if fields["WARC-Type"] == "response" and f"sha1:{digest(payload)}" != fields["WARC-Payload-Digest"]:
-        raise ValueError("the payload does not match its digest")
-    return fields, int(told["Content-Length"]), payload
+    fields = _fields(lines)
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    if fields["warc-type"] == "response":
+        own, told = f"sha1:{digest(payload)}", fields.get("warc-payload-digest", "")
+        if told.lower().startswith("sha1:") and told[5:].upper() != own[5:]:
+            raise ValueError("the payload does not match its digest")
+        return fields | {"warc-payload-digest": own}, len(payload), payload
+    size = _fields(http.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+    return fields, int(size) if size.isdecimal() else None, payload
 
 
 def _write(folder: str, force64: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -164,23 +244,30 @@ def _write(folder: str, force64: bool) -> Callable[[Iterable[pa.RecordBatch]], I
         index: list[str] = []
         with writing(folder, name) as out:
             package, held, size, no = ZipWriter(out, force64), [], 0, 0
+            resources: list[dict] = []
+
+            def add(path: str, data: bytes) -> None:
+                package.add(path, data)
+                resources.append({"name": path.rsplit("/", 1)[-1], "path": path, "hash": f"sha256:{hashlib.sha256(data).hexdigest()}", "bytes": len(data)})
 
             def full() -> None:
                 nonlocal held, size, no
-                package.add(f"archive/data-{no:05d}.warc.gz", b"".join(held))
+                add(f"archive/data-{no:05d}.warc.gz", b"".join(held))
                 held, size, no = [], 0, no + 1
 
             for batch in batches:
                 for page, url, html, keeper in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3).to_pylist()):
                     own = record(page, url, html.as_py() or b"", keeper, keeper is not None)
-                    index.append(json.dumps({"page": page, "filename": f"archive/data-{no:05d}.warc.gz", "offset": size, "length": len(own)}))
+                    entry = {"url": "".join((url or "").split()), "filename": f"data-{no:05d}.warc.gz", "offset": str(size), "length": str(len(own))}
+                    index.append(f"{url_key(url)} 19700101000000 {json.dumps(entry)}")
                     held.append(own)
                     size += len(own)
                     if size >= MEMBER_BYTES:
                         full()
             if held:
                 full()
-            package.add(INDEX, "\n".join(index).encode())
+            add(INDEX, "".join(f"{line}\n" for line in sorted(index)).encode())
+            package.add(DESCRIPTION, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": resources}).encode())
             package.finish()
         if index:
             yield pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([len(index)], pa.int64())})
@@ -204,28 +291,37 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, force64:
 
 
 def _read(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def rows(ranges: Ranges) -> Iterator[tuple]:
+        package = ZipReader(ranges)
+        starts: dict[str, int] = {}
+        for member, at, length in records(package):
+            if member not in starts:
+                starts[member] = package.start(member)
+            fields, size, _ = parse(ranges.read(starts[member] + at, length))
+            if fields["warc-type"] in ("response", "revisit"):
+                refers = fields.get("warc-refers-to")
+                yield _number(fields["warc-record-id"]), size, fields.get("warc-payload-digest", "").rpartition(":")[2] or None, fields["warc-type"], refers and _number(refers)
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 ranges = Ranges(folder, name)
-                package = ZipReader(ranges)
-                starts = {m: package.start(m) for m in package.members}
-                rows = []
-                for line in package.read(INDEX).decode().splitlines():
-                    entry = json.loads(line)
-                    fields, size, _ = parse(ranges.read(starts[entry["filename"]] + entry["offset"], entry["length"]))
-                    refers = fields.get("WARC-Refers-To")
-                    rows.append((_number(fields["WARC-Record-ID"]), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], refers and _number(refers)))
+                found = rows(ranges)
+                while own := list(itertools.islice(found, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), kinds)], names=names)
                 ranges.close()
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return read
 
 
 def read_archives(spark: SparkSession, packages: DataFrame, folder: str) -> DataFrame:
-    """A row for each record of the packages: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """A row for each response and revisit of the packages (name): page_id, payload_bytes, payload_digest, record_type,
+    refers_to. Packages may be others': page_id and refers_to are null for records that write_archives() did not name.
 
-    Directories and indexes are parsed, then each record is read by its range and checked against its digest."""
+    Directories and indexes are parsed, then each record is read by its range and checked against its digest. Archives that
+    no index mentions are walked through; archives that aren't stored are an error. An empty table gives an empty result."""
     names = packages.select("name").repartition(scratch.parts(spark), "name")
     return names.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -8,6 +8,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -273,6 +274,46 @@ def test_archives(spark):
     assert web_archives.read_archives(spark, empty, "file:///tmp").collect() == []
 
 
+def test_archives_of_others(spark, tmp_path):
+    page = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nhello"
+    head = "WARC/1.0\r\nwarc-type: {}\r\nWARC-Record-ID: <urn:uuid:1>\r\n{}Content-Length: {}\r\n\r\n"
+    info = gzip.compress(head.format("warcinfo", "", 3).encode() + b"x: \r\n\r\n")
+    plain = head.format("response", "", len(page)).encode() + page + b"\r\n\r\n"
+    again = gzip.compress(head.format("revisit", "WARC-Payload-Digest: sha1:ABC\r\n", 19).encode() + b"HTTP/1.0 200 OK\r\n\r\n\r\n\r\n")
+    data = info + gzip.compress(plain) + again
+    hello = web_archives.digest(b"hello")
+    line = 'com,x)/ 20200101000000 {"filename": "a.warc.gz", "offset": "%d", "length": "%d"}\n' % (len(info), len(data) - len(info) - len(again))
+    packages = {
+        "walked": ([("archive/a.warc.gz", data, zipfile.ZIP_STORED)], [(5, hello, "response"), (None, "ABC", "revisit")]),
+        "indexed": ([("archive/a.warc.gz", data, zipfile.ZIP_STORED), ("indexes/i.cdxj", "!meta {}\n" + line, zipfile.ZIP_DEFLATED)], [(5, hello, "response")]),
+        "plain": ([("archive/b.warc", plain, zipfile.ZIP_STORED), ("indexes/i.cdxj", '{"filename": "b.warc", "offset": 0, "length": %d}' % len(plain), 0)], [(5, hello, "response")]),
+        "packed": ([("archive/a.warc.gz", data, zipfile.ZIP_DEFLATED)], None),
+        "no index": ([("archive/b.warc", plain, zipfile.ZIP_STORED)], None),
+        "cut": ([("archive/a.warc.gz", data[:-9], zipfile.ZIP_STORED)], None),
+        "empty": ([], []),
+    }
+    for name, (members, want) in packages.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.wacz", "w") as z:
+            for member, content, method in members:
+                z.writestr(member, content, method)
+        read = web_archives._read(f"file://{tmp_path}")
+        names = pa.RecordBatch.from_pydict({"name": [f"{name}.wacz"]})
+        if want is None:
+            with pytest.raises(ValueError):
+                list(read([names]))
+        else:
+            got = [r for b in read([names]) for r in b.to_pylist()]
+            assert [(r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in got] == want
+            assert all(r["page_id"] is None and r["refers_to"] is None for r in got)
+    own = spark.createDataFrame([("walked.wacz",), ("indexed.wacz",)], "name string")
+    assert web_archives.read_archives(spark, own, f"file://{tmp_path}").count() == 3
+
+
+def test_keys_of_urls():
+    assert web_archives.url_key("http://Www.Example.com:8080/A?b=C") == "com,example,www:8080)/a?b=c"
+    assert [web_archives.url_key(u) for u in (None, "", "no url", "http://[x", "http://x:y/")] == ["-", "-", "nourl", "http://[x", "http://x:y/"]
+
+
 def test_neighbours_and_similar_sets(spark):
     rng = random.Random(12)
     base = " ".join(rng.choice(["the", "of", "and", "w%d" % rng.randrange(500)]) for _ in range(300))
