@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratersight.llm import decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, scratch, secrets, token_files, web_archives
+from ratersight.llm import branch_merge, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, scratch, secrets, token_files, web_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents after a three-way merge of the branches L and R, with clean changes and conflicts."""
+    own = branch_merge.merge_coded(_table(spark, sf_dir, "documents"))
+    return own.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), *branch_merge.COUNTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_minhash_near_dedup, op3_token_files, op4_quality_gam, op5_line_dedup, op6_web_archives, op7_language_crf, op8_best_fit_packing, op9_decontamination, op10_spotsigs)
+    for f in (op1_secret_scan, op2_minhash_near_dedup, op3_token_files, op4_quality_gam, op5_line_dedup, op6_web_archives, op7_language_crf, op8_best_fit_packing, op9_decontamination, op10_spotsigs, op13_branch_merge)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.oracle_sql(),
+    "op13_branch_merge": branch_merge.oracle_sql(),
 }
