@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratersight.llm import branch_merge, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, scratch, secrets, token_files, web_archives
+from ratersight.llm import branch_merge, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, scratch, secrets, token_files, vector_codes, vector_dedup, web_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,16 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by integer codebooks, and their errors."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.95 or more."""
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents after a three-way merge of the branches L and R, with clean changes and conflicts."""
     own = branch_merge.merge_coded(_table(spark, sf_dir, "documents"))
@@ -77,10 +87,11 @@ def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_minhash_near_dedup, op3_token_files, op4_quality_gam, op5_line_dedup, op6_web_archives, op7_language_crf, op8_best_fit_packing, op9_decontamination, op10_spotsigs, op13_branch_merge)
+    for f in (op1_secret_scan, op2_minhash_near_dedup, op3_token_files, op4_quality_gam, op5_line_dedup, op6_web_archives, op7_language_crf, op8_best_fit_packing, op9_decontamination, op10_spotsigs, op11_vector_codes, op12_vector_dedup, op13_branch_merge)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
     "op13_branch_merge": branch_merge.oracle_sql(),
 }
