@@ -1,18 +1,15 @@
-"""Features of rating errors, and a mixed model of them from cross-products that Spark sums."""
+"""Features of rating errors, and the mixed model of them by strata."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratersight.functions.text import log_params
-from ratersight.operators.tables import centred, z_scores
+from ratersight.operators.mixed import Fit, mixed_model, nested_effects
+from ratersight.operators.tables import centre, position, z_scores
+from ratersight.sources.stages import kept, small
 
-#: Levels, all factors together, that the dense solver takes; the nested factor isn't counted.
-MOST_LEVELS = 3000
 ERROR_OF_MISSING = 6.0
 
 
@@ -35,7 +32,7 @@ def seed_means(cells: DataFrame) -> DataFrame:
 
 
 #: Terms of the model by stratum, before those without variation go.
-TERMS = ("severity_between_z", "log_tokens_between_z", "severity_within_z", "log_tokens_within_z", "log_params_z", "log_context_z")
+TERMS = ("severity_between_z", "log_tokens_between_z", "severity_within_z", "log_tokens_within_z", "log_params_z", "log_context_z", "architecture")
 REASONING_TERMS = ("log_reason_between_z", "log_reason_within_z")
 
 
@@ -44,7 +41,8 @@ def engineered(seeds: DataFrame) -> DataFrame:
     reasoning tokens within patient and item, transcript tokens within patient."""
     log = lambda c: F.log10(F.col(c) + 1)
     own = seeds.withColumns({"log_tokens": log("num_trans_tokens"), "log_reason": log("num_reason_tokens"), "log_context": log("context_length"), "log_params": log_params(F.col("total_params"))})
-    own = own.withColumns(centred("severity", ["patient", "item"]) | centred("log_tokens", ["patient"]) | centred("log_reason", ["patient", "item"]))
+    own = centre(own, ["severity", "log_reason"], ["patient", "item"])
+    own = centre(own, ["log_tokens"], ["patient"])
     return z_scores(own, ["log_params", "log_context", *(f"{v}_{k}" for v in ("severity", "log_tokens", "log_reason") for k in ("between", "within"))])
 
 
@@ -52,7 +50,7 @@ def frame(cells: DataFrame) -> DataFrame:
     """seed_means() of a bare panel (session, item, model, run, ...), in which a patient is a residue class of sessions and
     the parameters follow the model's number; severity is centred and the parameters standardised."""
     own = seed_means(cells).withColumns({"patient": F.col("session") % 50, "reasoning": F.col("model") % 2 == 0, "log_params": F.log10(F.col("model") + 1)})
-    own = own.withColumns(centred("severity", ["patient", "item"]))
+    own = centre(own, ["severity"], ["patient", "item"])
     return z_scores(own, ["log_params"])
 
 
@@ -61,206 +59,51 @@ def prunable(df: DataFrame, terms: list[str]) -> DataFrame:
     return df.agg(*((F.count_distinct(t) >= 2).alias(t) for t in terms))
 
 
-def pruned(df: DataFrame, terms: list[str]) -> tuple[list[str], dict[str, str]]:
-    """The terms that vary, and the reasons why others go: missing, all 0, single level."""
-    there = [t for t in terms if t in df.columns]
-    text = {t for t, kind in df.dtypes if kind == "string"}
-    got = df.agg(*(f(t).alias(f"{name}_{t}") for t in there for name, f in (("low", F.min), ("high", F.max)))).first() if there else {}
-    why = {t: "missing" for t in terms if t not in there}
-    for t in there:
-        if got[f"low_{t}"] == got[f"high_{t}"]:  # or both are null
-            why[t] = "single level" if t in text else "all 0" if got[f"low_{t}"] == 0 else "no variation"
-    return [t for t in terms if t not in why], why
-
-
-def formula(y: str, fixed: list[str], random: list[str]) -> str:
-    """A model's formula as text."""
-    return f"{y} ~ {' + '.join(fixed) or '1'} + {' + '.join(f'(1 | {r})' for r in random)}"
-
-
-@dataclass
-class Fit:
-    """What a fit has found. terms: (term, estimate, se). levels: (factor, level, effect, se). variances: by factor, and of
-    the noise. singular: some factor's variance is next to nothing beside the noise's."""
-
-    formula: str
-    n: int
-    terms: list[tuple[str, float, float]]
-    levels: list[tuple[str, str, float, float]]
-    variances: dict[str, float]
-    noise: float
-    iterations: int
-    converged: bool
-    dropped: dict[str, str]
-
-    @property
-    def singular(self) -> bool:
-        return any(v < 1e-5 * self.noise for v in self.variances.values())
-
-
-def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nested: str | None = None, iterations: int = 3000, tolerance: float = 1e-8) -> Fit:
-    """REML of y ~ 1 + fixed with a random intercept for each factor in random, and for nested, a factor of any number of
-    levels, such as the session within its patient. Terms that don't vary go; text terms are not taken.
-
-    Spark sums the cross-products of the design. What reaches the driver is bounded by the levels of `random`, which are
-    checked. The nested factor is absorbed: its equations are diagonal, so Spark sums its levels' outer products by the
-    level's number of rows, and any variance ratio is a weighting of these few matrices. The REML deviance is then a
-    function of small matrices alone; a simplex search finds its least value, is started again from there, and the fit tells
-    whether it converged. Fixed terms that depend on others go. Rows with a null are left out."""
-    fixed, dropped = pruned(df, fixed)
-    df = df.dropna(subset=[y, *fixed, *random, *([nested] if nested else [])]).select(F.lit(1.0).alias("x0"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(fixed, 1)), F.col(y).cast("double").alias("y"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(random)), *([F.col(nested).cast("string").alias("nest")] if nested else []))
-    p = 1 + len(fixed)
-    columns = [*(f"x{i}" for i in range(p)), "y"]
-    whole = df.agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
-    n, levels, sums = whole["n"], [], []
-    for k, f in enumerate(random):
-        own = df.groupBy(F.col(f"f{k}").alias("level")).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns))).orderBy("level").limit(MOST_LEVELS + 1).collect()
-        levels += [(f, r.level) for r in own]
-        sums += [[r[f"s{i}"] for i in range(p + 1)] for r in own]
-    if len(levels) > MOST_LEVELS:
-        raise ValueError(f"more than {MOST_LEVELS} levels of random factors")
-    at = {x: p + i for i, x in enumerate(levels)}
-    q = len(levels)
-    size = p + q + 1  # the last one is y
-    full = np.zeros((size, size))
-    place = [*range(p), size - 1]
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            full[place[i], place[j]] = full[place[j], place[i]] = whole[f"{i}_{j}"] or 0.0
-    for (f, level), row in zip(levels, sums):
-        here = at[f, level]
-        full[here, place] = full[place, here] = row
-        full[here, here] = row[0]
-    for i, f in enumerate(random):
-        for j in range(i + 1, len(random)):
-            for r in df.groupBy(F.col(f"f{i}").alias("a"), F.col(f"f{j}").alias("b")).agg(F.count("*").alias("n")).collect():
-                a, b = at[f, r.a], at[random[j], r.b]
-                full[a, b] = full[b, a] = r.n
-    outer = _outer_products(df, p, random, at, size) if nested else []
-    keep = _independent(full[:p, :p])
-    dropped |= {fixed[i - 1]: "depends on the terms before it" for i in range(1, p) if i not in keep}
-    use = np.array([*keep, *range(p, size)])
-    full, outer, fixed, p = full[np.ix_(use, use)], [(t, m, x[np.ix_(use, use)]) for t, m, x in outer], [fixed[i - 1] for i in keep if i], len(keep)
-    of = np.array([random.index(f) for f, _ in levels], int)
-    many = np.bincount(of, minlength=len(random))
-    inner = sum(m for _, m, _ in outer)
-
-    def reduced(ratios: np.ndarray) -> np.ndarray:
-        out = full.copy()
-        for times, _, m in outer:
-            out -= m / (times + 1 / ratios[-1])
-        out[range(p, p + q), range(p, p + q)] += 1 / ratios[of]
-        return out
-
-    def deviance(logs: np.ndarray) -> float:
-        """Twice the negative REML log-likelihood but for a constant, at ratios of the variances to the noise's."""
-        ratios = np.exp(np.clip(logs, -16, 16))
-        try:
-            root = np.linalg.cholesky(reduced(ratios))
-        except np.linalg.LinAlgError:
-            return float("inf")
-        own = 2 * np.log(np.diag(root)[:-1]).sum() + many @ np.log(ratios[: len(random)]) + (n - p) * np.log(root[-1, -1] ** 2)
-        return float(own + sum(m * np.log(t + 1 / ratios[-1]) for t, m, _ in outer) + (inner * np.log(ratios[-1]) if nested else 0.0))
-
-    if n <= p:
-        return Fit(formula(y, fixed, [*random, *([nested] if nested else [])]), n, [], [], {}, 0.0, 0, False, dropped)
-    start = np.full(len(random) + bool(nested), -1.0)
-    logs, steps, done = _least(deviance, start, iterations, tolerance)
-    again, more, done = _least(deviance, logs, iterations, tolerance)  # a fresh start from there
-    ratios = np.exp(np.clip(again, -16, 16))
-    a = reduced(ratios)
-    inverse = np.linalg.inv(a[:-1, :-1])
-    solution = inverse @ a[:-1, -1]
-    noise = float((a[-1, -1] - solution @ a[:-1, -1]) / (n - p))
-    se = np.sqrt(np.maximum(np.diag(inverse) * noise, 0))
-    variances = {f: float(v * noise) for f, v in zip([*random, *([nested] if nested else [])], ratios)}
-    return Fit(
-        formula(y, fixed, list(variances)), n,
-        [(t, float(e), float(s)) for t, e, s in zip(["(Intercept)", *fixed], solution[:p], se[:p])],
-        [(f, level, float(e), float(s)) for (f, level), e, s in zip(levels, solution[p:], se[p:])],
-        variances, noise, steps + more, done, dropped,
-    )
-
-
-def _independent(products: np.ndarray) -> list[int]:
-    """The columns that don't depend on those before them, by their cross-products."""
-    keep: list[int] = []
-    for i in range(len(products)):
-        own = products[np.ix_(keep, keep)]
-        rest = products[i, i] - products[i, keep] @ np.linalg.solve(own, products[keep, i]) if keep else products[i, i]
-        if rest > 1e-8 * max(products[i, i], 1e-300):
-            keep.append(i)
-    return keep
-
-
-def _least(f, start: np.ndarray, most: int, tolerance: float) -> tuple[np.ndarray, int, bool]:
-    """(place, evaluations, whether it converged) of a least value by a simplex that is reflected, stretched and shrunk."""
-    k = len(start)
-    points = [start, *(start + 1.5 * np.eye(k)[i] for i in range(k))]
-    values = [f(x) for x in points]
-    count = k + 1
-    while count < most:
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < tolerance and max(np.abs(x - points[0]).max() for x in points) < 1e-3 or values[-1] - values[0] < 1e-11 * max(1.0, abs(values[0])):
-            return points[0], count, True
-        centre = np.mean(points[:-1], axis=0)
-        moved = centre + (centre - points[-1])
-        value = f(moved)
-        count += 1
-        if value < values[0]:
-            far = centre + 2 * (centre - points[-1])
-            further = f(far)
-            count += 1
-            moved, value = (far, further) if further < value else (moved, value)
-        elif value >= values[-2]:
-            inside = centre + 0.5 * ((moved if value < values[-1] else points[-1]) - centre)
-            inner = f(inside)
-            count += 1
-            if inner >= min(value, values[-1]):
-                points = [points[0], *(points[0] + 0.5 * (x - points[0]) for x in points[1:])]
-                values = [values[0], *(f(x) for x in points[1:])]
-                count += k
-                continue
-            moved, value = inside, inner
-        points[-1], values[-1] = moved, value
-    best = int(np.argmin(values))
-    return points[best], count, False
-
-
-def _outer_products(df: DataFrame, p: int, random: list[str], at: dict[tuple[str, str], int], size: int) -> list[tuple[int, int, np.ndarray]]:
-    """For each number of rows that levels of the nested factor have: (rows, levels, the sum of the outer products of these
-    levels' sums of the design). A level's sums are few: the fixed terms, y, and the factors' levels that it meets."""
-    spark = df.sparkSession
-    own = df
-    for k, f in enumerate(random):  # as many rows as the factor has levels, which MOST_LEVELS bounds
-        numbers = spark.createDataFrame([(level, i) for (g, level), i in at.items() if g == f], f"f{k} string, at{k} int")
-        own = own.join(F.broadcast(numbers), f"f{k}")
-    entry = lambda i, v: F.struct(i.cast("int").alias("i"), v.alias("v"))
-    entries = [*(entry(F.lit(i), F.col(f"x{i}")) for i in range(p)), entry(F.lit(size - 1), F.col("y")), *(entry(F.col(f"at{k}"), F.lit(1.0)) for k in range(len(random)))]
-    sums = own.select("nest", F.explode(F.array(*entries)).alias("e")).groupBy("nest", "e.i").agg(F.sum("e.v").alias("v"))
-    vectors = sums.groupBy("nest").agg(F.collect_list(F.struct("i", "v")).alias("w"), F.max(F.when(F.col("i") == 0, F.col("v"))).cast("int").alias("times"))
-    pairs = vectors.select("times", F.explode("w").alias("a"), "w").select("times", "a", F.explode("w").alias("b"))
-    got = pairs.groupBy("times", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v")).collect()
-    many = {r.times: r["count"] for r in vectors.groupBy("times").count().collect()}
-    out = {times: np.zeros((size, size)) for times in many}
-    for r in got:
-        out[r.times][r.i, r.j] = r.v
-    return [(times, many[times], m) for times, m in sorted(out.items())]
-
-
-def strata(df: DataFrame, y: str = "abs_error", random: tuple[str, ...] = ("model", "patient", "item"), nested: str = "session") -> dict[str, Fit]:
-    """The error model of the reasoning models and that of the others: random intercepts of model, patient, session within
-    patient and item; the reasoning ones have terms of the reasoning's length besides."""
-    own = df.withColumn("visit", F.concat_ws(":", nested, "patient")).persist()  # about ten sums read it
-    try:
-        return _strata(own, y, random)
-    finally:
-        own.unpersist()
-
-
-def _strata(own: DataFrame, y: str, random: tuple[str, ...]) -> dict[str, Fit]:
-    return {name: mixed_model(own.filter(keep), y, [*TERMS, *(REASONING_TERMS if name == "reason" else ())], list(random), "visit") for name, keep in (("nonreason", ~F.col("reasoning")), ("reason", F.col("reasoning")))}
+#: The factors of random intercepts: few levels, and the patient with the visit (session within patient) inside it.
+DENSE, NESTED = ("model", "item"), ("patient", "visit")
+
+
+def stratum(seeds: DataFrame, reasoning: bool) -> DataFrame:
+    """The rows of engineered() seeds of reasoning models or of the others, with the visit."""
+    return seeds.filter(F.col("reasoning") if reasoning else ~F.col("reasoning")).withColumn("visit", F.concat_ws(":", "session", "patient"))
+
+
+def strata(seeds: DataFrame, y: str = "abs_error") -> dict[str, Fit]:
+    """The error model of the reasoning models and that of the others: random intercepts of model, item, patient and session
+    within patient; the reasoning ones have terms of the reasoning's length besides."""
+    own = kept(seeds, "seeds")  # about ten sums read it
+    return {name: mixed_model(stratum(own, name == "reason"), y, [*TERMS, *(REASONING_TERMS if name == "reason" else ())], list(DENSE), NESTED) for name in ("nonreason", "reason")}
+
+
+def equations(df: DataFrame, fit: Fit, y: str, fixed: list[str]) -> DataFrame:
+    """(factor, equation, side): the left-hand sides of the mixed-model equations at a fit's estimates, from the rows that it
+    was made of. At a solution they are the right-hand sides: sums of y times a fixed term's column (a text term's level), and
+    sums of y over a random factor's level; those of terms that depend on others hold too. Factor `slope` has the deviance's
+    derivative by the logarithm of each variance ratio, 0 at the best ratios."""
+    outer, inner = nested_effects(fit)
+    dense, (o, i) = [f for f in fit.variances if f not in fit.nested], fit.nested
+    text = [t for t in fixed if df.schema[t].dataType.simpleString() == "string"]
+    numbers = [t for t in fixed if t not in text]
+    own = df.dropna(subset=[y, *fixed, *fit.variances]).withColumns({f: F.col(f).cast("string") for f in fit.variances})
+    linear = sum((F.lit(e) * c for (_, e, _), (_, c) in zip(fit.terms, fit.columns)), F.lit(0.0))
+    effect = {f: F.create_map(*(F.lit(x) for g, level, e, _ in fit.levels if g == f for x in (level, e))) for f in dense}
+    visits = kept(inner.withColumnRenamed("effect", "of_inner").join(small(outer.withColumnRenamed("effect", "of_outer")), o), "effects")
+    own = own.join(small(visits), [o, i]).withColumn("fitted", linear + sum((m[F.col(f)] for f, m in effect.items()), F.col("of_outer") + F.col("of_inner")))
+    own = kept(own.select(*fit.variances, *fixed, "fitted", "of_outer", "of_inner"), "fitted")
+    row = lambda factor, equation, side: F.struct(F.lit(factor).alias("factor"), equation.cast("string").alias("equation"), side.cast("double").alias("side")).alias("r")
+    sums = own.agg(F.sum("fitted").alias("(Intercept)"), *(F.sum(F.col(t) * F.col("fitted")).alias(t) for t in numbers))
+    parts = [sums.select(F.explode(F.array(*(row("fixed", F.lit(t), F.col(f"`{t}`")) for t in sums.columns))).alias("r"))]
+    parts += [own.groupBy(t).agg(F.sum("fitted").alias("s")).select(row("fixed", F.concat(F.lit(t), F.col(t)), F.col("s"))) for t in text]
+    over = {f: fit.noise / v for f, v in fit.variances.items()}
+    for f in dense:
+        parts.append(own.groupBy(f).agg(F.sum("fitted").alias("s")).select(row(f, F.col(f), F.col("s") + over[f] * effect[f][F.col(f)])))
+    for f, e in ((o, "of_outer"), (i, "of_inner")):
+        parts.append(own.groupBy(f).agg(F.sum("fitted").alias("s"), F.max(e).alias("e")).select(row(f, F.col(f), F.col("s") + over[f] * F.col("e"))))
+    slopes = df.sparkSession.createDataFrame([(f, s) for f, s in fit.slopes.items()], "f string, s double")
+    out = slopes.select(row("slope", F.col("f"), F.col("s")))
+    for part in parts:
+        out = out.union(part)
+    return out.select("r.*")
 
 
 def effects(spark, fits: dict[str, Fit]) -> DataFrame:
@@ -275,13 +118,11 @@ def item_effects(spark, fits: dict[str, Fit], factor: str = "item") -> DataFrame
     schema = "stratum string, factor string, level string, "
     deviations = spark.createDataFrame([(k, g, x, e, e - 1.96 * s, e + 1.96 * s) for k, f in fits.items() for g, x, e, s in f.levels if g == factor], schema + "dev double, dev_low double, dev_high double")
     totals = spark.createDataFrame([(k, g, x, f.terms[0][1] + e) for k, f in fits.items() for g, x, e, _ in f.levels if g == factor], schema + "total double")
-    from ratersight.operators.tables import position
-
     out = totals.join(deviations, ["stratum", "factor", "level"], "left")
     return out.withColumn("place", position(["stratum"], ["total", "level"]))
 
 
 def reports(spark, fits: dict[str, Fit]) -> DataFrame:
-    """(stratum, formula, n, noise, variances, iterations, converged, singular, dropped) of each fit."""
-    rows = [(k, f.formula, f.n, f.noise, f.variances, f.iterations, f.converged, f.singular, f.dropped) for k, f in fits.items()]
-    return spark.createDataFrame(rows, "stratum string, formula string, n long, noise double, variances map<string,double>, iterations int, converged boolean, singular boolean, dropped map<string,string>")
+    """(stratum, formula, n, noise, variances, iterations, converged, singular, dropped, deviance, gradient) of each fit."""
+    rows = [(k, f.formula, f.n, f.noise, f.variances, f.iterations, f.converged, f.singular, f.dropped, f.deviance, f.gradient) for k, f in fits.items()]
+    return spark.createDataFrame(rows, "stratum string, formula string, n long, noise double, variances map<string,double>, iterations int, converged boolean, singular boolean, dropped map<string,string>, deviance double, gradient double")

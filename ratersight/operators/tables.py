@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratersight.sources.stages import SMALL_ROWS, kept
+
+#: Rows of one group that may meet in one task of a join.
+SALT_ROWS = 1_000_000
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an explicit order."""
@@ -77,10 +82,32 @@ def box(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), q(0.5, "median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), q(0.25, "q1"), q(0.75, "q3"), q(0.05, "p5"), q(0.95, "p95"))
 
 
-def centred(value: str, keys: list[str]) -> dict[str, Column]:
-    """The group's mean (between) and the distance from it (within)."""
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    return {f"{value}_between": mean, f"{value}_within": F.col(value) - mean}
+def centre(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """df with, for each value, its group's mean (v_between) and the distance from it (v_within).
+
+    Means are summed before the shuffle and joined back: broadcast where a count shows that they are few, else by a shuffled
+    join in which each group's rows are dealt out over salts by the group's size, so that no task has a whole hot group."""
+    means = df.groupBy(*keys).agg(*(F.avg(v).alias(f"{v}_between") for v in values), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    means = kept(means, "means")
+    within = {f"{v}_within": F.col(v) - F.col(f"{v}_between") for v in values}
+    same = [df[k].eqNullSafe(F.col(f"mean_{k}")) for k in keys]
+    named = means.select(*(F.col(k).alias(f"mean_{k}") for k in keys), *(f"{v}_between" for v in values), "salts")
+    extra = [f"mean_{k}" for k in keys]
+    if means.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        out = df.join(F.broadcast(named.drop("salts")), _every(same), "left")
+        return out.withColumns(within).drop(*extra)
+    most = means.agg(F.max("salts")).first()[0]  # a row takes one of as many salts as the largest group has
+    salted = df.withColumn("salt", (F.rand(0) * most).cast("int"))
+    same = [salted[k].eqNullSafe(F.col(f"mean_{k}")) for k in keys]
+    dealt = named.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).drop("salts")
+    return salted.join(dealt, _every([*same, F.col("salt") == F.col("of_salt")]), "left").withColumns(within).drop(*extra, "salt", "of_salt")
+
+
+def _every(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def z_scores(df: DataFrame, values: list[str]) -> DataFrame:

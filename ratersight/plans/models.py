@@ -10,6 +10,7 @@ from ratersight.operators import dimensions, features, ratings, tables, transcri
 from ratersight.plans.roster import PANEL, SCORED, _cells, _r, _scored, query, rounded
 from ratersight.sources import panels
 from ratersight.sources.panels import table
+from ratersight.sources.stages import kept
 
 MODELS = "models(model, name, variant, reasons, total_params, active_params, context_length, arch) as (values " + ", ".join("(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in panels.MODEL_TABLE) + ")"
 
@@ -146,7 +147,7 @@ def union_by_name(spark, d):
 
 
 _RUNS = ("rating", "error", "failure_reason", "explanation", "reasoning", "creation_time", "num_reason_tokens")
-_ANNOTATED = f"""{PANEL}, {MODELS}, noted as (select c.*, session % 50 as patient, 500 + session * 37 % 1000 as num_trans_tokens, reasons = 'Yes' as reasoning, context_length, total_params, arch, name, active_params, case when reasons = 'Yes' then (17*session + 5*item + 3*model + 29*run) % 800 else 0 end as num_reason_tokens from cells c join models using (model))"""
+_ANNOTATED = f"""{PANEL}, {MODELS}, noted as materialized (select c.*, session % 50 as patient, 500 + session * 37 % 1000 as num_trans_tokens, reasons = 'Yes' as reasoning, context_length, total_params, arch, name, active_params, case when reasons = 'Yes' then (17*session + 5*item + 3*model + 29*run) % 800 else 0 end as num_reason_tokens from cells c join models using (model))"""
 
 
 @query(f"""with {_ANNOTATED} select session, item, model, patient, name as model_name, coalesce(arch, 'Unknown') as architecture, context_length, reasoning, active_params, total_params, num_trans_tokens, max(ground_truth) as ground_truth,
@@ -168,7 +169,7 @@ _SEEDS = f"""{_ANNOTATED}, seeds as (select session, item, model, patient, num_t
 avg(case when failure = 0 then abs(rating - ground_truth) else 6 end) as abs_error, avg(num_reason_tokens) as num_reason_tokens, min(ground_truth) as severity from noted group by all),
 logs as (select *, log10(num_trans_tokens + 1) as log_tokens, log10(num_reason_tokens + 1) as log_reason, log10(context_length + 1) as log_context, log10(cast(replace(total_params, 'B', '') as double) * 1e9) as log_params from seeds),
 means as (select *, avg(severity) over (partition by patient, item) as severity_between, avg(log_tokens) over (partition by patient) as log_tokens_between, avg(log_reason) over (partition by patient, item) as log_reason_between from logs),
-c as (select *, severity - severity_between as severity_within, log_tokens - log_tokens_between as log_tokens_within, log_reason - log_reason_between as log_reason_within from means)"""
+c as materialized (select *, severity - severity_between as severity_within, log_tokens - log_tokens_between as log_tokens_within, log_reason - log_reason_between as log_reason_within from means)"""
 _Z = ("log_params", "log_context", "severity_between", "severity_within", "log_tokens_between", "log_tokens_within", "log_reason_between", "log_reason_within")
 
 
@@ -214,23 +215,70 @@ def role_labels(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.roles(line).alias("u")).select("conv_id", "turn", "u.role", F.col("u.text").alias("said"))
 
 
-def _fits(spark, d):
-    return features.strata(features.engineered(features.seed_means(panels.annotated(_cells(spark, d), spark))))
+def _seeds(spark, d):
+    return features.engineered(features.seed_means(panels.error_cells(spark, d)))
+
+
+#: The seeds of the error model, from line items; item 0 counts a tenth.
+_LINES = """nations as (select n_nationkey as model, n_nationkey % 2 = 0 as reasoning, log10((n_nationkey * 3 % 70 + 1) * 1e9) as log_params, log10(1000 * (n_nationkey * 7 % 25 + 8) + 1) as log_context, case when n_regionkey <> 4 then r_name else 'Unknown' end as architecture from nation left join region on r_regionkey = n_regionkey),
+lines as (select l_orderkey as session, o_custkey as patient, 500 + cast(floor(o_totalprice / 100) as bigint) as num_trans_tokens, l_linenumber as item, s_nationkey as model, l_suppkey % 3 as run, least(6, cast(round(100 * l_discount) as int)) as truth, l_quantity,
+  cast(round(100 * l_tax) as int) % 4 + cast(o_custkey % 3 = 0 as int) + cast(l_orderkey % 4 = 0 as int) + cast(s_nationkey % 3 = 0 as int) + cast(l_linenumber % 3 = 1 as int) - 2 as shift from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey),
+marked as materialized (select session, patient, num_trans_tokens, item, model, run, max(truth) as ground_truth, max(case when l_quantity % 50 <> 0 then least(greatest(truth + shift, 0), 6) end) as rating from lines group by all),
+both_kinds as (select * from marked union all select session, patient, num_trans_tokens, 0 as item, model, run, sum(ground_truth), sum(rating) from marked group by all),
+noted as (select *, case when item = 0 then 10.0 else 1.0 end as scale, case when reasoning then (17 * session + 5 * item + 3 * model + 29 * run) % 800 else 0 end as reason_tokens from both_kinds join nations using (model)),
+seeds as materialized (select session, patient, item, model, reasoning, architecture, log_params, log_context, log10(num_trans_tokens + 1) as log_tokens, avg(rating / scale) as rating, avg(case when rating is null then 6 else abs(rating - ground_truth) / scale end) as abs_error,
+  log10(avg(reason_tokens) + 1) as log_reason, min(ground_truth) / min(scale) as severity from noted group by session, patient, item, model, reasoning, architecture, log_params, log_context, num_trans_tokens),
+by_item as (select patient, item, avg(severity) as severity_between, avg(log_reason) as log_reason_between from seeds group by patient, item),
+by_patient as (select patient, avg(log_tokens) as log_tokens_between from seeds group by patient),
+c as materialized (select s.*, severity_between, log_reason_between, log_tokens_between, severity - severity_between as severity_within, log_reason - log_reason_between as log_reason_within, log_tokens - log_tokens_between as log_tokens_within from seeds s join by_item using (patient, item) join by_patient using (patient)),
+t as (select {totals} from c),
+e as materialized (select session, patient, item, model, reasoning, architecture, rating, abs_error, severity, {z} from c, t)""".format(totals=", ".join(f"avg({v}) as m_{v}, stddev_samp({v}) as s_{v}" for v in _Z), z=", ".join(f"coalesce(({v} - m_{v}) / nullif(s_{v}, 0), 0) as {v}_z" for v in _Z))
+
+
+@query(f"with {_LINES} select session, item, model, architecture, {_r('rating', 'abs_error')}, round(severity, 6) as severity, {', '.join(f'round({v}_z, 5) + 0.0 as {v}_z' for v in _Z)} from e")
+def seed_features_with_totals(spark, d):
+    own = _seeds(spark, d).select("session", "item", "model", "architecture", "rating", "abs_error", "severity", *(f"{v}_z" for v in _Z))
+    return own.withColumns({f"{v}_z": F.round(f"{v}_z", 5) + 0.0 for v in _Z})
+
+
+def _sides() -> str:
+    """The right-hand sides of the mixed-model equations: sums of y alone, which no fit has touched."""
+    parts = []
+    for name, reasoning in (("nonreason", "not reasoning"), ("reason", "reasoning")):
+        own = f"from e where {'not ' * (name == 'nonreason')}reasoning"
+        terms = [t for t in (*features.TERMS, *(features.REASONING_TERMS if name == "reason" else ())) if t != "architecture"]
+        parts += [f"select '{name}' as stratum, 'fixed' as factor, '{t}' as equation, sum({x} * abs_error) as side {own}" for t, x in (("(Intercept)", "1"), *((t, t) for t in terms))]
+        levels = (("fixed", "'architecture' || architecture"), ("model", "cast(model as varchar)"), ("item", "cast(item as varchar)"), ("patient", "cast(patient as varchar)"), ("visit", "cast(session as varchar) || ':' || cast(patient as varchar)"))
+        parts += [f"select '{name}', '{f}', {x}, sum(abs_error) {own} group by {x}" for f, x in levels]
+        parts += [f"select '{name}', 'slope', '{f}', 0.0" for f in (*features.DENSE, *features.NESTED)]
+    return " union all ".join(parts)
+
+
+@query(f"with {_LINES}, q as ({_sides()}) select stratum, factor, equation, round(side, 3) + 0.0 as side from q")
+def lme_equations(spark, d):
+    """The error model's equations at its estimates: left-hand sides from the fit, which SQL's right-hand sides must equal."""
+    seeds = kept(_seeds(spark, d), "seeds")
+    out = None
+    for name, fit in features.strata(seeds).items():
+        fixed = [*features.TERMS, *(features.REASONING_TERMS if name == "reason" else ())]
+        own = features.equations(features.stratum(seeds, name == "reason"), fit, "abs_error", fixed).withColumn("stratum", F.lit(name))
+        out = own if out is None else out.union(own)
+    return rounded(out.select("stratum", "factor", "equation", "side"), 3)
 
 
 @query(None)
 def lme_fixed_effects(spark, d):
     """Fixed effects of the error model, by stratum."""
-    return features.effects(spark, _fits(spark, d))
+    return features.effects(spark, features.strata(_seeds(spark, d)))
 
 
 @query(None)
 def lme_item_blups(spark, d):
     """Items' deviations and totals, by stratum, in the order of their totals."""
-    return features.item_effects(spark, _fits(spark, d))
+    return features.item_effects(spark, features.strata(_seeds(spark, d)))
 
 
 @query(None)
 def lme_fit_report(spark, d):
-    """Formula, variances, convergence and singularity of each stratum's fit."""
-    return features.reports(spark, _fits(spark, d))
+    """Formula, variances, convergence, gradient and singularity of each stratum's fit."""
+    return features.reports(spark, features.strata(_seeds(spark, d)))

@@ -71,3 +71,27 @@ def annotated(cells: DataFrame, spark: SparkSession) -> DataFrame:
     s, i, m, r = (F.col(c) for c in ("session", "item", "model", "run"))
     out = cells.join(F.broadcast(table), "model")  # five rows
     return out.withColumns({"patient": s % 50, "num_trans_tokens": 500 + s * 37 % 1000, "num_reason_tokens": F.when(F.col("reasoning"), (17 * s + 5 * i + 3 * m + 29 * r) % 800).otherwise(0)})
+
+
+def error_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as cells of the error model (session, patient, item, model, run, ground_truth, rating, failure and what is
+    known of session and model): an order is a session, its customer the patient, the supplier's nation the model, that
+    nation's region its architecture. Item 0 is the total of a session's items by model and run."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_custkey").alias("patient"), (500 + F.floor(c("o_totalprice") / 100)).cast("long").alias("num_trans_tokens"))
+    models = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").select(c("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
+    models = models.select(
+        c("n_nationkey").alias("model"), (c("n_nationkey") % 2 == 0).alias("reasoning"), F.concat((c("n_nationkey") * 3 % 70 + 1).cast("string"), F.lit("B")).alias("total_params"),
+        (1000 * (c("n_nationkey") * 7 % 25 + 8)).cast("long").alias("context_length"), F.when(c("n_regionkey") != 4, c("r_name")).otherwise("Unknown").alias("architecture"),
+    )
+    vendors = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("model"))
+    shift = F.round(100 * c("l_tax")).cast("int") % 4 + sum(((x % m == k).cast("int") for x, m, k in ((c("patient"), 3, 0), (c("l_orderkey"), 4, 0), (c("model"), 3, 0), (c("l_linenumber"), 3, 1))), F.lit(-2))
+    truth = F.least(F.lit(6), F.round(100 * c("l_discount")).cast("int"))
+    rating = F.when(c("l_quantity") % 50 != 0, F.least(F.greatest(truth + shift, F.lit(0)), F.lit(CAP)).cast("double"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(vendors, "l_suppkey")
+    keys = [c("l_orderkey").alias("session"), "patient", "num_trans_tokens", c("l_linenumber").cast("int").alias("item"), "model", (c("l_suppkey") % 3).alias("run")]
+    items = lines.groupBy(*keys).agg(F.max(truth).cast("long").alias("ground_truth"), F.max(rating).alias("rating"))
+    totals = items.groupBy("session", "patient", "num_trans_tokens", "model", "run").agg(F.sum("ground_truth").alias("ground_truth"), F.sum("rating").alias("rating")).withColumn("item", F.lit(0))
+    out = items.unionByName(totals).join(F.broadcast(models), "model")  # a row for each nation
+    words = F.when(c("reasoning"), (17 * c("session") + 5 * c("item") + 3 * c("model") + 29 * c("run")) % 800).otherwise(0)
+    return out.withColumns({"failure": c("rating").isNull().cast("int"), "num_reason_tokens": words})
