@@ -431,7 +431,7 @@ def offset_merge(spark, d):
     return own.select("conv_id", "turn", "start", (F.col("start") + n).alias("end"))
 
 
-#: Words at an even pace, every ninth with a dash at its end and every eleventh with white space; rules as in transcripts.segment.
+#: Words at an even pace, every ninth with a dash at its end and every eleventh with white space; the rules are applied word by word.
 _SEGMENTS = """with recursive t as (select conv_id as track, turn, string_split_regex(coalesce(text, ''), '\\s+') as ws from conversations),
 x as (select track, turn, unnest(range(0, len(ws))) as i, ws from t),
 v as (select track, turn * 100000 + i as no, ws[i + 1] || case when (turn * 100000 + i) % 9 = 4 then chr(8212) when (turn * 100000 + i) % 11 = 5 then ',  ' else '' end as word, turn * 600.0 + i * 0.5 + case when i % 7 = 6 then 0.3 else 0.0 end + case when i % 9 = 5 then 0.15 else 0.0 end as start from x where ws[i + 1] <> ''),
@@ -441,13 +441,13 @@ r(track, rn, first, began, reason) as (
   select track, cast(0 as bigint), cast(1 as bigint), min(start), 'begin' from m group by track
   union all
   select m.track, m.rn, case when r.reason in ('', 'begin') then r.first else m.rn end, case when r.reason in ('', 'begin') then r.began else m.start end,
-    case when m.gap is null then 'final' when m.gap >= 2 then 'long pause' when m.mark in ('.', '!', '?') and m.gap > 0.2 then 'sentence'
-    when m.mark in (',', ';', ':', chr(8212), chr(8211)) and m.gap > 0.3 then case when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 2 then 'clause' else '' end
-    when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 30 then 'length'
-    when m.gap > 0.3 and m.asked >= greatest(m.rn - 4, case when r.reason in ('', 'begin') then r.first else m.rn end) then 'question' else '' end
+    case when m.gap is null then 'final' when m.gap >= 2 then 'pause_' || printf('%.2f', m.gap) || 's' when m.mark in ('.', '!', '?') and m.gap > 0.2 then 'sentence_end'
+    when m.mark in (',', ';', ':', chr(8212), chr(8211)) and m.gap > 0.3 then case when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 2 then 'clause_boundary' else '' end
+    when m.fin - (case when r.reason in ('', 'begin') then r.began else m.start end) >= 30 then 'max_duration'
+    when m.gap > 0.3 and m.asked >= greatest(m.rn - 4, case when r.reason in ('', 'begin') then r.first else m.rn end) then 'post_question' else '' end
   from r join m on m.track = r.track and m.rn = r.rn + 1),
 e as (select track, rn, first, began, reason from r where reason not in ('', 'begin'))
-select e.track, row_number() over (partition by e.track order by e.rn) - 1 as no, round(e.began, 3) as start, round(any_value(l.fin), 3) as "end", string_agg(m.word, ' ' order by m.rn) as text, e.reason from e join m on m.track = e.track and m.rn between e.first and e.rn join m l on l.track = e.track and l.rn = e.rn group by e.track, e.rn, e.began, e.reason"""
+select e.track, row_number() over (partition by e.track order by e.rn) - 1 as no, round(e.began, 3) as start, round(any_value(l.fin), 3) as "end", regexp_replace(string_agg(m.word, ' ' order by m.rn), '^\\s+|\\s+$', '', 'g') as text, cast(trunc(e.began / 0.01) as bigint) as start_offset, cast(trunc(any_value(l.fin) / 0.01) as bigint) as end_offset, e.reason from e join m on m.track = e.track and m.rn between e.first and e.rn join m l on l.track = e.track and l.rn = e.rn group by e.track, e.rn, e.began, e.reason"""
 
 
 @query(_SEGMENTS)

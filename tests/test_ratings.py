@@ -92,14 +92,35 @@ def test_ranges_and_chunks(spark):
     assert [tuple(r) for r in got.r] == [(34, 34), (226, 246)] and [tuple(c) for c in got.c] == [(0, 0, 4), (1, 4, 3), (2, 7, 3)]
 
 
-def test_pause_rules():
+def segments(spark, words, **tracks):
+    """Segments by track; offsets count from 0."""
+    rows = [(k, i, *w) for k, own in enumerate([words, *tracks.values()]) for i, w in enumerate(own)]
+    out = transcripts.pause_segments(spark.createDataFrame(rows, "track int, no long, word string, start double, end double")).orderBy("track", "no").collect()
+    return [[r for r in out if r.track == k] for k in range(1 + len(tracks))]
+
+
+def test_pause_rules(spark):
     words = [("a,", 0.0, 0.5), ("b.", 1.0, 1.2), ("c", 1.5, 1.7), ("why?", 1.8, 1.9), ("d", 2.0, 2.1), ("e", 2.5, 2.6), ("f", 5.0, 5.1)]
-    assert [(t, r) for *_, t, r in transcripts.segment(words)] == [("a, b.", "sentence"), ("c why? d", "question"), ("e", "long pause"), ("f", "final")]
     short = [("why?", 0.0, 0.1), ("so,", 0.1, 0.2), ("x", 0.6, 0.7)]  # a clause mark in a short segment ends the search
-    assert [r for *_, r in transcripts.segment(short)] == ["final"]
-    assert transcripts.segment([]) == []
-    dash = [("hello", 0.0, 3.0), ("there\u2014 ", 3.0, 4.0), ("again", 4.5, 5.0)]
-    assert [(t, r) for *_, t, r in transcripts.segment(dash)] == [("hello there\u2014 ", "clause"), ("again", "final")]
+    dash = [("hello", 0.0, 3.0), (" there\u2014 ", 3.0, 4.0), (None, 4.5, 4.6), ("again", 4.7, 5.0)]
+    long = [(f"w{i}", i * 1.0, i + 0.9) for i in range(70)]
+    asked = [("why?", 0.0, 0.1), *((f"w{i}", i * 0.2, i * 0.2 + 0.1) for i in range(1, 5)), ("late", 1.5, 1.6), ("last", 2.2, 2.3)]
+    tie = [("a", 0.0, 1.0), ("b", 3.125, 3.5), ("c", 6.0, 6.1)]
+    got = segments(spark, words, short=short, dash=dash, long=long, asked=asked, tie=tie)
+    assert [(r.no, r.text, r.reason) for r in got[0]] == [(0, "a, b.", "sentence_end"), (1, "c why? d", "post_question"), (2, "e", "pause_2.40s"), (3, "f", "final")]
+    assert [(r.start, r.end, r.start_offset, r.end_offset) for r in got[0]] == [(0.0, 1.2, 0, 120), (1.5, 2.1, 150, 210), (2.5, 2.6, 250, 260), (5.0, 5.1, 500, 509)]
+    assert [r.reason for r in got[1]] == ["final"]
+    assert [(r.text, r.reason) for r in got[2]] == [("hello  there\u2014", "clause_boundary"), ("again", "final")]
+    assert [(r.text.split()[0], r.reason) for r in got[3]] == [("w0", "max_duration"), ("w31", "max_duration"), ("w62", "final")]
+    assert [(r.text, r.reason) for r in got[4]] == [("why? w1 w2 w3 w4", "post_question"), ("late last", "final")]
+    assert [r.reason for r in got[5]] == ["pause_2.12s", "pause_2.50s", "final"]
+    assert transcripts.pause_segments(spark.createDataFrame([], "track int, no long, word string, start double, end double")).collect() == []
+
+
+def test_segments_stay_in_the_jvm(spark):
+    words = spark.createDataFrame([(1, 0, "a", 0.0, 0.1)], "track int, no long, word string, start double, end double")
+    plan = transcripts.pause_segments(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan and "Python" not in plan
 
 
 def test_balanced_one_way_model(spark):
