@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from math import exp, lgamma, log
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import agreement as A
@@ -27,15 +28,18 @@ def cells(raw: DataFrame, cap: int | Column = 6, failure_policy: str = "backfill
     return out.withColumn("rating", F.when(missing, (F.col("ground_truth") - cap).cast("double")).otherwise(F.col("rating"))).filter(F.col("rating") <= cap)
 
 
-def ranked(rated: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts n (and failures) of each pair (y, p) of ground truth and rating per key, with the positions a and b of both
-    among the labels that y and p take together in that key, and low, the key's least y.
-
-    One pass over the ratings, combined before the shuffle; all else is over the small table of counts, and nothing is
-    joined back, so no filter can be inferred into the scan."""
+def counted(rated: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts n, and failures, of each pair (y, p) of ground truth and rating per key, combined before the shuffle. Counts of
+    parts of the ratings add up to those of all."""
     y, p = F.col("ground_truth").cast("double").alias("y"), F.col("rating").cast("double").alias("p")
     failures = F.sum("failure").cast("long") if "failure" in rated.columns else F.lit(0).cast("long")
-    own = rated.groupBy(*keys, y, p).agg(F.count("*").alias("n"), failures.alias("failures"))
+    return rated.groupBy(*keys, y, p).agg(F.count("*").alias("n"), failures.alias("failures"))
+
+
+def ranked(own: DataFrame, keys: list[str]) -> DataFrame:
+    """counted() with the positions a and b of y and p among the labels that both take together in their key, and low, the
+    key's least y. All of it is over the small table of counts, and nothing is joined back, so no filter can be inferred
+    into the scan."""
     sides = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col("y").alias("v")), F.struct(F.lit(False).alias("truth"), F.col("p").alias("v"))))
     both = own.withColumn("side", sides)
     by = Window.partitionBy(*keys)
@@ -53,16 +57,21 @@ def _kappa() -> Column:
 
 def qwk(rated: DataFrame, keys: list[str]) -> DataFrame:
     """Quadratic weighted kappa per key, on the positions of the labels that y and p take together in that key."""
-    return ranked(rated, keys).groupBy(*keys).agg(_kappa().alias("qwk"))
+    return ranked(counted(rated, keys), keys).groupBy(*keys).agg(_kappa().alias("qwk"))
 
 
 def metrics(rated: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """n, failures, mae, r2 and qwk per key, all from one table of counts of pairs."""
+    return of_counts(counted(rated, keys), keys)
+
+
+def of_counts(counts: DataFrame, keys: list[str] = CELL) -> DataFrame:
+    """metrics() of counted() ratings."""
     y, p, n = F.col("y") - F.col("low"), F.col("p") - F.col("low"), F.col("n")
     total, sse = F.sum("n"), F.sum(n * (y - p) * (y - p))
     sst = F.sum(n * y * y) - F.sum(n * y) * F.sum(n * y) / total
     r2 = F.when(total < 2, None).when(sst <= 1e-12, F.when(sse <= 1e-12, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
-    return ranked(rated, keys).groupBy(*keys).agg(total.alias("n"), F.sum("failures").alias("failures"), (F.sum(n * F.abs(y - p)) / total).alias("mae"), r2.alias("r2"), _kappa().alias("qwk"))
+    return ranked(counts, keys).groupBy(*keys).agg(total.alias("n"), F.sum("failures").alias("failures"), (F.sum(n * F.abs(y - p)) / total).alias("mae"), r2.alias("r2"), _kappa().alias("qwk"))
 
 
 def gated(measured: DataFrame, expected: DataFrame, spare: int = 10) -> DataFrame:
@@ -73,15 +82,40 @@ def gated(measured: DataFrame, expected: DataFrame, spare: int = 10) -> DataFram
     return out.withColumns({c: F.when(F.col("status") == "scored", F.col(c)) for c in ("mae", "r2", "qwk")}).drop("expected")
 
 
-def over_runs(scored: DataFrame, keys: list[str], values: list[str], **more: Column) -> DataFrame:
-    """Mean and population deviation of each value over runs, and other aggregates by name."""
-    parts = [f(F.col(v)).alias(f"{name}_{v}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+def over_runs(scored: DataFrame, keys: list[str], values: list[str], missing_propagates: bool = False, **more: Column) -> DataFrame:
+    """Mean and population deviation of each value over runs, and other aggregates by name. Missing values are left out, or,
+    with missing_propagates, make both null, but the deviation of one run, which is 0 whatever its value."""
+    parts = []
+    for v in values:
+        c = F.nanvl(v, F.lit(None)) if dict(scored.dtypes)[v] in ("double", "float") else F.col(v)
+        whole = F.count(c) == F.count("*")
+        mean, std = F.avg(c), F.stddev_pop(c)
+        if missing_propagates:
+            mean, std = F.when(whole, mean), F.when(F.count("*") == 1, 0.0).when(whole, std)
+        parts += [mean.alias(f"mean_{v}"), std.alias(f"std_{v}")]
     return scored.groupBy(*keys).agg(F.count("*").alias("n_runs"), *parts, *(c.alias(n) for n, c in more.items()))
 
 
+def add_batch(rated: DataFrame, path: str, batch: str, keys: list[str] = CELL) -> None:
+    """Add the ratings of a batch to the state of agreement at path: their counts, as a part of the batch's name, which takes
+    the place of that part if it is there. So a batch that comes twice, such as one repeated after a failure, counts once,
+    and what earlier batches hold is neither read nor written again. A cell should come in one batch alone."""
+    counted(rated, keys).write.mode("overwrite").parquet(f"{path}/batch={quote(batch, safe='')}")
+
+
+def state(spark: SparkSession, path: str, keys: list[str] = CELL) -> DataFrame:
+    """The counts of all batches at path, added up."""
+    return spark.read.parquet(path).groupBy(*keys, "y", "p").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures"))
+
+
+def merge_batches(spark: SparkSession, path: str, to: str, keys: list[str] = CELL) -> None:
+    """Write the sum of all batches at path as the one batch of a new state."""
+    state(spark, path, keys).write.mode("overwrite").parquet(f"{to}/batch=merged")
+
+
 def macro(scored: DataFrame) -> DataFrame:
-    """Per model and run: the mean of each metric over the scored items, and all failures."""
-    return scored.groupBy("model", "run").agg(*(F.avg(c).alias(c) for c in ("mae", "r2", "qwk")), F.sum("failures").alias("failures"))
+    """Per model and run: the mean of each metric over the scored items that have one, and all failures."""
+    return scored.groupBy("model", "run").agg(*(F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in ("mae", "r2", "qwk")), F.sum("failures").alias("failures"))
 
 
 def item_sums(rated: DataFrame, items: int = 10) -> DataFrame:
@@ -127,10 +161,16 @@ def mean_icc(per_item: DataFrame) -> DataFrame:
     return per_item.groupBy("model").agg(F.avg("mean_icc").alias("mean"), F.stddev_pop("mean_icc").alias("std"), F.count("mean_icc").alias("n_items"))
 
 
-def overall(scored: DataFrame, value: str, item: str = "item") -> DataFrame:
-    """Per model: the stored overall value (item 0), or the mean of the items that have one where it is not there."""
-    stored = F.max(F.when(F.col(item) == 0, F.col(value)))
-    return scored.groupBy("model").agg(F.coalesce(stored, F.avg(F.when(F.col(item) > 0, F.nanvl(value, F.lit(None))))).alias(value), stored.isNull().alias("fallback"))
+def overall(scored: DataFrame, value: str, item: str = "item", std: str | None = None) -> DataFrame:
+    """Per model: the stored overall value (item 0), or the mean of the items that have one where it is missing; with std, the
+    deviation likewise, whether or not its value is stored. fallback: whether the mean of values stands in."""
+
+    def of(c: str):
+        known = F.nanvl(c, F.lit(None))
+        return F.coalesce(F.max(F.when(F.col(item) == 0, known)), F.avg(F.when(F.col(item) > 0, known)))
+
+    fallback = F.max(F.when(F.col(item) == 0, F.nanvl(value, F.lit(None)))).isNull()
+    return scored.groupBy("model").agg(of(value).alias(value), *([of(std).alias(std)] if std else []), fallback.alias("fallback"))
 
 
 def evaluated(rated: DataFrame, items: tuple[int, int] = (1, 10)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratersight.sources.stages import SMALL_ROWS, kept
+from ratersight.sources.stages import SMALL_ROWS, kept, small
 
 #: Rows of one group that may meet in one task of a join.
 SALT_ROWS = 1_000_000
@@ -37,16 +37,19 @@ def lookup(df: DataFrame, dimension: DataFrame, keys: list[str], defaults: dict[
 
 
 def ranked_rows(df: DataFrame, key: str) -> DataFrame:
-    """df with place, the row's number from 1 by an integer key that no two rows share, and total, the number of rows.
+    """df with place, the row's number from 1 in the order of a key that no two rows share, and total, the number of rows.
 
-    Rows are numbered inside blocks of keys; the blocks' counts, a small table, are added up. No task gets all rows."""
-    size = 1 << 12
-    own = df.withColumn("block", F.floor(F.col(key) / size))
-    counts = own.groupBy("block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    within = F.row_number().over(Window.partitionBy("block").orderBy(key))
-    return own.withColumn("place", within).join(counts, "block").withColumn("place", F.col("place") + F.col("before")).drop("block", "before")
+    Rows are dealt to ranges of keys, whatever the gaps between them, sorted there and written with their number inside the
+    range; what is counted over all ranges is one row for each range. No task gets all rows."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at, of = _free(df, "at"), _free(df, "of")
+    dealt = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id())
+    own = kept(dealt.withColumns({of: F.shiftright(at, 33), at: F.col(at).bitwiseAND((1 << 33) - 1)}), "ranked")
+    counts = own.groupBy(of).agg(F.count("*").alias("n"))  # a row for each range
+    before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    return own.join(F.broadcast(counts), of).withColumn("place", F.col(at) + F.col("before") + 1).drop(at, of, "before")
 
 
 def shard(order: str, shards: int, total: Column) -> Column:
@@ -70,6 +73,79 @@ def ranges(text: Column) -> Column:
     return F.filter(both, lambda r: r["lo"].isNotNull() & r["hi"].isNotNull())
 
 
+#: Lines of one bin of a join by ranges.
+BIN = 64
+
+
+def in_ranges(lines: DataFrame, specs: DataFrame, session: str = "session", line: str = "line", item: str = "item") -> DataFrame:
+    """lines (session, line, ...) with the item of each range of specs (session, item, spec) that they lie in, once for each
+    range of an item. spec is a text as ranges() reads it.
+
+    Ranges and lines meet in bins of BIN lines: an equality join, in which a range stands for each bin it touches, up to its
+    session's last line. A long session's bins are different keys, so no task has all of it."""
+    last = lines.groupBy(session).agg(F.max(line).alias("last"))
+    spans = specs.select(session, item, F.inline(ranges(F.col("spec")))).join(last, session)
+    spans = spans.withColumn("hi", F.least("hi", "last")).filter("lo <= hi")
+    spans = spans.select(session, item, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))).alias("bin"))
+    return lines.withColumn("bin", F.floor(F.col(line) / BIN)).join(spans, [session, "bin"]).filter(F.col(line).between(F.col("lo"), F.col("hi"))).drop("bin", "lo", "hi")
+
+
+#: Bins of one step of a selection, and rows of a group whose values may be gathered.
+STEP_BINS, GATHERED = 1024, 10_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys, n and exact interpolated quantiles `at` (name: share) of a value; nulls and NaN are left out.
+
+    Groups of GATHERED rows or fewer hold their values while they are summed up. Of larger ones the ranks are selected: a
+    histogram between the least and the greatest value tells each rank's bin, whose own least and greatest value bound the
+    next one, until a bin has one value or few rows. Each step is a grouped sum of counts, whatever the number of rows, and
+    reads only what lies in the bins that are left; no task has a group's values."""
+    names = keys or ["whole"]
+    own = df if keys else df.withColumn("whole", F.lit(0))
+    own = own.select(*names, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    own = kept(own, "values")
+    base = kept(own.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
+    few, many = base.filter(F.col("n") <= GATHERED), base.filter(F.col("n") > GATHERED)
+    if keys:
+        gathered = own.join(small(few.select(*names)), names, "left_semi")
+    else:
+        gathered = own.filter(F.lit(few.count() > 0))
+    done = gathered.groupBy(*names).agg(F.count("*").alias("n"), *(F.percentile("v", F.lit(p)).alias(name) for name, p in at.items()))
+    if not many.isEmpty():
+        place = {name: (F.col("n") - 1) * p for name, p in at.items()}
+        ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(h), F.ceil(h)) for h in place.values()))))
+        state = kept(many.select(*names, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "lo", "hi"), "ranks")
+        value_of = _selected(own, state, names).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("x"))  # two for each quantile
+        both = many.join(value_of, names)
+        blend = lambda h: (F.ceil(h) - h) * F.col("x")[F.floor(h)] + (h - F.floor(h)) * F.col("x")[F.ceil(h)]
+        done = done.unionByName(both.select(*names, "n", *(F.when(F.floor(h) == F.ceil(h), F.col("x")[F.floor(h)]).otherwise(blend(h)).alias(name) for name, h in place.items())))
+    return done if keys else done.drop("whole")
+
+
+def _selected(own: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
+    """(names, rank, x): the values of the ranks of state (names, rank, below, inside, lo, hi) among own (names, v): `inside`
+    values lie from lo to hi, `below` before them."""
+    closed = None
+    while True:
+        wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > GATHERED)
+        closed = state.filter(~wide) if closed is None else closed.union(state.filter(~wide))
+        state = state.filter(wide)
+        if state.isEmpty():
+            break
+        # halves, so that the width of any range is finite
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bin = F.least(F.floor(share * STEP_BINS), F.lit(STEP_BINS - 1))
+        rows = own.join(small(state), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below", bin.alias("bin")).agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("inside").over(Window.partitionBy(*names, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("below", F.col("below") + upto - F.col("inside")).filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside")))
+        state = kept(rows.select(*names, "rank", "below", "inside", "lo", "hi"), "ranks")
+    closed = kept(closed, "ranks")
+    left = own.join(small(closed.filter("lo < hi")), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    left = left.select(*names, "rank", F.get("vs", (F.col("rank") - F.col("below")).cast("int")).alias("x"))
+    return closed.filter("lo = hi").select(*names, "rank", F.col("lo").alias("x")).union(left)
+
+
 def flags(df: DataFrame, keys: list[str], value: str, slack: float = 1e-6) -> DataFrame:
     """best and worst: whether a value is within slack of its group's least or greatest."""
     w = Window.partitionBy(*keys)
@@ -77,7 +153,8 @@ def flags(df: DataFrame, keys: list[str], value: str, slack: float = 1e-6) -> Da
 
 
 def box(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Box statistics: n, median, mean, population deviation, extremes, quartiles and 5 and 95 % whiskers."""
+    """Box statistics: n, median, mean, population deviation, extremes, quartiles and 5 and 95 % whiskers. The groups are
+    those of a report; quantiles() is for groups of any size."""
     q = lambda p, name: F.percentile(value, F.lit(p)).alias(name)
     return df.groupBy(*keys).agg(F.count(value).alias("n"), q(0.5, "median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), q(0.25, "q1"), q(0.75, "q3"), q(0.05, "p5"), q(0.95, "p95"))
 
@@ -175,9 +252,14 @@ def in_order(df: DataFrame, column: str, order: list) -> DataFrame:
 
 
 def pauses(df: DataFrame, keys: list[str], gap: str, long: float = 0.5) -> DataFrame:
-    """Of gaps over 0: count, mean, deviation, quantiles, and the gaps over `long` in falling order with their number."""
-    q = lambda p: F.percentile(gap, F.lit(p)).alias(f"p{round(100 * p)}")
-    over = F.col(gap) > long
-    aggregates = (F.count("*").alias("n"), F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("std"), *map(q, (0.25, 0.5, 0.75, 0.9, 0.95)), F.count_if(over).alias("n_long"), F.sort_array(F.collect_list(F.when(over, F.col(gap))), asc=False).alias("long"))
-    own = df.filter(F.col(gap) > 0)
-    return own.groupBy(*keys).agg(*aggregates)
+    """Of gaps over 0: count, mean, deviation, quantiles, and how many are over `long`; see long_pauses() for these."""
+    own = kept(df.filter(F.col(gap) > 0).select(*keys, gap), "gaps")
+    sums = own.groupBy(*keys).agg(F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("std"), F.count_if(F.col(gap) > long).alias("n_long"))
+    at = quantiles(own, keys, gap, {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95)})
+    return at.join(sums, keys) if keys else at.join(F.broadcast(sums))  # one row each
+
+
+def long_pauses(df: DataFrame, keys: list[str], gap: str, long: float = 0.5) -> DataFrame:
+    """The gaps over `long`, a row each, with their place from the longest within their keys."""
+    own = df.filter(F.col(gap) > long).select(*keys, gap)
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(gap))))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
 from ratersight.operators import dimensions, features, ratings, tables, transcripts
 from ratersight.plans.roster import PANEL, SCORED, _cells, _r, _scored, query, rounded
-from ratersight.sources import panels
+from ratersight.sources import panels, stages
 from ratersight.sources.panels import table
 from ratersight.sources.stages import kept
 
@@ -59,13 +61,18 @@ def display_keys(spark, d):
     return tables.renamed(p.select("p_partkey", "p_name"), "p_name", names, "p_name", "id", "key").select("p_partkey", "key")
 
 
-@query(f"""with {MODELS} select model, case when variant = 'no_desc' then 'No Desc' when variant = 'no_dem' then 'No Dem' when variant = 'raw' then 'Raw' else 'Full' end as variant,
-case when total_params = active_params then total_params else total_params || '(' || active_params || ')' end as size, case upper(arch) when 'MOE' then 'MoE' when 'DENSE' then 'Dense' else '---' end as arch,
+_PARTS = """m as (select p_partkey as model, ['Qwen ', 'Llama ', 'Gemma ', 'GPT ', ''][p_size % 5 + 1] || p_name || ' ' || p_brand || ' (' || p_size || 'B)' as name, ['full', 'no_desc', 'no_dem', 'raw'][p_partkey % 4 + 1] as variant, p_partkey % 2 = 0 as reasoning,
+p_size as total, case when p_size % 3 = 0 then p_size // 3 else p_size end as active, cast(round(p_retailprice * 100) as bigint) as context_length, case when p_type <> 'ECONOMY' then ['moe', 'dense', 'Dense', 'MoE'][p_size % 4 + 1] end as arch from part)"""
+
+
+@query(f"""with {_PARTS} select model, case variant when 'no_desc' then 'No Desc' when 'no_dem' then 'No Dem' when 'raw' then 'Raw' else 'Full' end as variant,
+case when total = active then total || 'B' else total || 'B(' || active || 'B)' end as size, case upper(arch) when 'MOE' then 'MoE' when 'DENSE' then 'Dense' else '---' end as arch,
 case when contains(name, 'Qwen') then 'Qwen' when contains(name, 'Llama') then 'Llama' when contains(name, 'Gemma') then 'Gemma' when contains(name, 'GPT') then 'GPT' else 'Other' end as family,
-round(log10(cast(replace(total_params, 'B', '') as double) * 1e9), 6) as log_params, case when length(trim(split_part(name, '(', 1))) > 22 then substr(trim(split_part(name, '(', 1)), 1, 19) || '...' else trim(split_part(name, '(', 1)) end as short, reasons = 'Yes' as reasoning from models""")
+round(log10(total * 1e9), 6) as log_params, case when length(trim(split_part(name, '(', 1))) > 22 then substr(trim(split_part(name, '(', 1)), 1, 19) || '...' else trim(split_part(name, '(', 1)) end as short,
+case when context_length >= 1000000 then context_length // 1000000 || 'm' else context_length // 1000 || 'k' end as context, reasoning from m""")
 def model_attributes(spark, d):
     c = F.col
-    return panels.models(spark).select("model", X.shown_variant(c("variant")).alias("variant"), X.size_label(c("total_params"), c("active_params")).alias("size"), X.architecture(c("arch")).alias("arch"), X.family(c("name")).alias("family"), X.log_params(c("total_params")).alias("log_params"), X.short_name(c("name"), 22, 19).alias("short"), (c("reasons") == "Yes").alias("reasoning"))
+    return panels.part_models(spark, d).select("model", X.shown_variant(c("variant")).alias("variant"), X.size_label(c("total_params"), c("active_params")).alias("size"), X.architecture(c("arch")).alias("arch"), X.family(c("name")).alias("family"), X.log_params(c("total_params")).alias("log_params"), X.short_name(c("name"), 22, 19).alias("short"), X.context(c("context_length")).alias("context"), (c("reasons") == "Yes").alias("reasoning"))
 
 
 @query("""select conv_id, turn, cast(case when turn % 4 in (0, 1) then turn % 7 end as double) as free, cast(case when turn % 4 in (2, 3) and turn % 5 <> 0 then cast('1' || (turn % 7) as int) end as double) as digits, case when turn % 4 in (2, 3) and turn % 5 <> 0 then false else true end as pending from conversations""")
@@ -189,12 +196,20 @@ def frame_counts(spark, d):
 _PAUSES = "g as (select user_id, datediff('microsecond', ts, lead(ts) over (partition by user_id order by ts, event_id)) / 1e6 as gap from events)"
 
 
-@query(f"with {_PAUSES} select user_id, count(*) as n, round(avg(gap), 3) + 0.0 as mean, round(stddev_pop(gap), 3) + 0.0 as std, {', '.join(f'round(quantile_cont(gap, {p / 100}), 3) + 0.0 as p{p}' for p in (25, 50, 75, 90, 95))}, count(*) filter (where gap > 20000) as n_long, coalesce(string_agg(cast(cast(round(gap * 1000) as bigint) as varchar), ',' order by gap desc) filter (where gap > 20000), '') as long from g where gap > 0 group by user_id")
+@query(f"with {_PAUSES} select user_id, count(*) as n, round(avg(gap), 3) + 0.0 as mean, round(stddev_pop(gap), 3) + 0.0 as std, {', '.join(f'round(quantile_cont(gap, {p / 100}), 3) + 0.0 as p{p}' for p in (25, 50, 75, 90, 95))}, count(*) filter (where gap > 20000) as n_long from g where gap > 0 group by user_id")
 def pause_stats(spark, d):
+    return rounded(tables.pauses(_gaps(spark, d), ["user_id"], "gap", 20000.0), 3)
+
+
+@query(f"with {_PAUSES} select user_id, round(gap, 3) + 0.0 as gap, row_number() over (partition by user_id order by gap desc) as place from g where gap > 20000")
+def long_pauses(spark, d):
+    own = rounded(tables.long_pauses(_gaps(spark, d), ["user_id"], "gap", 20000.0), 3)
+    return own.withColumn("place", F.col("place").cast("long"))
+
+
+def _gaps(spark, d):
     after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gaps = table(spark, d, "events").select("user_id", (F.timestamp_diff("MICROSECOND", F.col("ts"), after) / 1e6).alias("gap"))
-    out = rounded(tables.pauses(gaps, ["user_id"], "gap", 20000.0), 3)
-    return out.withColumn("long", F.array_join(F.transform("long", lambda x: F.round(x * 1000).cast("long").cast("string")), ","))
+    return table(spark, d, "events").select("user_id", (F.timestamp_diff("MICROSECOND", F.col("ts"), after) / 1e6).alias("gap"))
 
 
 @query("""with c as (select conv_id as track, turn, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '') as words from conversations),
@@ -282,3 +297,48 @@ def lme_item_blups(spark, d):
 def lme_fit_report(spark, d):
     """Formula, variances, convergence, gradient and singularity of each stratum's fit."""
     return features.reports(spark, features.strata(_seeds(spark, d)))
+
+
+def _batches(spark, d):
+    """The panel's cells in three batches, the first of which comes twice; returns the state's folder."""
+    path = f"{stages.folder(spark)}/ratersight-agreement-{uuid.uuid4().hex}"
+    cells = kept(_cells(spark, d), "cells")
+    for batch in (0, 1, 2, 0):
+        ratings.add_batch(cells.filter(F.col("session") % 3 == batch), path, f"batch {batch}")
+    return path
+
+
+@query(f"with {SCORED} select model, run, item, n, failures, status, {', '.join(f'round(case when status = {chr(39)}scored{chr(39)} then {c} end, 6) + 0.0 as {c}' for c in ('mae', 'r2', 'qwk'))} from gates")
+def item_metrics_by_batches(spark, d):
+    """item_metrics_by_run from a state to which batches of sessions were added."""
+    expected = table(spark, d, "customer").agg(F.count("*").alias("expected"))
+    return ratings.gated(ratings.of_counts(ratings.state(spark, _batches(spark, d))), expected)
+
+
+_OF_ITEM = ", ".join(f"round(case when count({v}) = count(*) then avg({v}) end, 6) + 0.0 as mean_{v}, round(case when count(*) = 1 then 0.0 when count({v}) = count(*) then stddev_pop({v}) end, 6) + 0.0 as std_{v}" for v in ("mae", "qwk"))
+
+
+@query(f"with {SCORED}, per as (select model, item, mae, case when item = 4 and run = 1 or model = 1 and item = 7 then null else qwk end as qwk from scored where not (model = 1 and item = 7 and run > 0)) select model, item, count(*) as n_runs, {_OF_ITEM} from per group by all")
+def item_means_with_missing(spark, d):
+    """Means and deviations over runs that are null where a run's value is missing; one run has a deviation of 0."""
+    own = _scored(spark, d).filter("not (model = 1 and item = 7 and run > 0)")
+    own = own.withColumn("qwk", F.when(~((F.col("item") == 4) & (F.col("run") == 1) | (F.col("model") == 1) & (F.col("item") == 7)), F.col("qwk")))
+    return ratings.over_runs(own, ["model", "item"], ["mae", "qwk"], missing_propagates=True)
+
+
+@query(f"""with {SCORED}, over as (select model, item, avg(qwk) as q, stddev_pop(qwk) as s from scored group by all),
+t as (select model, 0 as item, avg(q) + 1 as q, case when model <> 2 then max(s) end as s from over where model % 2 = 0 group by model), a as (select * from over union all select * from t),
+g as (select model, max(case when item = 0 then q end) as q0, max(case when item = 0 then s end) as s0, avg(q) filter (where item > 0) as q, avg(s) filter (where item > 0) as s from a group by model)
+select model, round(coalesce(q0, q), 6) + 0.0 as qwk, round(coalesce(s0, s), 6) + 0.0 as std, q0 is null as fallback from g""")
+def overall_with_deviation(spark, d):
+    """The overall QWK and its deviation, each stored for some models, and the mean of the items' for the others."""
+    over = _scored(spark, d).groupBy("model", "item").agg(F.avg("qwk").alias("qwk"), F.stddev_pop("qwk").alias("std"))
+    stored = over.filter("model % 2 = 0").groupBy("model").agg((F.avg("qwk") + 1).alias("qwk"), F.max("std").alias("std")).withColumn("item", F.lit(0))
+    stored = stored.withColumn("std", F.when(F.col("model") != 2, F.col("std")))
+    return ratings.overall(over.unionByName(stored), "qwk", std="std")
+
+
+@query("select conv_id, turn, 'WEBVTT' || chr(10) || chr(10) || '00:00:00.000 --> 99:59:59.999' || chr(10) || coalesce(text, '') || chr(10) as vtt from conversations")
+def whole_text_cues(spark, d):
+    """Transcripts without segments as one cue over all."""
+    return table(spark, d, "conversations").select("conv_id", "turn", transcripts.whole_vtt(F.col("text")).alias("vtt"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import agreement as A
@@ -254,10 +254,14 @@ def visit_number(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", tables.visit_number("o_custkey", "o_orderdate").alias("visit_no"))
 
 
-@query("with t as (select c_custkey, row_number() over (order by c_custkey) as place, count(*) over () as total from customer where c_custkey % 5 <> 1) select c_custkey, cast(case when total // 7 = 0 then 6 else least((place - 1) // greatest(total // 7, 1), 6) end as int) as shard from t")
+#: Keys with wide gaps, in another order than the customers' own.
+_SPARSE = "c_custkey * 2654435761 % 4294967296 * 2147483648"
+
+
+@query(f"with t as (select c_custkey, row_number() over (order by {_SPARSE}) as place, count(*) over () as total from customer) select c_custkey, cast(case when total // 7 = 0 then 6 else least((place - 1) // greatest(total // 7, 1), 6) end as int) as shard from t")
 def shard_assignment(spark, d):
-    own = tables.ranked_rows(table(spark, d, "customer").select("c_custkey").filter("c_custkey % 5 <> 1"), "c_custkey")
-    return own.select("c_custkey", tables.shard("place", 7, F.col("total")).alias("shard"))
+    own = table(spark, d, "customer").select("c_custkey", F.expr(_SPARSE.replace("c_custkey", "cast(c_custkey as bigint)")).alias("key"))
+    return tables.ranked_rows(own, "key").select("c_custkey", tables.shard("place", 7, F.col("total")).alias("shard"))
 
 
 @query(f"with {SCORED}, m as (select model, item, avg(mae) as mae from scored group by all), k as (select *, row_number() over (partition by item order by round(mae, 9), model) as place from m) select item, place, model, {_r('mae')} from k where place <= 3")
@@ -384,11 +388,15 @@ def vtt_render(spark, d):
     return transcripts.vtt(c, "conv_id", "turn", "start", "end", "text")
 
 
-@query("""select conv_id, item, turn from conversations join (values (1, 0, 0), (1, 2, 4), (2, 3, 3), (3, 1, 6)) r(item, lo, hi) on turn between lo and hi""")
+@query("""with s as (select distinct conv_id, conv_id % 3 as k from conversations),
+r as (select conv_id, 1 as item, k as lo, k as hi from s union all select conv_id, 1, k + 2, k + 4 from s union all select conv_id, 2, 3, 3 from s union all select conv_id, 3, 1 + conv_id % 2, 600 from s)
+select c.conv_id, item, turn from conversations c join r on c.conv_id = r.conv_id and turn between lo and hi""")
 def line_range_segments(spark, d):
-    spec = spark.createDataFrame([(1, "0, 2-4"), (2, "3, x"), (3, "1-6")], "item int, spec string")
-    own = spec.select("item", F.inline(tables.ranges(F.col("spec"))))
-    return table(spark, d, "conversations").join(F.broadcast(own), F.col("turn").between(F.col("lo"), F.col("hi"))).select("conv_id", "item", "turn")
+    own, k = table(spark, d, "conversations"), (F.col("conv_id") % 3).cast("int")
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    spec = lambda i, *parts: F.struct(F.lit(i).alias("item"), text(*parts).alias("spec"))
+    specs = own.select("conv_id").distinct().select("conv_id", F.inline(F.array(spec(1, k, ", ", k + 2, "-", k + 4), spec(2, "3, x"), spec(3, F.col("conv_id") % 2 + 1, "-600"))))
+    return tables.in_ranges(own.select("conv_id", "turn"), specs, "conv_id", "turn").select("conv_id", "item", "turn")
 
 
 @query("select conv_id, turn, cast(unnest(case when turn % 3 = 0 then [-1] when turn % 3 = 1 then [3] else [2, 4] end) as int) as item from conversations")
@@ -404,8 +412,7 @@ _GAPS = "g as (select user_id, datediff('microsecond', ts, lead(ts) over (partit
 def event_gap_stats(spark, d):
     after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     gaps = table(spark, d, "events").select((F.timestamp_diff("MICROSECOND", F.col("ts"), after) / 1e6).alias("gap")).filter("gap > 0")
-    q = lambda p: F.percentile("gap", F.lit(p))
-    return rounded(gaps.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), F.stddev_pop("gap").alias("std")), 3)
+    return rounded(tables.pauses(gaps, [], "gap").select("n", "mean", F.col("p50").alias("median"), "p90", "std"), 3)
 
 
 @query("""with e as (select user_id, event_id, ts, coalesce(cast(datediff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) >= 36000000000 as int), 0) as new from events)

@@ -105,3 +105,8 @@ def blups(spark: SparkSession, path: str) -> DataFrame:
 def bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of a bundle that sinks.write_bundle() left, by name."""
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that sinks.write_snapshot() left."""
+    return bundle(spark, path, ["seeds", "effects", "items", "reports"])

@@ -54,6 +54,21 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MODEL_TABLE), MODEL_SCHEMA)
 
 
+def part_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of models (MODEL_SCHEMA) of the parts: sizes are parameters, types and brands make names, variants and
+    architectures; some have no architecture."""
+    c, size = F.col, F.col("p_size")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    maker = pick(["Qwen ", "Llama ", "Gemma ", "GPT ", ""], size % 5)
+    billions = lambda n: F.concat(n.cast("string"), F.lit("B"))
+    return table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("model"), F.concat(maker, F.col("p_name"), F.lit(" "), c("p_brand"), F.lit(" ("), billions(size), F.lit(")")).alias("name"),
+        pick(["full", "no_desc", "no_dem", "raw"], c("p_partkey") % 4).alias("variant"), F.when(c("p_partkey") % 2 == 0, "Yes").otherwise("No").alias("reasons"),
+        billions(size).alias("total_params"), billions(F.when(size % 3 == 0, (size / 3).cast("int")).otherwise(size)).alias("active_params"),
+        F.round(c("p_retailprice") * 100).cast("long").alias("context_length"), pick(["moe", "dense", "Dense", "MoE"], size % 4).alias("made"), c("p_type"),
+    ).withColumn("arch", F.when(F.col("p_type") != "ECONOMY", F.col("made"))).drop("made", "p_type")
+
+
 def total_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The direct totals (item 0) beside panel(): ground truth is the sum of the items, the cap is 60."""
     s, m, r = (F.col(c) for c in ("session", "model", "run"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
+from ratersight.operators import features
 
 #: Reports are made on the driver, of tables of models or terms; larger ones are refused rather than cut.
 REPORT_ROWS = 10_000
@@ -18,9 +19,13 @@ def write_predictions(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_sheets(df: DataFrame, path: str, item: str = "item", name: str = "item_name", order: tuple[str, ...] = ("model", "session")) -> None:
-    """One folder of CSV a sheet, named by its item; rows are sorted within their files. A hot item may take several files."""
+    """One folder of CSV a sheet, named by its item; a sheet's files, read in the order of their names, are sorted by `order`.
+
+    Rows are dealt to ranges of (sheet, order), so a hot item takes several tasks and files, and a small one shares a task."""
     own = df.withColumn("sheet", X.sheet_name(F.col(item), F.col(name)))
-    own.sortWithinPartitions("sheet", *order).write.mode("overwrite").partitionBy("sheet").csv(path, header=True)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.repartitionByRange(parts, "sheet", *order).sortWithinPartitions("sheet", *order)
+    dealt.write.mode("overwrite").partitionBy("sheet").csv(path, header=True)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
@@ -34,6 +39,13 @@ def write_bundle(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame
     return {name: stage(df, f"{path}/{name}") for name, df in tables.items()}
 
 
+def write_snapshot(seeds: DataFrame, fits: dict, path: str) -> dict[str, DataFrame]:
+    """A snapshot of an error analysis: its seeds, and the fixed effects, item effects and reports of its fits, each a table
+    of a bundle. files.snapshot() reads it back."""
+    spark = seeds.sparkSession
+    return write_bundle({"seeds": seeds, "effects": features.effects(spark, fits), "items": features.item_effects(spark, fits), "reports": features.reports(spark, fits)}, path)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A small table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
