@@ -26,13 +26,13 @@ ANCHORS = (
 @dataclass(frozen=True)
 class Settings:
     """chain: content words after an anchor that form a signature with it. gap: a content word that has no anchor among so
-    many words before it, in its text, is taken as an anchor too, so that lists and tables have signatures. least: sets in
-    other than the same or neighbouring classes of length, which differ by more than this factor, aren't compared: their
-    likeness is below it, and given as 0."""
+    many words before it, in its text, is taken as an anchor too, so that lists and tables have signatures. step: sets are
+    partitioned by length into classes, each up to so many times as long as the one before; sets of the same or of
+    neighbouring classes are merged, and of others the shorter one's members are looked up in the longer one."""
 
     chain: int = 2
     gap: int = 8
-    least: float = 0.1
+    step: float = 10.0
 
 
 #: ASCII punctuation counts as white space.
@@ -84,26 +84,26 @@ def signatures(texts: list[str], settings: Settings = Settings()) -> Iterator[np
             yield np.unique(mine)
 
 
-def length_class(n: int, least: float) -> int:
-    """The class of a set's length; alike sets are in the same class or in neighbouring ones."""
-    return int(np.floor(np.log(n) / -np.log(least) + 1e-9)) if least else 0
+def length_class(n: int, step: float) -> int:
+    """The class of a set's length: sets whose lengths differ by a factor of step at most are in the same or next one."""
+    return int(np.floor(np.log(n) / np.log(step) + 1e-9))
 
 
-def likeness(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0, without a look at the members, if they are not in neighbouring classes of
-    length, or if their sizes or the ranges of their members allow less than least. Two empty sets are equal (1), an empty
-    one and another are not alike (0)."""
+def likeness(x: np.ndarray, y: np.ndarray, step: float = 10.0) -> float:
+    """Jaccard similarity of two sorted sets, exactly. Members outside the other set's range have no partner and are left out;
+    where nothing is in both ranges it is 0 without a look at the members. Two empty sets are equal (1), an empty one and
+    another are not alike (0)."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    if abs(length_class(len(x), least) - length_class(len(y), least)) > 1 or min(len(x), len(y)) < least * max(len(x), len(y)):
-        return 0.0
-    # members outside the other set's range have no partner
     lo, hi = max(x[0], y[0]), min(x[-1], y[-1])
     a, b = (z[np.searchsorted(z, lo) : np.searchsorted(z, hi, "right")] for z in (x, y))
-    most = min(len(a), len(b))
-    if most < least * (len(x) + len(y) - most):
+    if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if abs(length_class(len(a), step) - length_class(len(b), step)) > 1:
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    else:
+        both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
@@ -120,7 +120,7 @@ def _compare(settings: Settings) -> Callable[[Iterable[pa.RecordBatch]], Iterato
         edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:])]
         own = list(signatures(texts, settings))
         new = list(signatures(edited, settings))
-        rows = [(held[i][2], len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest(), _text_of(own[i]), _text_of(new[i]), likeness(own[i], new[i], settings.least), likeness(own[i], own[i + 1], settings.least)) for i in range(len(edited)) if not held[i][1] and held[i][0] == held[i + 1][0]]
+        rows = [(held[i][2], len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest(), _text_of(own[i]), _text_of(new[i]), likeness(own[i], new[i], settings.step), likeness(own[i], own[i + 1], settings.step)) for i in range(len(edited)) if not held[i][1] and held[i][0] == held[i + 1][0]]
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
@@ -147,7 +147,7 @@ def neighbours(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Documents are in ascending doc_id order, null ids first, rows of one doc_id by text; the last is followed by the
     first, and a single one by itself. Null texts count as empty. The order is cut into buckets at approximate quantiles
     of doc_id; a copy of the next bucket's first row ends each bucket, so every text is shuffled once. An empty table
-    gives an empty result. Likenesses are pruned as Settings.least tells."""
+    gives an empty result. Likenesses are exact."""
     spark = docs.sparkSession
     n = scratch.parts(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
