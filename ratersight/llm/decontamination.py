@@ -20,11 +20,10 @@ _GAPS = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: edits allowed for every 100 code points of an item. min_chars: shorter items are looked for without edits,
-    and where whole words bound them. block_bytes: bytes of items that are searched for at a time, and sent to every task."""
+    """percent: edits allowed for every 100 code points of an item. Items so short that this is none are looked for without
+    edits, where whole words bound them. block_bytes: bytes of items that are searched for at a time, and sent to every task."""
 
     percent: float = 5.0
-    min_chars: int = 24
     block_bytes: int = 8 << 20
 
 
@@ -79,8 +78,7 @@ class Finder:
         self.heads: dict[bytes, list[tuple[int, int, bytes]]] = {}  # the first bytes of a piece -> (item, offset, piece)
         for key, text in items:
             text = normal(text)
-            if len(text) >= settings.min_chars:
-                edits = int(len(text) * settings.percent / 100)
+            if edits := int(len(text) * settings.percent / 100):
                 self.items.append((key, text, edits, masks(text)))
             elif text:
                 self.items.append((key, f" {text} ", 0, masks(f" {text} ")))
@@ -174,10 +172,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, settings: Settings = S
     """(doc_id, item_id, edits, end) for each item of benchmark (item_id, text) that a document (doc_id, text) holds.
 
     Both are compared as lower-case letters and digits with single spaces. edits: the least edit distance of the item to
-    a passage of the document; end: where that passage ends in the normal text. Items of fewer than min_chars are found
-    as whole words without edits. Null and empty texts of either side match nothing. Repeated rows of a document or an item give repeated rows. Items are searched for in
-    blocks of a bounded size, whatever the benchmark's size; all documents are read once for each block. Empty tables
-    give an empty result."""
+    a passage of the document; of several such passages, where the first of them ends in the normal text is `end`. Items so
+    short that they have no edits are found as whole words. Null and empty texts of either side match nothing, nor do texts
+    without letters or digits. Repeated rows of a document or an item, and rows with a null id, give rows of their own. Other
+    columns are ignored, whatever their names. Very long texts are searched whole. Items are searched for in blocks of a
+    bounded size, whatever the benchmark's size; all documents are read once for each block. Empty tables give an empty
+    result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = [docs.mapInArrow(_find(block, settings), "doc_id long, item_id long, edits int, end long") for block in _blocks(benchmark, settings)]
     return reduce(DataFrame.union, found)

@@ -240,7 +240,7 @@ def test_contaminations_equal_brute_force(spark):
         for k, item in enumerate(items):
             item = decontamination.normal(item)
             own = decontamination.normal(t)
-            edits = semi_global(item, own) if len(item) >= s.min_chars else 0 if item and f" {item} " in f" {own} " else 99
+            edits = semi_global(item, own) if int(len(item) * s.percent / 100) else 0 if item and f" {item} " in f" {own} " else 99
             if edits <= int(len(item) * s.percent / 100):
                 want.add((i, k, edits))
     assert {(3, 14, 0), (4, 15, 0)} <= want and (4, 14, 0) not in want
@@ -249,6 +249,9 @@ def test_contaminations_equal_brute_force(spark):
         assert got == want and len(want) > 20
         left = decontamination.decontaminate(d, bench, settings)
         assert left.columns == d.columns and {r.doc_id for r in left.collect()} == set(range(62)) - {i for i, *_ in want}
+    short = spark.createDataFrame([(0, "twenty one letters ab"), (1, "nineteen letters ab")], "item_id long, text string")  # one edit, none
+    own = docs(spark, ["so twenty one lettrs ab it is", "so nineteen lettrs ab it is", "so nineteen letters ab, yes"])
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontamination.contaminations(own, short).collect()) == [(0, 0, 1), (2, 1, 0)]
     assert decontamination.contaminations(d, bench.limit(0)).collect() == [] and decontamination.decontaminate(d, bench.limit(0)).count() == 62
 
 
