@@ -177,7 +177,7 @@ def _SYMBOLS(n: int) -> str:
 
 
 class Sequences:
-    """Strings whose pairs are compared many at a time."""
+    """Strings whose pairs are verified by banded bit vectors: many pairs at a time, or, of strings with few, one by one."""
 
     #: Pairs of one string from which they are verified together; pairs, columns and table cells that are held at a time.
     TOGETHER, PAIRS, COLUMNS, CELLS = 24, 1 << 14, 64, 1 << 23
@@ -213,7 +213,7 @@ class Sequences:
                     count += len(own)
                     cells += deep * self.kinds
                     continue
-            out[own] = [near_enough(self.lines[x], self.lines[y], k) for x, y in zip(xs[own].tolist(), ys[own].tolist())]
+            out[own] = [within(self.lines[x], self.lines[y], k) for x, y in zip(xs[own].tolist(), ys[own].tolist())]
         flush()
         return out
 
@@ -281,47 +281,6 @@ class Sequences:
         return out
 
 
-def _reach(a: str, i: int, b: str, j: int) -> int:
-    """How many code points a from i and b from j have in common."""
-    most, n, step = min(len(a) - i, len(b) - j), 0, 16
-    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
-        n += step
-        step *= 2
-    if n >= most:
-        return most
-    while step > 1:
-        step //= 2
-        if n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
-            n += step
-    return n
-
-
-def near_enough(a: str, b: str, edits: int) -> bool:
-    """within(), by the farthest row that each diagonal reaches with 0, 1, 2 ... edits: quick where edits are few."""
-    if abs(len(a) - len(b)) <= edits and (a.startswith(b) or b.startswith(a)):
-        return True
-    if edits * edits > max(len(a), len(b)):
-        return within(a, b, edits)
-    goal = len(a) - len(b)
-    if abs(goal) > edits:
-        return False
-    far = {0: _reach(a, 0, b, 0)}  # by diagonal, place in a less place in b: the farthest place in a
-    for e in range(edits + 1):
-        if far.get(goal, -1) >= len(a):
-            return True
-        new: dict[int, int] = {}
-        for d in range(-e - 1, e + 2):
-            # a diagonal from which the rest of the edits doesn't lead to the goal is left out
-            if abs(goal - d) > edits - e - 1:
-                continue
-            i = max(far[d] + 1 if d in far else -1, far[d - 1] + 1 if d - 1 in far else -1, far.get(d + 1, -1))
-            i = min(i, len(a), len(b) + d)
-            if i >= max(0, d):
-                new[d] = i + _reach(a, i, b, i - d)
-        far = new
-    return False
-
-
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most so many: vertical differences as bit vectors, on 2 * edits + 1 diagonals.
 

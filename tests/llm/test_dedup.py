@@ -104,17 +104,37 @@ def test_banded_distance_and_keys_lose_nothing():
             assert set(x) & set(y)
 
 
-def test_farthest_reach_is_the_same_distance():
+def test_every_pair_goes_through_bit_vectors(monkeypatch):
     rng = random.Random(2)
-    for _ in range(4000):
-        k = rng.randrange(5)
-        a = "".join(rng.choice("abé") for _ in range(rng.randrange(14) + 20 * rng.randrange(2)))
-        b = list(a)
-        for _ in range(rng.randrange(6)):
-            i = rng.randrange(len(b) + 1)
-            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "c"])
-        b = "".join(b)
-        assert line_dedup.near_enough(a, b, k) == (distance(a, b) <= k)
+    lines, seen = [], {"alone": 0, "together": 0}
+    for i in range(40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+        for _ in range(30 if i == 0 else 3):
+            x = list(base)
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(x) + 1)
+                x[k : k + rng.randrange(2)] = rng.choice(["", "a", "z"])
+            lines.append("".join(x))
+    alone, together = line_dedup.within, line_dedup.Sequences._together
+
+    def one(a, b, k):
+        seen["alone"] += 1
+        return alone(a, b, k)
+
+    def many(self, xs, ys, pairs, k):
+        seen["together"] += len(pairs)
+        return together(self, xs, ys, pairs, k)
+
+    monkeypatch.setattr(line_dedup, "within", one)
+    monkeypatch.setattr(line_dedup.Sequences, "_together", many)
+    lines.sort(key=len)
+    xs, ys = np.triu_indices(len(lines), 1)
+    near = np.abs(np.array([len(lines[x]) - len(lines[y]) for x, y in zip(xs, ys)])) <= 2
+    few = rng.sample(range(len(xs)), 60)
+    pairs = np.array(sorted({i for i in range(len(xs)) if near[i] and xs[i] < 20} | {i for i in few if near[i]}))
+    got = line_dedup.Sequences(lines).linked(xs[pairs], ys[pairs], 2)
+    assert seen["alone"] and seen["together"] and seen["alone"] + seen["together"] == len(pairs)
+    assert got.tolist() == [distance(lines[x], lines[y]) <= 2 for x, y in zip(xs[pairs], ys[pairs])]
 
 
 def test_lines_equal_brute_force(spark, monkeypatch):
