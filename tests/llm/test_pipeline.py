@@ -35,7 +35,7 @@ def lines_left(rows):
     for r in rows:
         gone = out.get(r.doc_id, ())
         text = r.text if not gone else "\n".join(x for n, x in enumerate(r.text.split("\n")) if n not in gone)
-        if not gone or len(" ".join(text.split())) > corpus_pipeline.SCRAP * len(r.text.strip(" ")) and text.strip():
+        if not gone or text.strip():
             kept[r.doc_id] = text
     return kept
 
@@ -94,15 +94,37 @@ def test_stages(spark):
         assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
 
 
-def test_scraps_and_names_and_empty_tables(spark):
+def test_lines_and_names_and_empty_tables(spark):
     rng = random.Random(2)
     lines = [" ".join(f"w{rng.randrange(999)}" for _ in range(12)) for _ in range(9)]
     schema = "doc_id long, text string, n_lines int, was string, own int, n_chars long"
-    rows = [(1, "\n".join(lines), 7, "x", 3, 1), (2, "\n".join(["Contents", *lines]), 7, "x", 3, 1), (3, "\n".join([lines[0], "what is new here, and long enough to stay"]), 7, "x", 3, 1), (4, None, 7, "x", 3, 1)]
-    got = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
-    assert set(got) == {1, 3, 4} and got[3].text == "what is new here, and long enough to stay"
-    assert all((r.n_lines, r.was, r.own) == (7, "x", 3) for r in got.values()) and (got[3].n_chars, got[1].n_chars) == (41, 1)
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["Contents", *lines])), (3, "\n".join([lines[0], "what is new here, and long enough to stay"])), (4, None), (5, "\n".join(["", *lines[3:], " "])), (6, " "), (7, "\n".join(lines))]
+    got = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, spark.createDataFrame([(i, t, 7, "x", 3, 1) for i, t in rows], schema), SF).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "Contents", 3: "what is new here, and long enough to stay", 4: None, 6: " "}
+    assert all((r.n_lines, r.was, r.own) == (7, "x", 3) for r in got.values()) and [got[i].n_chars for i in (1, 2, 3)] == [1, 8, 41]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    """Null, empty, blank and very long texts, repeated rows, null and shared ids and further columns."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    plain = [" ".join(word() for _ in range(80)) + "." for _ in range(6)]
+    texts = [None, "", " \n ", plain[0], plain[0], plain[1], " ".join(word() for _ in range(60_000)), "\n".join(plain[2:4]), "!!!"]
+    rows = [(i if i % 4 else None, t, f"s{i}", 5, 0.5) for i, t in enumerate(texts)]
+    rows += [rows[7], (7, plain[5], "s", 5, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score int, sequence_id double")
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.table(stage(spark, docs, SF), name)
+        if name == "packing":
+            assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+        else:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        if name not in ("quality", "packing"):  # quality may reject any of them
+            docs = out
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sum(t == plain[0] for _, t in kept) == 1 and (5, plain[1]) in kept and any(len(t or "") > 200_000 for _, t in kept)
+    assert sum(t == texts[7] for _, t in kept) == 1 and (7, plain[5]) in kept
