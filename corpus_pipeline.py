@@ -10,26 +10,21 @@ from ratersight.llm import decontamination, line_dedup, near_dedup, packing, qua
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go."""
+    """Documents that the quality model rejects go. Null and empty texts have a score as others do, repeated rows the same
+    one; rows with a null id are judged by their text. Columns of any names stay. An empty table gives an empty one."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-#: A document that keeps less of its characters than this goes whole: what it lost is 8/9 or more of it, so that, had it all
-#: come from one document, the two would be similar by 0.8 or more. What is left of copies are headings and changed words.
-SCRAP = 1 / 9
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat, or nearly repeat, earlier ones go, and documents of which but scraps are left; n_chars follows.
+    """Lines that repeat, or nearly repeat, earlier ones go, and documents each of whose lines does; n_chars follows.
 
-    White space at the ends of lines and texts doesn't count as kept. Columns that share a name with the operator's counts
-    are the documents' own."""
+    A document from which something went and of which only white space is left goes; null, empty and blank texts of which
+    nothing went stay. Of repeated rows, one keeps its lines. Columns that share a name with the operator's counts are the
+    documents' own. Texts of any length are cut whole. An empty table gives an empty one."""
     names = tuple(_free(docs, n) for n in line_dedup.ADDED)
-    was = _free(docs, "was")
-    marked, (_, n_removed, *_) = line_dedup.marked_lines(docs.withColumn(was, F.length(F.trim("text"))), names=names)
+    marked, (_, n_removed, *_) = line_dedup.marked_lines(docs, names=names)
     cut = F.col(n_removed) > 0
-    left = F.length(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    kept = marked.filter(~cut | (left > SCRAP * F.col(was)) & (left > 0))
+    kept = marked.filter(~cut | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
@@ -49,12 +44,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; repeated rows and rows with a null id are judged
+    by their text. Columns of any names stay. An empty table gives an empty one."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces, with their places in sequences of 2048 tokens."""
+    """The remaining documents' pieces, with their places in sequences of 2048 tokens. A null or empty text is one piece of its
+    end; repeated rows and rows with a null id have pieces of their own. Other columns go. An empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -65,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`; what each does with odd rows stands there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
