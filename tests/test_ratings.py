@@ -2,6 +2,9 @@
 
 import math
 import statistics
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -179,3 +182,12 @@ def test_roster_has_sql():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(catalog.ORACLE_SQL) >= 80
+
+
+def test_entry_works_without_a_dependency_of_the_text_operators():
+    """A package that only they need may be missing: the other queries stay, and a warning names the cause."""
+    code = "import sys, warnings; sys.modules['public_tokenizers'] = None; warnings.simplefilter('error', ImportWarning)\nwith warnings.catch_warnings(record=True) as told:\n    warnings.simplefilter('always')\n    import __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()), [str(w.message) for w in told if 'left out' in str(w.message)])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    n, n_sql, has_any, told = out.stdout.strip().split(" ", 3)
+    assert int(n) == len(catalog.QUERIES) and int(n_sql) == len(catalog.ORACLE_SQL) and has_any == "False" and "public_tokenizers" in told
