@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import pi
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -203,37 +203,26 @@ def icc_over_runs(rated: DataFrame, keys: list[str], kind: str = "icc3", least:
     return own.groupBy(*keys).agg(F.avg("icc").alias("mean_icc"), F.stddev_pop("icc").alias("std_icc"), F.max_by("n", "run").alias("n_sessions"))
 
 
-def spearman_p(rho: float, n: int) -> float:
-    """The two-sided p-value of a rank correlation by Student's t with n - 2 degrees of freedom (on the driver)."""
-    if abs(rho) >= 1:
-        return 0.0
-    k = n - 2
-    t2 = rho * rho * k / (1 - rho * rho)
-    return _beta_share(k / 2, 0.5, k / (k + t2))
-
-
-def _beta_share(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_share(b, a, 1 - x)
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(300):
-        m = i // 2
-        top = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + top * d or 1e-30)
-        c = 1 + top / c or 1e-30
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
-
-
-def stars(p: float) -> str:
+def spearman_p(rho: Column, n: Column) -> Column:
+    """The two-sided p-value of a rank correlation of n pairs by Student's t with n - 2 degrees of freedom; null for n < 3.
+
+    For whole degrees of freedom the share of t's distribution is a finite sum of powers of 1 - rho^2."""
+    free, s, c2 = n - 2, F.abs(rho), 1 - rho * rho
+    even = free % 2 == 0
+
+    def terms(many: Column, ratio) -> Column:
+        """1 + r1 + r1 r2 + ..., of so many terms."""
+        first = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+        add = lambda x, k: F.struct((x["sum"] + x["term"] * ratio(k) * c2).alias("sum"), (x["term"] * ratio(k) * c2).alias("term"))
+        return F.when(many > 0, F.aggregate(F.when(many > 1, F.sequence(F.lit(1).cast("long"), many - 1)).otherwise(F.array().cast("array<bigint>")), first, add, lambda x: x["sum"])).otherwise(0.0)
+
+    share = F.when(even, s * terms(F.floor(free / 2), lambda k: (2 * k - 1) / (2 * k))).otherwise(2 / pi * (F.asin(s) + s * F.sqrt(c2) * terms(F.floor((free - 1) / 2), lambda k: 2 * k / (2 * k + 1))))
+    return F.when(free >= 1, F.when(s >= 1, 0.0).otherwise(F.greatest(1 - share, F.lit(0.0))))
+
+
+def stars(p: Column) -> Column:
     """Marks of significance at 0.001, 0.01 and 0.05."""
-    return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else ""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, least: int = 4) -> DataFrame:

@@ -164,12 +164,11 @@ def wide_sheet(spark, d):
     own = panels.annotated(_cells(spark, d), spark).join(F.broadcast(panels.models(spark).select("model", "name", "active_params")), "model")
     ok, c = F.col("failure") == 0, F.col
     own = own.withColumns({"rating": F.when(ok, c("rating")), "failure_reason": F.when(~ok, "missing rating"), "explanation": F.concat(F.lit("e"), ((c("session") + c("run")) % 10).cast("string")), "reasoning_text": F.when(c("reasoning"), F.concat(F.lit("r"), c("item").cast("string"))), "creation_time": X.epoch_text(F.lit(None).cast("long"))})
-    own = own.withColumn("error", F.abs(c("rating") - c("ground_truth")))
-    ids = ["session", "item", "model", "patient", F.col("name").alias("model_name"), F.coalesce("architecture", F.lit("Unknown")).alias("architecture"), "context_length", "reasoning", "active_params", "total_params", "num_trans_tokens"]
+    own = own.withColumns({"error": F.abs(c("rating") - c("ground_truth")), "model_name": c("name"), "architecture": F.coalesce("architecture", F.lit("Unknown"))})
+    ids = ["session", "item", "model", "patient", "model_name", "architecture", "context_length", "reasoning", "active_params", "total_params", "num_trans_tokens"]
     values = {"rating": "rating", "error": "error", "failure_reason": "failure_reason", "explanation": "explanation", "reasoning": "reasoning_text", "creation_time": "creation_time", "num_reason_tokens": "num_reason_tokens"}
     wide = own.groupBy(*ids).pivot("run", [0, 1, 2]).agg(*(F.max(F.col(v).cast("double") if n == "num_reason_tokens" else v).alias(n) for n, v in values.items()), F.max("ground_truth").alias("truth"))
-    names = [i if isinstance(i, str) else i._jc.toString().split(" AS ")[-1] for i in ids]
-    return wide.select(*names, F.greatest("0_truth", "1_truth", "2_truth").alias("ground_truth"), *(F.col(f"{r}_{n}").alias(f"{n}_{r}") for r in range(3) for n in values))
+    return wide.select(*ids, F.greatest("0_truth", "1_truth", "2_truth").alias("ground_truth"), *(F.col(f"{r}_{n}").alias(f"{n}_{r}") for r in range(3) for n in values))
 
 
 _SEEDS = f"""{_ANNOTATED}, seeds as (select session, item, model, patient, num_trans_tokens, context_length, total_params, avg(case when failure = 0 then rating end) as rating, avg(case when failure = 0 then rating - ground_truth else 6 end) as error,

@@ -93,12 +93,11 @@ def progress_counts(spark, d):
     return ratings.progress(grid(spark, d), _cells(spark, d))
 
 
-_ABLATION = f"""{PANEL}, ab as (select session % 4 as config, item, model = 0 as reasoning, avg(abs(ground_truth - rating)) as mae from cells where model in (0, 1) group by all)"""
+_ABLATION = f"""{PANEL}, ab as (select session % 4 as config, item, model % 2 = 0 as reasoning, avg(abs(ground_truth - rating)) as mae from cells group by all)"""
 
 
 def _ablation(spark, d):
-    own = _cells(spark, d).filter("model in (0, 1)")
-    return own.groupBy((F.col("session") % 4).alias("config"), "item", (F.col("model") == 0).alias("reasoning")).agg(A.mae("ground_truth", "rating").alias("mae"))
+    return _cells(spark, d).groupBy((F.col("session") % 4).alias("config"), "item", (F.col("model") % 2 == 0).alias("reasoning")).agg(A.mae("ground_truth", "rating").alias("mae"))
 
 
 @query(f"with {_ABLATION} select config, round(median(n.mae - r.mae), 6) + 0.0 as median_delta, count(*) as pairs from (select * from ab where reasoning) r join (select * from ab where not reasoning) n using (config, item) group by config")
@@ -136,11 +135,19 @@ def valid_cells(spark, d):
     return own.join(valid, ["item", "session"], "left_semi").groupBy("model", "item").agg(F.count("*").alias("n"))
 
 
-@query(None)
+_EVEN = "abs(rho) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: list_product(list_prepend(1.0, list_transform(range(1, k + 1), lambda j: (2 * j - 1) / (2.0 * j) * (1 - rho * rho))))))"
+_ODD = "2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(1 - rho * rho) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: list_product(list_prepend(1.0, list_transform(range(1, k + 1), lambda j: 2.0 * j / (2 * j + 1) * (1 - rho * rho)))))), 0))"
+
+
+@query(f"""with {PANEL}, {_icc_runs('cells')}, human(item, human) as (values {', '.join(f'({i}, {v})' for i, v in enumerate(HUMAN_ICC, 1))}),
+b as (select model, round(mean_icc, 9) as x, human as y from icc join human using (item)),
+k as (select model, rank() over (partition by model order by x) + (count(*) over (partition by model, x) - 1) / 2.0 as rx, rank() over (partition by model order by y) + (count(*) over (partition by model, y) - 1) / 2.0 as ry from b),
+s as (select model, corr(rx, ry) as rho, count(*) as n from k group by model having count(*) >= 4),
+p as (select *, case when abs(rho) >= 1 then 0 when n % 2 = 0 then 1 - {_EVEN} else 1 - {_ODD} end as p from s)
+select model, round(rho, 6) + 0.0 as rho, n, round(p, 6) + 0.0 as p, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars from p""")
 def spearman_significance(spark, d):
     """Rank correlations with the human ones, their p-values and marks; a row a model."""
     human = spark.createDataFrame(list(enumerate(HUMAN_ICC, 1)), "item int, human double")
     own = ratings.icc_over_runs(_cells(spark, d), ["model", "item"]).withColumn("mean_icc", F.round("mean_icc", 9))
-    rows = ratings.spearman(own.join(F.broadcast(human), "item"), ["model"], "mean_icc", "human").collect()  # a row a model
-    out = [(r.model, r.rho, r.n, p, ratings.stars(p)) for r in rows for p in [ratings.spearman_p(r.rho, r.n)]]
-    return spark.createDataFrame(out, "model int, rho double, n long, p double, stars string")
+    own = ratings.spearman(own.join(F.broadcast(human), "item"), ["model"], "mean_icc", "human")
+    return own.withColumn("p", ratings.spearman_p(F.col("rho"), F.col("n"))).withColumn("stars", ratings.stars(F.col("p"))).select("model", "rho", "n", "p", "stars")

@@ -39,16 +39,16 @@ def score_pending(requests: DataFrame, done: DataFrame, scorer: Callable[[list[s
     return score(pending(requests, done, ["key", "run"]), scorer)
 
 
-def score_stream(requests: DataFrame, path: str, checkpoint: str, scorer: Callable[[list[str], int], list[str]] = stub) -> StreamingQuery:
-    """Score what has arrived in a stream of requests and append it to Parquet at path; what is there is not scored again,
-    so a batch that is repeated after a failure adds nothing twice."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        schema = "key string, run int, body string"
-        done = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-        score_pending(batch.dropDuplicates(["key", "run"]), done, scorer).write.mode("append").parquet(path)
-
-    return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def score_stream(requests: DataFrame, path: str, checkpoint: str, scorer: Callable[[list[str], int], list[str]] = stub, done: DataFrame | None = None) -> StreamingQuery:
+    """Score what has arrived in a stream of requests and write it to Parquet at path, a folder for each batch.
+
+    A request that comes again, in the same or a later batch or run, is scored once: the stream's state knows the requests
+    that it has seen, so no batch reads earlier results. A batch that is repeated after a failure takes its own place. done:
+    (key, run) of requests that others have scored."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        own = batch if done is None else pending(batch, done, ["key", "run"])
+        score(own, scorer).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    fresh = requests.dropDuplicates(["key", "run"])
+    return fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

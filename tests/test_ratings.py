@@ -159,10 +159,11 @@ def test_nested_factor_is_absorbed_exactly(spark):
     assert flat.singular or flat.variances["p"] < flat.noise
 
 
-def test_rank_correlations_have_p_values():
-    got = [ratings.spearman_p(r, n) for r, n in ((0.5, 10), (0.9, 10), (0.1, 30), (-0.7, 8), (1.0, 5), (0.0, 9))]
-    assert got == pytest.approx([0.141113, 0.000387, 0.599048, 0.053224, 0.0, 1.0], abs=1e-6)
-    assert [ratings.stars(p) for p in got[:4]] == ["", "***", "", ""]
+def test_rank_correlations_have_p_values(spark):
+    rows = [(0.5, 10), (0.9, 10), (0.1, 30), (-0.7, 8), (1.0, 5), (0.0, 9), (0.5, 3), (0.5, 4), (0.6, 11), (0.5, 2)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, rho double, n long").select("i", ratings.spearman_p(F.col("rho"), F.col("n")).alias("p")).withColumn("s", ratings.stars(F.col("p"))).orderBy("i").collect()
+    assert [r.p for r in got[:9]] == pytest.approx([0.141113, 0.000387, 0.599048, 0.053224, 0.0, 1.0, 0.666667, 0.5, 0.051003], abs=1e-6) and got[9].p is None
+    assert [r.s for r in got[:4]] == ["", "***", "", ""]
 
 
 def test_texts_of_prompts_and_roles(spark):
