@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
 
+
 def prediction_name(prefix: str) -> str:
     """The pattern of a prediction file's name, with its item and run; the name begins with the prefix."""
     return rf"^{re.escape(prefix)}(\d+)_output_(\d+)\.json$"
@@ -56,27 +57,42 @@ def unprocessed(spark: SparkSession, root: str, glob: str, done: DataFrame) -> D
 
 
 def predictions(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    """(patient, session, item, run, rating, explanation) of the prediction files below root, whose names begin with the
-    prefix; other files are left out."""
-    pattern, name = prediction_name(prefix), part(F.col("path"), 1)
-    own = texts(spark, root, "*.json").withColumn("name", name).filter(F.col("name").rlike(pattern))
+    """indexed() texts of the prediction files below root."""
+    return indexed(texts(spark, root, "*.json"), prefix)
+
+
+def indexed(own: DataFrame, prefix: str) -> DataFrame:
+    """(patient, session, item, run, rating, explanation) of texts (patient, session, path, text) of predictions, whose files'
+    names begin with the prefix; other files are left out."""
+    pattern = prediction_name(prefix)
+    own = own.withColumn("name", part(F.col("path"), 1)).filter(F.col("name").rlike(pattern))
     number = lambda i: F.regexp_extract("name", pattern, i).cast("int")
     return own.select("patient", "session", number(1).alias("item"), number(2).alias("run"), X.rating(F.col("text")).alias("rating"), X.explanation(F.col("text")).alias("explanation"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")).filter("line <> ''")
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    return lines.select(F.trim("value").alias("line"), "path").filter("line <> ''")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(item, session) of manifests with a path of a session's file on each line; the item is the number in their names."""
+    """listed_sessions() of the lines of manifests."""
+    return listed_sessions(_lines(spark, path))
+
+
+def listed_sessions(lines: DataFrame) -> DataFrame:
+    """(item, session) of lines (value, path) with a path of a session's file on each; the item is the number in the name of
+    the file that a line stands in."""
     item = F.regexp_extract(part(F.col("path"), 1), r"(\d+)", 1).try_cast("int")
-    return _lines(spark, path).select(item.alias("item"), part(F.col("line"), 2).alias("session")).filter("session is not null").distinct()
+    return _filled(lines).select(item.alias("item"), part(F.col("line"), 2).alias("session")).filter("session is not null").distinct()
 
 
 def exclusions(spark: SparkSession, path: str) -> DataFrame:
     """The last components of the lines of exclusion lists, each once."""
-    return _lines(spark, path).select(part(F.col("line"), 1).alias("session")).distinct()
+    return _filled(_lines(spark, path)).select(part(F.col("line"), 1).alias("session")).distinct()
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,3 +126,22 @@ def bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFr
 def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that sinks.write_snapshot() left."""
     return bundle(spark, path, ["seeds", "effects", "items", "reports"])
+
+
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of sheets as strings with their place in their sheet, from 1, in the order of its files' names and lines."""
+    own = spark.read.option("header", "true").option("mergeSchema", "true").csv(path)
+    own = own.withColumns({"file": F.col("_metadata.file_name"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()})
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy("file", "block", "at"))
+    return own.withColumn("place", place).drop("file", "block", "at")
+
+
+def report_terms(lines: DataFrame) -> DataFrame:
+    """(part, term, estimate, se) of a report's lines (no, line): a line in brackets heads a part, lines of a name and two
+    numbers are its terms; the intercept and all other lines are left out. A report is a small table."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    row = rf"^(\S+)\s+{number}\s+{number}(?:\s.*)?$"
+    head = F.nullif(F.regexp_extract("line", r"^\[(.+)\]$", 1), F.lit(""))
+    own = lines.withColumn("part", F.last(head, ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("no"))).filter(F.col("line").rlike(row))
+    cell = lambda i: F.regexp_extract("line", row, i)
+    return own.select("part", cell(1).alias("term"), cell(2).cast("double").alias("estimate"), cell(3).cast("double").alias("se")).filter("term <> '(Intercept)'")
