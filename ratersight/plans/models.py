@@ -341,3 +341,12 @@ def overall_with_deviation(spark, d):
 def whole_text_cues(spark, d):
     """Transcripts without segments as one cue over all."""
     return table(spark, d, "conversations").select("conv_id", "turn", transcripts.whole_vtt(F.col("text")).alias("vtt"))
+
+
+@query("""with w as (select conv_id, turn, list_filter(regexp_split_to_array(role || ' says this', '[ \\t\\n\\r]+'), lambda w: w <> '') as i, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '') as t, turn % 9 as most from conversations)
+select conv_id, turn, case when most > len(i) then array_to_string(t[-(most - len(i)):], ' ') else '' end as kept from w""")
+def transcript_room(spark, d):
+    """The last tokens of a turn, as many as its instructions leave of a budget that goes with the turn's number."""
+    own = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" says this")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    kept_of = lambda most: X.keep_room(F.col("i"), F.col("t"), most)
+    return own.select("conv_id", "turn", F.element_at(F.array(*map(kept_of, range(9))), (F.col("turn") % 9 + 1).cast("int")).alias("kept"))
