@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.llm import scratch
@@ -30,14 +30,24 @@ _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 _DOC = np.dtype([("known", "<u4"), ("doc_id", "<i8")])
 
 
+#: Bytes and documents at which a shard is finished, and documents of one batch of rows that a reader gives. A writer or reader
+#: holds a shard's entries, about 30 bytes a document, beside one document's ids.
+SHARD_BYTES, SHARD_DOCS, READ_DOCS = 256 << 20, 1 << 20, 1 << 14
+
+
 class ShardWriter:
     """Appends documents' ids to an open stream; finish() writes the index and the seek table."""
 
-    def __init__(self, out, level: int = 1):
+    def __init__(self, out, level: int = 1, most_bytes: int = SHARD_BYTES, most_docs: int = SHARD_DOCS):
+        self.most_bytes, self.most_docs = most_bytes, most_docs
         self.out, self.packer = out, zstandard.ZstdCompressor(level=level)
         self.entries: list[tuple[int, int, int]] = []
         self.docs: list[tuple[bool, int]] = []
-        self.tokens = 0
+        self.tokens = self.bytes = 0
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= self.most_bytes or len(self.docs) >= self.most_docs
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         packed = self.packer.compress(ids)
@@ -45,6 +55,7 @@ class ShardWriter:
         self.entries.append((len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.docs.append((doc_id is not None, doc_id or 0))
         self.tokens += len(ids) // 4
+        self.bytes += len(packed)
 
     def finish(self) -> None:
         index = np.array(self.docs, _DOC).tobytes()
@@ -94,55 +105,75 @@ class ShardReader:
             i = j
 
 
-def _write(folder: str, tokenizer: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write(folder: str, tokenizer: str, end_id: int, most_bytes: int, most_docs: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = struct.pack("<I", end_id)
 
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shard_of(part: int, no: int, docs: Iterator[tuple[int | None, str]]) -> pa.RecordBatch | None:
+        """One shard of the next documents, as far as its bounds allow; None where there are no more."""
         encode = encoder(tokenizer).encode
-        part = TaskContext.get().partitionId()
-        name = f"shard-{part:06d}.zst"
+        first = next(docs, None)
+        if first is None:
+            return None
+        name = f"shard-{part:06d}-{no:05d}.zst"
         with writing(folder, name) as out:
-            shard = ShardWriter(out)
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    shard.add(doc, encode(text.as_py() or "") + end)
+            shard = ShardWriter(out, most_bytes=most_bytes, most_docs=most_docs)
+            shard.add(first[0], encode(first[1]) + end)
+            while not shard.full and (row := next(docs, None)) is not None:
+                shard.add(row[0], encode(row[1]) + end)
             shard.finish()
-        if shard.docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([len(shard.docs)], pa.int64()), "n_tokens": pa.array([shard.tokens], pa.int64())})
+        numbers = {"part": pa.array([part], pa.int32()), "no": pa.array([no], pa.int32()), "name": [name], "n_docs": pa.array([len(shard.docs)], pa.int64()), "n_tokens": pa.array([shard.tokens], pa.int64())}
+        return pa.RecordBatch.from_pydict(numbers)
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = ((doc, text.as_py() or "") for batch in batches for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)))
+        part, no = TaskContext.get().partitionId(), 0
+        while (row := shard_of(part, no, docs)) is not None:
+            yield row
+            no += 1
 
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Write docs (doc_id, text) as shards in ascending doc_id order; a manifest (part, name, n_docs, n_tokens, start).
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, most_bytes: int = SHARD_BYTES, most_docs: int = SHARD_DOCS) -> DataFrame:
+    """Write docs (doc_id, text) as shards in ascending doc_id order; a manifest (part, no, name, n_docs, n_tokens, start).
 
     start: ids in all shards before. Null texts are empty and hold the end id alone. Null ids come first; rows that share
-    a doc_id follow each other, ordered by text. An empty table gives an empty manifest. The manifest has a row for each
-    shard that is not empty, so its size is that of the session's shuffle partitions, not of the data."""
+    a doc_id follow each other, ordered by text. Texts of any length are one document each; other columns are ignored,
+    whatever their names. An empty table gives an empty manifest. A part is a range of doc_id and is written by one task, as
+    shards of most_bytes or most_docs at most but for their last document, so what a task holds doesn't grow with its
+    part. Starts are added up within parts, and of parts, of which there are as many as the session's shuffle partitions."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = docs.repartitionByRange(scratch.parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = scratch.table(ranged.mapInArrow(_write(folder, tokenizer, end_id), "part int, name string, n_docs long, n_tokens long"), "manifest")
-    rows, start = [], 0
-    for r in shards.orderBy("part").collect():
-        rows.append((*r, start))
-        start += r.n_tokens
-    return spark.createDataFrame(rows, "part int, name string, n_docs long, n_tokens long, start long")
+    shards = scratch.table(ranged.mapInArrow(_write(folder, tokenizer, end_id, most_bytes, most_docs), "part int, no int, name string, n_docs long, n_tokens long"), "manifest")
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(upto(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n_tokens").over(upto(Window.partitionBy("part").orderBy("no"))), F.lit(0))
+    own = shards.withColumn("start", within).join(F.broadcast(parts), "part")  # a row for each part
+    return scratch.table(own.select("part", "no", "name", "n_docs", "n_tokens", (F.col("start") + F.col("before")).alias("start")), "starts")
 
 
 def _read(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(held: list[tuple[int | None, int, int]], start: int) -> pa.RecordBatch:
+        docs, counts, sums = zip(*held)
+        n = np.array(counts, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ranges = Ranges(folder, name)
-                docs, counts, sums = [], [], []
+                held: list[tuple[int | None, int, int]] = []
                 for doc, ids in ShardReader(ranges).all():
-                    docs.append(doc)
-                    counts.append(len(ids) // 4)
-                    sums.append(zlib.crc32(ids))
+                    held.append((doc, len(ids) // 4, zlib.crc32(ids)))
+                    if len(held) == READ_DOCS:
+                        yield rows(held, start)
+                        start += sum(n for _, n, _ in held)
+                        held = []
                 ranges.close()
-                n = np.array(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                if held:
+                    yield rows(held, start)
 
     return read
 

@@ -86,6 +86,17 @@ def test_token_files(spark):
         ids = e._library(t or "") + b"\2\0\0\0"
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
+    for bounds in ({"most_docs": 3}, {"most_bytes": 60}):  # several shards of a part, and the same rows
+        again = scratch.fresh(spark, "tokens")
+        shards = token_files.write_tokens(d, again, path, 2, **bounds)
+        assert shards.count() > manifest.count() and (bounds == {"most_bytes": 60} or all(r.n_docs <= 3 for r in shards.collect()))
+        assert sorted(token_files.read_tokens(spark, shards, again).collect()) == rows
+        assert shards.agg(F.sum("n_docs"), F.sum("n_tokens")).first() == (len(ODD), start)
+    clash = d.selectExpr("doc_id", "text", "1 as start", "2 as n_tokens", "3 as part").union(d.limit(0).selectExpr("doc_id", "text", "1", "2", "3"))
+    odd = clash.union(spark.createDataFrame([(None, "no id", 1, 2, 3), (None, None, 1, 2, 3), (0, "same id", 1, 2, 3)], clash.schema))
+    again = scratch.fresh(spark, "tokens")
+    got = token_files.read_tokens(spark, token_files.write_tokens(odd, again, path, 2), again).collect()
+    assert len(got) == len(ODD) + 3 and sorted(r.start for r in got if r.doc_id is None)[0] == 0 and sum(r.doc_id == 0 for r in got) == 2
     name = manifest.first()["name"]
     file = f"{folder}/{name}".removeprefix("file://")
     whole = zstandard.ZstdDecompressor().stream_reader(open(file, "rb"), read_across_frames=True).read()
