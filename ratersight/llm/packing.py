@@ -97,8 +97,8 @@ def _seat(plan: dict[int, np.ndarray]) -> Callable[[Iterable[pa.RecordBatch]], I
     return seat
 
 
-#: Parts of each length that are ranked apart.
-SALTS = 64
+#: Parts of each length that are ranked apart, at least, and pieces in all for each of them.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
@@ -106,16 +106,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
 
     A document is its text's ids and end_id; null and empty texts are end_id alone. Only documents of more ids than
     capacity are cut, into pieces of that many, of which the first may be shorter. Repeated rows are packed each on its
-    own, and so are rows with a null doc_id. An empty table gives an empty result. The plan is made on the driver from
-    counts of at most `capacity` lengths; ranks are counted within SALTS salts of a length, since one length may hold a
-    large share of all pieces. The salts' counts, capacity times SALTS rows at most whatever the table's size, give each
-    salt its first rank."""
+    own, and so are rows with a null doc_id. Texts of any length are tokenized whole; other columns are ignored, whatever
+    their names. An empty table gives an empty result. The plan is made on the driver from counts of at most `capacity`
+    lengths. One length may hold a large share of all pieces, so ranks are counted within salts, SALTS or one for each
+    SALT_ROWS pieces; the salts' counts, which are broadcast only where they are few, give each salt its first rank."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # by partition and place, so that repeated rows are spread too; written at once, so that they stay as they are
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    salted = scratch.table(salted, "pieces")
+    dealt = scratch.table(pieces.withColumn("salt", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
+    salts = max(SALTS, -(-dealt.count() // SALT_ROWS))
+    salted = dealt.withColumn("salt", F.pmod("salt", F.lit(salts)).cast("int"))
     sizes = scratch.table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit(counts, capacity)

@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from ratersight.llm import decontamination, fingerprints, language, packing, quality, scratch, secrets, token_files, tokens, web_archives
+from ratersight.llm import decontamination, fingerprints, language, linkage, packing, quality, scratch, secrets, token_files, tokens, web_archives
 
 DOCS = "doc_id long, text string, name string, start int, spans int"
 ODD = [None, "", " ", "a", "  ", "a  b", "a\n b", "a \nb", "a\tb c\r\n d", "don't  stop 'll I'll", "É café́ x", "ΟΔΟΣ ς b", "日本語 テスト 한국어", "<|endoftext|> a", "x " * 30_000, "!!! ?? ...", "　y z", "a\x1cb \x85 c"]
@@ -142,10 +142,19 @@ def test_best_fit_equals_one_piece_at_a_time():
         assert max(used.values()) <= 64 and len(used) == len(rooms)
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("salts", [None, (2, 7)])
+def test_packing(spark, monkeypatch, salts):
+    if salts:  # more salts than the least number, and nothing is broadcast
+        monkeypatch.setattr(packing, "SALTS", salts[0])
+        monkeypatch.setattr(packing, "SALT_ROWS", salts[1])
+        monkeypatch.setattr(linkage, "BROADCAST_ROWS", 1)
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [*ODD, "word " * 2047, "word " * 2048, "many words " * 3000]
-    rows = packing.pack(docs(spark, texts).union(docs(spark, texts[:3])), path).toPandas()
+    clash = docs(spark, texts).union(docs(spark, texts[:3])).withColumns({"length": F.lit("x"), "piece": F.lit(1.5), "salt": F.lit(None)})
+    rows = packing.pack(clash, path).toPandas()
+    assert len(rows[rows.doc_id == 0]) == 2  # a repeated row has pieces of its own
+    alone = packing.pack(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), path).collect()
+    assert len(alone) == 2 and {r.doc_id for r in alone} == {None} and len({r.sequence_id for r in alone}) == 1
     for i, t in enumerate(texts[3:], 3):
         ids = tokens.encoder(path)._library(t or "") + b"\0\0\0\0"
         own = rows[rows.doc_id == i].sort_values("piece")
