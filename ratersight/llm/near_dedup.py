@@ -175,3 +175,18 @@ def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         once = kept.join(repeated, same, "left_semi").withColumn("nth", nth).filter("nth = 1").drop("nth")
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
     return kept.select("own.*")
+
+
+def oracle_sql(settings: Settings) -> str:
+    """Links and components by all pairs that share a shingle, in DuckDB's SQL."""
+    k, percent = settings.words, settings.percent
+    return f"""with recursive w as materialized (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as materialized (select r, doc_id, case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' '))) end as s from w),
+sets as materialized (select s, min(r) as r from s where len(s) > 0 group by s),
+x as materialized (select r, unnest(s) as g from sets), n as (select r, len(s) as n from sets),
+pairs as (select a.r as a, b.r as b, count(*) as c from x a join x b on a.g = b.g and a.r < b.r group by all),
+near as (select a, b from pairs join n na on na.r = a join n nb on nb.r = b where 100 * c >= {percent} * (na.n + nb.n - c)),
+links as materialized (select a, b from near union all select b, a from near union all select s.r, sets.r from s join sets on sets.s = s.s where s.r <> sets.r union all select sets.r, s.r from s join sets on sets.s = s.s where s.r <> sets.r),
+reach as (select r as a, r as b from s union select reach.a, links.b from reach join links on links.a = reach.b),
+names as (select a, min(doc_id) as component_id from reach join s on s.r = reach.b group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept from s join names on names.a = s.r"""

@@ -92,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.oracle_sql(),
+    "op2_minhash_near_dedup": near_dedup.oracle_sql(near_dedup.Settings(words=3, percent=85)),
+    "op6_web_archives": web_archives.oracle_sql(),
     "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_vector_dedup": vector_dedup.oracle_sql(),
     "op13_branch_merge": branch_merge.oracle_sql(),
 }

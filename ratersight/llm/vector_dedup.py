@@ -283,3 +283,14 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     out = rows.select("vec_id", "node").join(scratch.table(info, "info"), "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle_sql(least: float = 0.95) -> str:
+    """The links of all pairs and their components in DuckDB's SQL."""
+    dot = lambda a, b: f"list_inner_product({a}, {b})"
+    return f"""with recursive v as materialized (select row_number() over () as r, vec_id, case when list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) then cast(embedding as double[]) end as x from embeddings),
+n as materialized (select r, vec_id, x, sqrt({dot('x', 'x')}) as size, len(x) as width from v where len(x) > 0 and {dot('x', 'x')} > 0),
+links as materialized (select a.r as a, b.r as b from n a join n b on a.width = b.width and a.r <> b.r where {dot('a.x', 'b.x')} / (a.size * b.size) >= {least}),
+reach as (select r as a, r as b from v union select reach.a, links.b from reach join links on links.a = reach.b),
+degrees as (select a, count(*) as n_links from links group by a), names as (select a, min(vec_id) as component_id from reach join v on v.r = reach.b group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept from v join names on names.a = v.r left join degrees on degrees.a = v.r"""

@@ -325,3 +325,12 @@ def read_archives(spark: SparkSession, packages: DataFrame, folder: str) -> Data
     no index mentions are walked through; archives that aren't stored are an error. An empty table gives an empty result."""
     names = packages.select("name").repartition(scratch.parts(spark), "name")
     return names.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def oracle_sql() -> str:
+    """What the pages' records tell, in DuckDB's SQL: 20 bits of the SHA-1 are four letters of the digest."""
+    value = " + ".join(f"(instr('0123456789abcdef', h[5 * i + {k}]) - 1) * {16 ** (5 - k)}" for k in range(1, 6))
+    letters = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v // {32 ** (3 - k)}) % 32 + 1]" for k in range(4))
+    return f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, html, array_to_string(list_transform(list_transform(range(8), lambda i: {value}), lambda v: {letters}), '') as payload_digest, max(page_id) over (partition by html) as last from p)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from d"""
