@@ -40,7 +40,8 @@ def engineered(seeds: DataFrame) -> DataFrame:
     """Logarithms, centring and standardising of seed_means(), in that order, over all strata together: severity and
     reasoning tokens within patient and item, transcript tokens within patient."""
     log = lambda c: F.log10(F.col(c) + 1)
-    own = seeds.withColumns({"log_tokens": log("num_trans_tokens"), "log_reason": log("num_reason_tokens"), "log_context": log("context_length"), "log_params": log_params(F.col("total_params"))})
+    own = kept(seeds, "seeds")  # means, totals and rows are read from it
+    own = own.withColumns({"log_tokens": log("num_trans_tokens"), "log_reason": log("num_reason_tokens"), "log_context": log("context_length"), "log_params": log_params(F.col("total_params"))})
     own = centre(own, ["severity", "log_reason"], ["patient", "item"])
     own = centre(own, ["log_tokens"], ["patient"])
     return z_scores(own, ["log_params", "log_context", *(f"{v}_{k}" for v in ("severity", "log_tokens", "log_reason") for k in ("between", "within"))])
@@ -49,7 +50,7 @@ def engineered(seeds: DataFrame) -> DataFrame:
 def frame(cells: DataFrame) -> DataFrame:
     """seed_means() of a bare panel (session, item, model, run, ...), in which a patient is a residue class of sessions and
     the parameters follow the model's number; severity is centred and the parameters standardised."""
-    own = seed_means(cells).withColumns({"patient": F.col("session") % 50, "reasoning": F.col("model") % 2 == 0, "log_params": F.log10(F.col("model") + 1)})
+    own = kept(seed_means(cells), "seeds").withColumns({"patient": F.col("session") % 50, "reasoning": F.col("model") % 2 == 0, "log_params": F.log10(F.col("model") + 1)})
     own = centre(own, ["severity"], ["patient", "item"])
     return z_scores(own, ["log_params"])
 
