@@ -80,6 +80,7 @@ def free_text_ratings(spark, d):
     t, k = F.col("turn"), (F.col("turn") % 7).cast("string")
     # an earlier rating stands before the last one; lower-case ones have digits among other marks
     body = F.when(t % 4 < 2, F.concat(F.lit("Rating: 99\nso Rating: "), k, F.lit(" "))).when(t % 5 == 0, F.lit("rating: none\n4")).otherwise(F.concat(F.lit("rating: 8\nrating: (1"), k, F.lit(")\nas 7")))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), body)  # after the turn's own text
     own = table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
     out = own.select("conv_id", "turn", X.last_rating(F.col("body")).cast("double").alias("free"), X.last_digits(F.col("body")).cast("double").alias("digits"))
     done = out.filter("digits is not null").select("conv_id", "turn", F.lit(False).alias("pending"))
@@ -222,11 +223,14 @@ def merged_words(spark, d):
     return rounded(transcripts.merged(own), 3)
 
 
-@query("select conv_id, turn, case turn % 3 when 0 then 'Practitioner' when 1 then 'Patient' else 'Unclear' end as role, case when turn % 3 = 2 then 'Someone: x' else 'word: ' || turn end as said from conversations")
+@query("""with l as (select conv_id, turn, role, unnest(range(len(string_split(text, chr(10))))) as no, unnest(string_split(text, chr(10))) as x from conversations)
+select conv_id, turn, no, case when no % 3 = 2 then 'Unclear' when role = 'user' then 'Patient' else 'Practitioner' end as role, case when no % 3 = 2 then trim(x) else regexp_replace(x, '^\\s+', '') end as said from l""")
 def role_labels(spark, d):
-    t = F.col("turn")
-    line = F.when(t % 3 == 0, F.concat(F.lit("Practitioner: word: "), t.cast("string"))).when(t % 3 == 1, F.concat(F.lit(" Patient:word: "), t.cast("string"))).otherwise(F.lit(" Someone: x"))
-    return table(spark, d, "conversations").select("conv_id", "turn", X.roles(line).alias("u")).select("conv_id", "turn", "u.role", F.col("u.text").alias("said"))
+    """The lines of all turns as a model may have labelled them, every third without a role."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("no", "x"))
+    name = F.when(F.col("role") == "user", " Patient:").otherwise("Practitioner: ")
+    own = lines.select("conv_id", "turn", F.col("no").cast("long").alias("no"), X.roles(F.when(F.col("no") % 3 == 2, F.col("x")).otherwise(F.concat(name, "x"))).alias("u"))
+    return own.select("conv_id", "turn", "no", "u.role", F.col("u.text").alias("said"))
 
 
 def _seeds(spark, d):

@@ -399,9 +399,10 @@ def line_range_segments(spark, d):
     return tables.in_ranges(own.select("conv_id", "turn"), specs, "conv_id", "turn").select("conv_id", "item", "turn")
 
 
-@query("select conv_id, turn, cast(unnest(case when turn % 3 = 0 then [-1] when turn % 3 = 1 then [3] else [2, 4] end) as int) as item from conversations")
+@query("with t as (select conv_id, turn, length(coalesce(text, '')) % 3 as k from conversations) select conv_id, turn, cast(unnest(case when k = 0 then [-1] when k = 1 then [3] else [2, 4] end) as int) as item from t")
 def question_multilabel(spark, d):
-    spec = F.element_at(F.array(F.lit("-1"), F.lit("3"), F.lit("2,4")), (F.col("turn") % 3 + 1).cast("int"))
+    k = F.length(F.coalesce("text", F.lit(""))) % 3
+    spec = F.element_at(F.array(F.lit("-1"), F.lit("3"), F.lit("2,4")), (k + 1).cast("int"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split(spec, ",").cast("array<int>")).alias("item"))
 
 
