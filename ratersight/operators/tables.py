@@ -30,6 +30,15 @@ def visit_number(patient: str, date: str) -> Column:
     return F.when(F.col(date).isNotNull(), rank).cast("long")
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right on keys that are equal or both null; the keys are left's."""
+    other = right.select(*(F.col(k).alias(f"other {k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"other {k}"))
+    return left.join(other, same, how).drop(*(f"other {k}" for k in keys))
+
+
 def lookup(df: DataFrame, dimension: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
     """A dimension's columns by key, with defaults for misses. It is broadcast only if the session's size limit allows."""
     out = df.join(dimension, keys, "left")
@@ -108,7 +117,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
     base = kept(own.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
     few, many = base.filter(F.col("n") <= GATHERED), base.filter(F.col("n") > GATHERED)
     if keys:
-        gathered = own.join(small(few.select(*names)), names, "left_semi")
+        gathered = matched(own, small(few.select(*names)), names, "left_semi")
     else:
         gathered = own.filter(F.lit(few.count() > 0))
     done = gathered.groupBy(*names).agg(F.count("*").alias("n"), *(F.percentile("v", F.lit(p)).alias(name) for name, p in at.items()))
@@ -117,7 +126,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
         ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(h), F.ceil(h)) for h in place.values()))))
         state = kept(many.select(*names, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "lo", "hi"), "ranks")
         value_of = _selected(own, state, names).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("x"))  # two for each quantile
-        both = many.join(value_of, names)
+        both = matched(many, value_of, names)
         blend = lambda h: (F.ceil(h) - h) * F.col("x")[F.floor(h)] + (h - F.floor(h)) * F.col("x")[F.ceil(h)]
         done = done.unionByName(both.select(*names, "n", *(F.when(F.floor(h) == F.ceil(h), F.col("x")[F.floor(h)]).otherwise(blend(h)).alias(name) for name, h in place.items())))
     return done if keys else done.drop("whole")
@@ -136,12 +145,12 @@ def _selected(own: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
         # halves, so that the width of any range is finite
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         bin = F.least(F.floor(share * STEP_BINS), F.lit(STEP_BINS - 1))
-        rows = own.join(small(state), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below", bin.alias("bin")).agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows = matched(own, small(state), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below", bin.alias("bin")).agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.sum("inside").over(Window.partitionBy(*names, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("below", F.col("below") + upto - F.col("inside")).filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside")))
         state = kept(rows.select(*names, "rank", "below", "inside", "lo", "hi"), "ranks")
     closed = kept(closed, "ranks")
-    left = own.join(small(closed.filter("lo < hi")), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    left = matched(own, small(closed.filter("lo < hi")), names).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*names, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     left = left.select(*names, "rank", F.get("vs", (F.col("rank") - F.col("below")).cast("int")).alias("x"))
     return closed.filter("lo = hi").select(*names, "rank", F.col("lo").alias("x")).union(left)
 
@@ -167,24 +176,13 @@ def centre(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
     means = df.groupBy(*keys).agg(*(F.avg(v).alias(f"{v}_between") for v in values), F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     means = kept(means, "means")
     within = {f"{v}_within": F.col(v) - F.col(f"{v}_between") for v in values}
-    same = [df[k].eqNullSafe(F.col(f"mean_{k}")) for k in keys]
-    named = means.select(*(F.col(k).alias(f"mean_{k}") for k in keys), *(f"{v}_between" for v in values), "salts")
-    extra = [f"mean_{k}" for k in keys]
     if means.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        out = df.join(F.broadcast(named.drop("salts")), _every(same), "left")
-        return out.withColumns(within).drop(*extra)
+        return matched(df, F.broadcast(means.drop("salts")), keys, "left").withColumns(within)
     most = means.agg(F.max("salts")).first()[0]  # a row takes one of as many salts as the largest group has
-    salted = df.withColumn("salt", (F.rand(0) * most).cast("int"))
-    same = [salted[k].eqNullSafe(F.col(f"mean_{k}")) for k in keys]
-    dealt = named.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).drop("salts")
-    return salted.join(dealt, _every([*same, F.col("salt") == F.col("of_salt")]), "left").withColumns(within).drop(*extra, "salt", "of_salt")
-
-
-def _every(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    salt = _free(df, "salt")
+    salted = df.withColumn(salt, (F.rand(0) * most).cast("int"))
+    dealt = means.drop("salts").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    return matched(salted, dealt, [*keys, salt], "left").withColumns(within).drop(salt)
 
 
 def z_scores(df: DataFrame, values: list[str]) -> DataFrame:
@@ -256,7 +254,7 @@ def pauses(df: DataFrame, keys: list[str], gap: str, long: float = 0.5) -> DataF
     own = kept(df.filter(F.col(gap) > 0).select(*keys, gap), "gaps")
     sums = own.groupBy(*keys).agg(F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("std"), F.count_if(F.col(gap) > long).alias("n_long"))
     at = quantiles(own, keys, gap, {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95)})
-    return at.join(sums, keys) if keys else at.join(F.broadcast(sums))  # one row each
+    return matched(at, sums, keys) if keys else at.join(F.broadcast(sums))  # one row each
 
 
 def long_pauses(df: DataFrame, keys: list[str], gap: str, long: float = 0.5) -> DataFrame:

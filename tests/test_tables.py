@@ -29,6 +29,7 @@ VALUES = {
     "huge": [-1.7e308, 1.7e308, 0.0, *(float(i) for i in range(120))],
     "few": [3.0, 1.0],
     "single": [7.5],
+    None: [float(i * i % 101) for i in range(90)],
 }
 
 
@@ -51,6 +52,13 @@ def test_quantiles_by_selection(spark, monkeypatch, bins):
             assert got[k][name] == pytest.approx(want, rel=1e-12)
 
 
+def test_pauses_of_null_keys(spark):
+    rows = [(k, float(i)) for k in (None, 1, 2) for i in range(k or 5)] + [(3, -1.0), (3, None)]
+    got = {r.k: (r.n, r.p50, r.mean, r.n_long) for r in tables.pauses(spark.createDataFrame(rows, "k int, gap double"), ["k"], "gap", 2.5).collect()}
+    assert got == {None: (4, 2.5, 2.5, 2), 2: (1, 1.0, 1.0, 0)}
+    assert [(r.k, r.gap, r.place) for r in tables.long_pauses(spark.createDataFrame(rows, "k int, gap double"), ["k"], "gap", 2.5).orderBy("place").collect()] == [(None, 4.0, 1), (None, 3.0, 2)]
+
+
 def test_quantiles_of_a_whole_table(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") * F.col("id") % 997).cast("double").alias("v"))
     want = np.percentile([r.v for r in df.collect()], [50, 95])
