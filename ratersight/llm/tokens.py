@@ -13,7 +13,7 @@ _UNSAFE = re.compile(r" (?=\s)|<\|")
 #: Beyond these, lower case and normal forms are left to the library; up to U+024F no letter changes with those around it.
 _OTHER = re.compile("[^ -~\\n\u00c0-\u024f]")
 #: Kept words of each generation; the older of two generations is dropped when the newer is full.
-KEPT = 200_000
+KEPT = 300_000
 
 
 #: The pattern of byte-level tokenizers that name none.
