@@ -29,3 +29,8 @@ def test_against(spark):
     assert [tuple(r) for r in ratings.progress(expected, rated).collect()] == [(0, 1, 2, 2)]
     assert sorted(map(tuple, ratings.gaps(expected, rated).collect())) == [(0, 0, 1, 1), (0, 0, 3, 1)]
     assert [tuple(r) for r in ratings.first_bad(expected, rated).collect()] == [(0, 0, 2, 1)]
+
+
+def test_years_past_9999(spark):
+    row = spark.range(1).select(X.epoch_text(F.lit(500_000_000_000)).alias("a"), X.epoch_text(F.lit(0)).alias("b")).first()
+    assert tuple(row) == ("17814-05-16 00:53:20", "1970-01-01 00:00:00")
