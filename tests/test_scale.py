@@ -34,3 +34,9 @@ def test_against(spark):
 def test_years_past_9999(spark):
     row = spark.range(1).select(X.epoch_text(F.lit(500_000_000_000)).alias("a"), X.epoch_text(F.lit(0)).alias("b")).first()
     assert tuple(row) == ("17814-05-16 00:53:20", "1970-01-01 00:00:00")
+
+
+def test_pauses_with_lists(spark):
+    assert "long" in catalog.QUERIES["pause_stats"](spark, SF).columns
+    own = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 0.5)], "k string, gap double")
+    assert {r.k: r.long for r in tables.pauses(own, ["k"], "gap", 1.5, lists=True).collect()} == {"a": [3.0, 2.0], "b": []}
