@@ -17,6 +17,21 @@ def plan(df, mode="formatted"):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
+def test_partitions_follow_sessions(spark, monkeypatch):
+    monkeypatch.setattr(panels, "GRID_SESSIONS", 10)
+    assert panels.grid(spark, SF).rdd.getNumPartitions() == 15  # 150 sessions
+
+
+@pytest.mark.parametrize("name", ["item_f1", "icc_family", "evaluator_by_item", "wide_by_run", "wide_sheet", "total_direct_metrics"])
+def test_code_is_compiled(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its code only when it has run
+    try:
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan(catalog.QUERIES[name](spark, SF), "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000  # larger methods are interpreted by the JVM
+
+
 @pytest.mark.parametrize("name", ["expected_grid_gaps", "first_bad_item_failures", "progress_counts"])
 def test_cells_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
