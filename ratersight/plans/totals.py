@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ratersight.functions import agreement as A
 from ratersight.operators import ratings, tables
 from ratersight.plans.roster import GRID, HUMAN_ICC, PANEL, SUMS, _cells, _f1, _icc, _icc_runs, _measured, _qwk, _r, _r2, _scored, SCORED, query
-from ratersight.sources.panels import grid, models, table, total_panel
+from ratersight.sources.panels import dealt, grid, models, table, total_panel
 
 TOTALS = """grid0 as (select cast(c_custkey as bigint) as session, cast(m as int) as model, cast(r as int) as run from customer, range(0, 5) b(m), range(0, 3) c(r)),
 shown0 as (select *, cast(list_sum([(7*session + 3*i + session % 11) % 7 for i in range(1, 11)]) as int) as ground_truth, (13*session + 11*model + 17*run) % 31 - 15 as d, (31*session + 3*model + run) % 101 as h, (model + run) % 4 as g from grid0),
@@ -117,7 +117,7 @@ def total_truth_check(spark, d):
     s = F.col("c_custkey").cast("long")
     label = lambda i: (7 * s + 3 * i + s % 11) % 7
     # a session without its fifth label has no total
-    wide = table(spark, d, "customer").select(s.alias("session"), (F.floor(F.abs("c_acctbal")).cast("long") % 61).alias("stored"), *((F.when(s % 19 != 0, label(i)) if i == 5 else label(i)).alias(f"label_{i}") for i in range(1, 11)))
+    wide = dealt(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey").select(s.alias("session"), (F.floor(F.abs("c_acctbal")).cast("long") % 61).alias("stored"), *((F.when(s % 19 != 0, label(i)) if i == 5 else label(i)).alias(f"label_{i}") for i in range(1, 11)))
     long = tables.unpivoted(wide, ["session"], {f"label_{i}": i for i in range(1, 11)}, "item", "ground_truth")
     return ratings.total_truth(long).join(wide.select("session", "stored"), "session").withColumn("equal", F.col("total") == F.col("stored"))
 
