@@ -467,20 +467,21 @@ def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nest
 
 def _nested(own: DataFrame, columns: list[str], random: list[str], at: dict[tuple[str, str], int], p: int, d: int, depth: int) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, np.ndarray]]]:
     """(visits, blocks, products): visits (nest0, nest1, size, w: a list of (i, v)) holds the sums of the design over each
-    inner level; blocks (size, times, sums) an outer level's; products, by size, inner levels' number and outer products. All
-    of it is summed by key before it is gathered; of one level no more is gathered than the design is wide, for each size."""
+    inner level; blocks (size, times, sums) an outer level's; products, by size, inner levels' number and outer products.
+
+    The design's rows are dealt by level as they are and added up there, a column of sums for each of the design's: no row is
+    taken apart into its entries. Of one outer level no more is gathered than the design is wide, for each size."""
     place = {c: (i if i < p else d - 1) for i, c in enumerate(columns)}
-    entry = lambda i, v: F.struct(i.cast("int").alias("i"), v.alias("v"))
-    numbers = [F.create_map(*(F.lit(x) for (g, level), i in at.items() if g == f for x in (level, i))) for f in random]
-    entries = [*(entry(F.lit(i), F.col(c)) for c, i in place.items()), *(entry(m[F.col(f"f{k}")], F.lit(1.0)) for k, m in enumerate(numbers))]
     keys = [f"nest{i}" for i in range(depth)]
-    sums = own.select(*keys, F.inline(F.array(*entries))).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    visits = sums.groupBy(*keys).agg(F.max(F.when(F.col("i") == 0, F.col("v"))).cast("long").alias("size"), F.collect_list(F.struct("i", "v")).alias("w"))
-    visits = kept(visits, "visits")
-    cells = visits.select("nest0", "size", F.inline("w")).groupBy("nest0", "size", "i").agg(F.sum("v").alias("v"), F.count("*").alias("times"))
-    # a column that few of a level's visits have tells no number of visits; the intercept's does
-    cells = cells.groupBy("nest0", "size").agg(F.max(F.when(F.col("i") == 0, F.col("times"))).alias("times"), F.collect_list(F.struct("i", "v")).alias("w"))
-    cells = cells.select("nest0", F.transform("w", lambda x: F.struct(F.col("size").alias("size"), F.col("times").alias("times"), x["i"].alias("i"), x["v"].alias("v"))).alias("cells"))
+    sums = {i: F.sum(c) for c, i in place.items()} | {i: F.count_if(F.col(f"f{random.index(g)}") == level).cast("double") for (g, level), i in at.items()}
+    wide = own.repartition(*keys).groupBy(*keys).agg(*(v.alias(f"s{i}") for i, v in sorted(sums.items())))
+    wide = kept(wide.withColumn("size", F.col("s0").cast("long")), "visits")
+    entry = lambda i: F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("v"))
+    # a fixed term's sum, whatever it is, and the levels that there are
+    held = lambda: F.concat(F.array(*(entry(i) for i in place.values())), F.filter(F.array(*(entry(i) for i in at.values())), lambda x: x["v"] > 0) if at else F.array().cast("array<struct<i:int,v:double>>"))
+    visits = wide.select(*keys, "size", held().alias("w"))
+    cells = wide.groupBy("nest0", "size").agg(F.count("*").alias("times"), *(F.sum(f"s{i}").alias(f"s{i}") for i in sums))
+    cells = cells.select("nest0", F.transform(held(), lambda x: F.struct(F.col("size").alias("size"), F.col("times").alias("times"), x["i"].alias("i"), x["v"].alias("v"))).alias("cells"))
     blocks = kept(cells.groupBy("nest0").agg(F.flatten(F.collect_list("cells")).alias("cells")).select("cells").mapInArrow(_pack(d), "size binary, times binary, sums binary"), "blocks")
     products: dict[int, tuple[int, np.ndarray]] = {}
     if depth > 1:
