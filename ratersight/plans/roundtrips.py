@@ -104,7 +104,7 @@ def excluded_names(spark, d):
 def sorted_sheets(spark, d):
     """Sheets by item, in order over their files, and the rows' places in them."""
     path = _path(spark, "sheets")
-    own = _cells(spark, d).withColumn("item_name", F.concat(F.lit("an item with a long name, number "), F.col("item").cast("string")))
+    own = _cells(spark, d).select("session", "item", "model", "run", "rating", F.concat(F.lit("an item with a long name, number "), F.col("item").cast("string")).alias("item_name"))
     sinks.write_sheets(own, path, order=("model", "session", "run"))
     back = files.sheet_rows(spark, path)
     return back.select(F.col("item").cast("int").alias("item"), F.col("session").cast("long").alias("session"), F.col("model").cast("int").alias("model"), F.col("run").cast("int").alias("run"), F.col("place").cast("long").alias("place"), F.col("rating").cast("double").alias("rating"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
+from ratersight.sources.stages import kept
 
 
 def prediction_name(prefix: str) -> str:
@@ -129,11 +130,16 @@ def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of sheets as strings with their place in their sheet, from 1, in the order of its files' names and lines."""
+    """The rows of sheets as strings with their place in their sheet, from 1, in the order of its files' names and lines.
+
+    A block of a file is read in order by one task, so a row's number in its block tells its place beside the rows of the
+    blocks before: one row for each block is added up, and no sheet is sorted."""
     own = spark.read.option("header", "true").option("mergeSchema", "true").csv(path)
-    own = own.withColumns({"file": F.col("_metadata.file_name"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()})
-    place = F.row_number().over(Window.partitionBy("sheet").orderBy("file", "block", "at"))
-    return own.withColumn("place", place).drop("file", "block", "at")
+    own = kept(own.withColumns({"file": F.col("_metadata.file_name"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}), "rows")
+    blocks = own.groupBy("sheet", "file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("sheet").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("sheet", "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return own.join(F.broadcast(blocks), ["sheet", "file", "block"]).withColumn("place", F.col("at") + F.col("shift")).drop("file", "block", "at", "shift")
 
 
 def report_terms(lines: DataFrame) -> DataFrame:

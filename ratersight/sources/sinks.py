@@ -10,6 +10,8 @@ from ratersight.operators import features
 
 #: Reports are made on the driver, of tables of models or terms; larger ones are refused rather than cut.
 REPORT_ROWS = 10_000
+#: Rows of a sheet's file, which one task sorts.
+SHEET_ROWS = 2_000_000
 
 
 def write_predictions(df: DataFrame, path: str) -> DataFrame:
@@ -19,13 +21,14 @@ def write_predictions(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_sheets(df: DataFrame, path: str, item: str = "item", name: str = "item_name", order: tuple[str, ...] = ("model", "session")) -> None:
-    """One folder of CSV a sheet, named by its item; a sheet's files, read in the order of their names, are sorted by `order`.
+    """One folder of gzipped CSV a sheet, named by its item; a sheet's files, read in the order of their names, are sorted by `order`.
 
-    Rows are dealt to ranges of (sheet, order), so a hot item takes several tasks and files, and a small one shares a task."""
+    Rows are dealt to ranges of (sheet, order), as many as a count asks for, so a hot item takes several tasks and files, and
+    a small one shares a task."""
     own = df.withColumn("sheet", X.sheet_name(F.col(item), F.col(name)))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SHEET_ROWS))
     dealt = own.repartitionByRange(parts, "sheet", *order).sortWithinPartitions("sheet", *order)
-    dealt.write.mode("overwrite").partitionBy("sheet").csv(path, header=True)
+    dealt.write.mode("overwrite").partitionBy("sheet").csv(path, header=True, compression="gzip")
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

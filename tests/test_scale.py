@@ -55,3 +55,14 @@ def test_pauses_with_lists(spark):
     assert "long" in catalog.QUERIES["pause_stats"](spark, SF).columns
     own = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 0.5)], "k string, gap double")
     assert {r.k: r.long for r in tables.pauses(own, ["k"], "gap", 1.5, lists=True).collect()} == {"a": [3.0, 2.0], "b": []}
+
+
+def test_sheets_are_numbered_without_sorting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 7)
+    own = spark.range(100).select((F.col("id") % 2).cast("int").alias("item"), F.lit("x").alias("item_name"), F.lit(0).alias("model"), (100 - F.col("id")).alias("session"))
+    sinks.write_sheets(own, str(tmp_path / "book"))
+    back = files.sheet_rows(spark, str(tmp_path / "book"))
+    assert "Window" not in plan(back.select("session", "place")).split("BroadcastExchange")[0]
+    got = sorted((int(r.item), r.place, int(r.session)) for r in back.collect())
+    assert got == [(i, k + 1, v) for i in (0, 1) for k, v in enumerate(sorted(100 - x for x in range(100) if x % 2 == i))]
+    assert len(list((tmp_path / "book").glob("*/*.csv.gz"))) >= 15
