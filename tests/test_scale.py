@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
-from ratersight.operators import ratings, tables
+from ratersight.operators import features, ratings, tables
 from ratersight.plans import catalog
 from ratersight.sources import files, panels, sinks
 
@@ -66,3 +66,8 @@ def test_sheets_are_numbered_without_sorting(spark, tmp_path, monkeypatch):
     got = sorted((int(r.item), r.place, int(r.session)) for r in back.collect())
     assert got == [(i, k + 1, v) for i in (0, 1) for k, v in enumerate(sorted(100 - x for x in range(100) if x % 2 == i))]
     assert len(list((tmp_path / "book").glob("*/*.csv.gz"))) >= 15
+
+
+def test_seeds_are_summed_without_sorting(spark):
+    seeds = features.seed_means(panels.error_cells(spark, SF))
+    assert "SortAggregate" not in plan(seeds)
