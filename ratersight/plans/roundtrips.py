@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
 from ratersight.plans.roster import _BODY, _K, PANEL, SCORED, _cells, _r, _scored, query
-from ratersight.sources import files, sinks, stages
+from ratersight.sources import files, sinks, stages, trees
 from ratersight.sources.panels import table
 from ratersight.streaming import scoring
 
@@ -42,11 +42,14 @@ _TALKS = "t as (select conv_id, string_agg(role || ': ' || coalesce(text, ''), c
 
 
 def _talks(spark, d) -> str:
-    """A text file for each conversation, in folders by patient and session."""
+    """A text file for each conversation, in folders by patient and session. Folders of patients lie in others by bucket, so that
+    none has more than some thousands of sessions."""
     line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
-    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    own = table(spark, d, "conversations")
+    n = trees.tasks(spark, own.agg(F.approx_count_distinct("conv_id")).first()[0])  # sets the size of buckets alone
+    own = own.repartition(n, "conv_id").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
     path = _path(spark, "texts")
-    own.select((F.col("conv_id") % 7).alias("patient"), F.col("conv_id").alias("session"), "value").write.partitionBy("patient", "session").text(path)
+    trees.write(own.select(trees.bucket("conv_id", n).alias("bucket"), (F.col("conv_id") % 7).alias("patient"), F.col("conv_id").alias("session"), "value"), path, ["bucket", "patient", "session"], "value")
     return path
 
 
@@ -60,7 +63,7 @@ def session_texts(spark, d):
 def unprocessed_texts(spark, d):
     """Sessions whose files have nothing produced from them yet."""
     path = _talks(spark, d)
-    done = files.texts(spark, path, "*.txt").filter(F.regexp_extract("session", r"(\d+)", 1).cast("long") % 3 == 1).select("path")
+    done = files.paths(spark, path, "*.txt").filter(F.regexp_extract("session", r"(\d+)", 1).cast("long") % 3 == 1).select("path")
     return files.unprocessed(spark, path, "*.txt", done).select("session")
 
 

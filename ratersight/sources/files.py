@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratersight.functions import text as X
+from ratersight.sources import trees
 from ratersight.sources.stages import kept
 
 
@@ -33,18 +34,31 @@ def csv_texts(spark: SparkSession, path: str, key: str, prefix: str = "") -> Dat
     return own.withColumn(key, F.concat(F.lit(prefix), F.col(key)))
 
 
-def texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(patient, session, path, text) of the files below root whose names fit glob, one row a file, read whole.
+def paths(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(patient, session, path) of the files below root whose names fit glob, one row a file, from their paths alone.
+
+    Files of no bytes count as absent; blank ones are failures."""
+    return _placed(trees.paths(spark, root, glob))
 
-    Malformed UTF-8 is replaced. Spark lists no files of no bytes, so these count as absent; blank ones are failures."""
-    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+
+def _placed(own: DataFrame) -> DataFrame:
     path = F.col("path")
-    return own.select(part(path, 3).alias("patient"), part(path, 2).alias("session"), path, F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return own.select(part(path, 3).alias("patient"), part(path, 2).alias("session"), *own.columns)
+
+
+def _read(spark: SparkSession, root: str, own: DataFrame) -> DataFrame:
+    """(patient, session, path, text) of the files of own (path). Malformed UTF-8 is replaced."""
+    return _placed(trees.contents(spark, root, own)).withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
+
+
+def texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(patient, session, path, text) of the files of paths(), each read whole."""
+    return _read(spark, root, trees.paths(spark, root, glob))
 
 
 def first_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Of each session's files the one with the least path."""
-    return texts(spark, root, glob).groupBy("patient", "session").agg(F.min_by("text", "path").alias("text"), F.min("path").alias("path"))
+    return _read(spark, root, paths(spark, root, glob).groupBy("patient", "session").agg(F.min("path").alias("path")))
 
 
 def named_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -54,7 +68,7 @@ def named_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def unprocessed(spark: SparkSession, root: str, glob: str, done: DataFrame) -> DataFrame:
     """texts() of the files whose paths are not in done (path) yet."""
-    return pending(texts(spark, root, glob), done, ["path"])
+    return _read(spark, root, pending(paths(spark, root, glob), done, ["path"]))
 
 
 def predictions(spark: SparkSession, root: str, prefix: str) -> DataFrame:
