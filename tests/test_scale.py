@@ -71,3 +71,9 @@ def test_sheets_are_numbered_without_sorting(spark, tmp_path, monkeypatch):
 def test_seeds_are_summed_without_sorting(spark):
     seeds = features.seed_means(panels.error_cells(spark, SF))
     assert "SortAggregate" not in plan(seeds)
+
+
+def test_annotated_cells_are_summed_without_sorting(spark):
+    seeds = features.seed_means(panels.annotated(panels.panel(spark, SF).withColumn("failure", F.col("rating").isNull().cast("int")), spark))
+    assert "SortAggregate" not in plan(seeds) and "HashAggregate" in plan(seeds)
+    assert {"total_params", "architecture"} <= set(panels.with_texts(seeds, spark).columns)
