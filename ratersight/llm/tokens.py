@@ -27,8 +27,9 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     Both supported kinds of tokenizer cut a text before each space that a non-space follows, whatever stands around, so
-    such units are encoded apart and their ids joined. Tests hold this against the library. specials: strings of special
-    tokens in a text become these tokens; else a text cannot forge an end of a document."""
+    such units are encoded apart and their ids joined; this one, for words, leaves white space out, so that it cuts texts of
+    common characters at all of it. Tests hold this against the library. specials: strings of special tokens in a text
+    become these tokens; else a text cannot forge an end of a document."""
 
     def __init__(self, path: str, pattern: str, specials: bool = False):
         from tokenizers import Tokenizer
@@ -51,7 +52,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """A unit of letters only."""
-        return self._mixed(word)
+        return self._ids(word.lower()) if word.isascii() else self._mixed(word)
 
     def _mixed(self, unit: str) -> bytes:
         if _OTHER.search(unit):
@@ -59,6 +60,8 @@ class Encoder:
         unit = unit.lower()
         if unit.isalpha():
             return self._ids(unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SHOWN))
+        if unit[:-1].isalpha():  # a word and one mark or digit
+            return self[unit[:-1]] + self[unit[-1]]
         return b"".join([self[p] if p.isalpha() else self._ids(p.encode().decode("latin-1").translate(_SHOWN)) for p in self.split(unit)])
 
     def _slow(self, text: str) -> bytes:
@@ -66,13 +69,6 @@ class Encoder:
             text = self.normalizer.normalize_str(text)
         return b"".join([self._ids(p) for p, _ in self.pre.pre_tokenize_str(text)])
 
-    def _head(self, unit: str) -> bytes:
-        return self[unit]
-
-    def _fold(self, text: str) -> str:
-        """text with fewer different units of the same ids."""
-        return text if _OTHER.search(text) else text.lower()
-
     def __getitem__(self, unit: str) -> bytes:
         got = self.new.get(unit)
         if got is None:
@@ -85,15 +81,12 @@ class Encoder:
         return got
 
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
+        other = _OTHER.search(text)
+        if _UNSAFE.search(text) if other else "<|" in text:
             return self._library(text)
-        head, *rest = self._fold(text).split(" ")
-        try:
-            ids = list(map(self.new.__getitem__, rest))
-        except KeyError:
-            own, new = self.__getitem__, self.new
-            ids = [new.get(u) or own(u) for u in rest]
-        return b"".join([self._head(head), *ids])
+        units = text.split(" ") if other else text.lower().split()
+        own = self.__getitem__
+        return b"".join([own(u) if got is None else got for u, got in zip(units, list(map(self.new.get, units)))])
 
 
 class Spaced(Encoder):
@@ -111,12 +104,20 @@ class Spaced(Encoder):
             return self[word]
         return self._ids(piece.encode().decode("latin-1").translate(_SHOWN))
 
-    def _fold(self, text: str) -> str:
-        return text
-
     def _head(self, unit: str) -> bytes:
         return b"".join([self._ids(p.encode().decode("latin-1").translate(_SHOWN)) for p in self.split(unit)])
 
+    def encode(self, text: str) -> bytes:
+        if _UNSAFE.search(text):
+            return self._library(text)
+        head, *rest = text.split(" ")
+        try:
+            ids = list(map(self.new.__getitem__, rest))
+        except KeyError:
+            own, new = self.__getitem__, self.new
+            ids = [new.get(u) or own(u) for u in rest]
+        return b"".join([self._head(head), *ids])
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, specials: bool = False) -> Encoder:

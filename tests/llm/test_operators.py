@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import random
 import re
 import zipfile
@@ -76,6 +77,16 @@ def test_ids_equal_the_library(name, specials):
     assert (fresh.token_to_id("<|endoftext|>") in ids) == specials
 
 
+def test_words_are_kept_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, whole = tokens.Encoder(path, json.load(open(path))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), tokens.encoder(path)._library
+    for text in ("One\ntwo one\n\n  TWO", " it's one's, 'S\n\n\u0130x \u0131 two! two7 7two two's", "a  b\n...\n. .x\u00d7y \u00f7", "\n", "a \u0301b\tc  d\u00a0e\nf"):
+        assert e.encode(text) == whole(text), repr(text)
+    e.new.clear()
+    e.encode("one\ntwo one  Two\ntwo.")
+    assert set(e.new) == {"one", "two", "two.", "."}
+
+
 def test_token_files(spark):
     path, folder = public_tokenizers.path("word_bpe_49k.json"), scratch.fresh(spark, "tokens")
     d = docs(spark, ODD).orderBy(F.rand(3))
