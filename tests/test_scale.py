@@ -77,3 +77,18 @@ def test_annotated_cells_are_summed_without_sorting(spark):
     seeds = features.seed_means(panels.annotated(panels.panel(spark, SF).withColumn("failure", F.col("rating").isNull().cast("int")), spark))
     assert "SortAggregate" not in plan(seeds) and "HashAggregate" in plan(seeds)
     assert {"total_params", "architecture"} <= set(panels.with_texts(seeds, spark).columns)
+
+
+def test_cells_of_lines_are_shuffled_by_order_and_patient_alone(spark):
+    own = plan(features.seed_means(panels.error_cells(spark, SF), ("patient", "piece", "num_trans_tokens")), "extended")
+    assert own.count("REPARTITION_BY_NUM") == 3 and set(re.findall(r"hashpartitioning\((\w+)#[^)]*\), ENSURE", own)) <= {"model"}
+
+
+def test_patients_in_pieces(spark, monkeypatch):
+    keys = ["session", "item", "model"]
+    whole = catalog.QUERIES["seed_features_with_totals"](spark, SF).toPandas().sort_values(keys).reset_index(drop=True)
+    monkeypatch.setattr(panels, "SESSIONS_OF_PIECE", 3)
+    cells = panels.error_cells(spark, SF)
+    assert cells.filter("piece >= 0").select("patient", "piece").distinct().count() > 10
+    cut = catalog.QUERIES["seed_features_with_totals"](spark, SF).toPandas().sort_values(keys).reset_index(drop=True)
+    assert whole.drop(columns="architecture").sub(cut.drop(columns="architecture")).abs().max().max() < 2e-5 and len(whole) > 5000
