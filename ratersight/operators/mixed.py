@@ -5,20 +5,24 @@ are eliminated level by level: a visit's equations are diagonal once its patient
 so what a patient leaves in the dense system is a product of its own sums, weighted by two variance ratios. A patient's sums by
 the size of its visits are all that is kept of it (`blocks`); Spark adds up what blocks leave, with the first and second
 derivatives by the ratios, for each step of the search.
+
+Rows are read in pieces of outer levels (`pieces`), so visits are added up where they are read: the design is not written, and
+visits are neither shuffled nor written. Of an outer level in several pieces, what each leaves is added up by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratersight.sources.stages import kept, small
+from ratersight.operators import pieces
+from ratersight.sources.stages import kept
 
 #: Levels of all dense factors and of a categorical term.
 MOST_LEVELS = 500
@@ -49,8 +53,9 @@ def formula(y: str, fixed: list[str], random: list[str]) -> str:
 class Fit:
     """What a fit has found. terms: (term, estimate, se), a level of a categorical term by the term's name and its own.
     levels: (factor, level, effect, se) of the dense factors. variances: by factor, and of the noise. gradient: the largest
-    derivative of the deviance by the logarithm of a variance ratio, but where a bound holds it. visits: sums of the nested
-    factors' levels, for nested_effects(). columns: (name, the design's column) of the fixed terms, in the solution's order."""
+    derivative of the deviance by the logarithm of a variance ratio, but where a bound holds it. rows: the design in pieces,
+    layout: its columns, blocks: sums of the outer levels, for nested_effects(). columns: (name, the design's column) of the
+    fixed terms, in the solution's order."""
 
     formula: str
     n: int
@@ -64,7 +69,9 @@ class Fit:
     gradient: float = 0.0
     deviance: float = 0.0
     slopes: dict[str, float] = field(default_factory=dict)
-    visits: DataFrame | None = None
+    rows: DataFrame | None = None
+    layout: Layout | None = None
+    blocks: DataFrame | None = None
     columns: list[tuple[str, Column]] = field(default_factory=list)
     nested: tuple[str, ...] = ()
 
@@ -73,6 +80,92 @@ class Fit:
         return any(v < 1e-5 * self.noise for v in self.variances.values())
 
 
+# --- rows in matrices ---------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Layout:
+    """Columns of the dense system: fixed terms, then a column for each level of each factor (its rows' column, its levels),
+    then y."""
+
+    fixed: list[str]
+    factors: list[tuple[str, list[str]]]
+
+    @property
+    def d(self) -> int:
+        return len(self.fixed) + sum(len(levels) for _, levels in self.factors) + 1
+
+    def matrix(self, rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((rows.num_rows, self.d))
+        for i, c in enumerate(self.fixed):
+            out[:, i] = rows.column(c).to_numpy()
+        at = len(self.fixed)
+        for c, levels in self.factors:
+            own = rows.column(c)
+            out[np.arange(len(out)), at + pc.index_in(own, value_set=pa.array(levels, own.type)).to_numpy()] = 1.0
+            at += len(levels)
+        out[:, -1] = rows.column("y").to_numpy()
+        return out
+
+
+def _numbers(flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+
+
+def _gram(layout: Layout) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cross-products of a task's rows, as (at, v)."""
+
+    def gram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((layout.d, layout.d))
+        for batch in batches:
+            x = layout.matrix(batch)
+            total += x.T @ x
+        yield _numbers(total.ravel())
+
+    return gram
+
+
+def _summed(df: DataFrame, n: int) -> np.ndarray:
+    """Numbers (at, v) added up by their places."""
+    out = np.zeros(n)
+    for r in df.groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
+    return out
+
+
+@dataclass
+class Visits:
+    """Inner levels in rows of whole pieces. order: the rows sorted by them; x: the design of these; begin: where each inner
+    level begins; size: its rows; of: the number of its piece. Without an inner factor a piece is its only inner level."""
+
+    order: np.ndarray
+    x: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    of: np.ndarray
+
+    @property
+    def sums(self) -> np.ndarray:
+        return np.add.reduceat(self.x, self.begin)
+
+
+def _visits(rows: pa.Table, starts: np.ndarray, layout: Layout, depth: int) -> Visits:
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+    if depth == 1:
+        return Visits(np.arange(len(of)), layout.matrix(rows), starts, np.diff(np.append(starts, len(of))), np.arange(len(starts)))
+    inner = pieces.codes(rows.column("nest1"))
+    order = np.lexsort((inner, of))
+    begin = pieces.changes(inner[order], of[order])
+    return Visits(order, layout.matrix(rows)[order], begin, np.diff(np.append(begin, len(of))), of[order][begin])
+
+
+def _binary(values: np.ndarray, many: np.ndarray) -> pa.Array:
+    """The bytes of values, of so many rows each."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    ends = np.append(0, np.cumsum(many) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 # --- what blocks leave in the dense system ---------------------------------------------------------------------------
 
 
@@ -125,15 +218,12 @@ def of_inner(outer_products: dict[int, tuple[int, np.ndarray]], b: float, d: int
     return Eliminated(matrix, log)
 
 
-def _parsed(rows: Iterable, d: int) -> Blocks:
-    """Blocks of rows (size, times, sums), each the bytes of an outer level's arrays."""
-    size, times, sums, many = [], [], [], []
-    for c, k, s in rows:
-        size.append(np.frombuffer(c, "<i8"))
-        times.append(np.frombuffer(k, "<i8"))
-        sums.append(np.frombuffer(s, "<f8"))
-        many.append(len(size[-1]))
-    return Blocks(np.concatenate(size), np.concatenate(times), np.concatenate(sums).reshape(-1, d), np.concatenate(([0], np.cumsum(many)[:-1])))
+def _parsed(columns: Iterable[list[bytes]], d: int) -> Blocks:
+    """Blocks of columns (size, times, sums), each the bytes of outer levels' arrays."""
+    size, times, sums = columns
+    many = np.array([len(x) // 8 for x in size], int)
+    number = lambda x, kind: np.frombuffer(b"".join(x), kind)
+    return Blocks(number(size, "<i8"), number(times, "<i8"), number(sums, "<f8").reshape(-1, d), np.append(0, np.cumsum(many)[:-1]))
 
 
 def _leave(a: float, b: float | None, d: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,54 +233,74 @@ def _leave(a: float, b: float | None, d: int) -> Callable[[Iterable[pa.RecordBat
         total = None
         for batch in batches:
             if batch.num_rows:
-                own = of_outer(_parsed(zip(*(c.to_pylist() for c in batch.columns)), d), a, b)
+                own = of_outer(_parsed((c.to_pylist() for c in batch.columns), d), a, b)
                 total = own if total is None else total + own
         if total is not None:
-            flat = np.concatenate([total.matrix.ravel(), total.log])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+            yield _numbers(np.concatenate([total.matrix.ravel(), total.log]))
 
     return leave
 
 
-def _pack(d: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (cells: a list of (size, times, i, v)) of outer levels as (size, times, sums) in bytes."""
+def _cells(layout: Layout, depth: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in pieces: a row for each piece (nest0, piece, size, times, sums), and last, with no nest0, a row for each size
+    of inner levels: their number and the sum of the outer products of their designs."""
+    names = ["nest0", "piece", "size", "times", "sums"]
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for rows, starts in pieces.whole(batches, "nest0"):
+            v = _visits(rows, starts, layout, depth)
+            sums = v.sums
+            if depth > 1:
+                for c in np.unique(v.size).tolist():
+                    own = sums[v.size == c]
+                    held = total.setdefault(c, [0, np.zeros((layout.d, layout.d))])
+                    held[0] += len(own)
+                    held[1] += own.T @ own
+            order = np.lexsort((v.size, v.of))
+            size, of = v.size[order], v.of[order]
+            begin = pieces.changes(size, of)
+            many = np.bincount(of[begin], minlength=len(starts))
+            parts = size[begin].astype("<i8"), np.diff(np.append(begin, len(of))).astype("<i8"), np.add.reduceat(sums[order], begin)
+            first = rows.take(pa.array(starts)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(first.column("nest0").to_pylist(), pa.string()), pa.array(first.column("piece").to_numpy(), pa.int32()), *(_binary(x, many) for x in parts)], names=names)
+        if total:
+            number = lambda x: pa.array([np.array([y], "<i8").tobytes() for y in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.string()), pa.nulls(len(total), pa.int32()), number(total), number(m for m, _ in total.values()), pa.array([g.tobytes() for _, g in total.values()], pa.binary())], names=names)
+
+    return cells
+
+
+def _merged(d: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (nest0, cells: a list of (size, times, sums), one for each piece) as (nest0, size, times, sums)."""
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
-            for cells in batch.column(0).to_pylist():
-                own = [(c, list(g)) for c, g in groupby(sorted(cells, key=lambda x: x["size"]), lambda x: x["size"])]
-                sums = np.zeros((len(own), d))
-                for row, (_, g) in zip(sums, own):
-                    for x in g:
-                        row[x["i"]] = x["v"]
-                out[0].append(np.array([c for c, _ in own], "<i8").tobytes())
-                out[1].append(np.array([g[0]["times"] for _, g in own], "<i8").tobytes())
-                out[2].append(sums.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["size", "times", "sums"])
+            out: list[list] = [[], [], []]
+            for cells in batch.column(1).to_pylist():
+                own = _parsed(([x[k] for x in cells] for k in ("size", "times", "sums")), d)
+                size, at = np.unique(own.size, return_inverse=True)
+                times, sums = np.zeros(len(size), "<i8"), np.zeros((len(size), d))
+                np.add.at(times, at, own.times)
+                np.add.at(sums, at, own.sums)
+                for held, x in zip(out, (size, times, sums)):
+                    held.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in out)], names=["nest0", "size", "times", "sums"])
 
-    return pack
+    return merged
 
 
 def _products(d: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (size, w: a list of (i, v)), by size: their number and the sum of the outer products of their vectors."""
+    """Rows (size, times, sums) of outer products, by size: their number and their sum."""
 
     def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            size = batch.column(0).to_numpy()
-            w = batch.column(1)
-            many = np.diff(w.offsets.to_numpy())
-            cells = w.flatten()
-            x = np.zeros((len(size), d))
-            x[np.repeat(np.arange(len(size)), many), cells.field("i").to_numpy()] = cells.field("v").to_numpy()
-            for c in np.unique(size).tolist():
-                own = x[size == c]
-                held = total.setdefault(c, [0, np.zeros((d, d))])
-                held[0] += len(own)
-                held[1] += own.T @ own
-        for c, (m, g) in total.items():
-            flat = np.append(g.ravel(), m)
+            for size, times, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                (c,), (m,) = np.frombuffer(size, "<i8").tolist(), np.frombuffer(times, "<i8")
+                held = total.setdefault(c, np.zeros(d * d + 1))
+                held += np.append(np.frombuffer(sums, "<f8"), m)
+        for c, flat in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), c)), pa.array(np.arange(len(flat))), pa.array(flat)], names=["size", "at", "v"])
 
     return products
@@ -356,6 +466,9 @@ def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nest
     the one they are compared with. Columns that depend on those before them go. Rows with a null in what is used are left
     out. The levels of `random` and of a text term are at most MOST_LEVELS, as they are in the dense system.
 
+    Rows with a column `piece` are taken as pieces.gathered() gives them for the outer nested factor, filtered or not; others are
+    written so first.
+
     A factor of `random` whose levels the fixed terms tell apart (fewer levels than such terms) keeps effects of 0 and is named
     in `dropped`, since no variance of it could be found. A simplex search gives a start, over the blocks of START_BLOCKS outer levels at most (those of the least hashes); Newton
     steps with exact derivatives of the deviance over all blocks, inside bounds, then lead to where its slopes vanish. With
@@ -370,51 +483,34 @@ def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nest
             design += [(f"{t}{v}", (F.col(t) == v).cast("double")) for v in _few(own, t)[1:]]
         else:
             design.append((t, F.col(t).cast("double")))
-    random_of, outer_of = [F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(random)], [F.col(f).cast("string").alias(f"nest{i}") for i, f in enumerate(nested)]
-    own = kept(own.select(*(c.alias(f"x{i}") for i, (_, c) in enumerate(design)), F.col(y).cast("double").alias("y"), *random_of, *outer_of), "design")
-
-    # cross-products of the fixed terms, and which of them are independent
-    p = len(design)
-    columns = [*(f"x{i}" for i in range(p)), "y"]
-    whole = own.agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
-    n = whole["n"]
-    products = np.array([[whole[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p + 1)] for i in range(p + 1)])
-    keep = _independent(products[:p, :p])
-    dropped |= {design[i][0]: "depends on the terms before it" for i in range(1, p) if i not in keep}
-    design, columns = [design[i] for i in keep], [*(f"x{i}" for i in keep), "y"]
-    products, p = products[np.ix_([*keep, p], [*keep, p])], len(keep)
-    names = formula(y, [t for t in fixed if t not in dropped and (t not in text or any(d.startswith(t) for d, _ in design))], [*random, *nested])
-    if n <= p:
-        return Fit(names, n, [], [], {}, 0.0, 0, False, dropped)
+    own = _design(own, [c for _, c in design], y, random, nested)
 
-    # the dense factors beside them
+    # cross-products of all columns, and which of the fixed terms are independent
     levels = [(f, v) for k, f in enumerate(random) for v in _few(own, f"f{k}")]
     if len(levels) > MOST_LEVELS:
         raise ValueError(f"more than {MOST_LEVELS} levels outside the nested factors")
-    at = {x: p + i for i, x in enumerate(levels)}
-    d = p + len(levels) + 1  # the last one is y
-    full = np.zeros((d, d))
-    place = np.array([*range(p), d - 1])
-    full[np.ix_(place, place)] = products
-    for k, f in enumerate(random):
-        for r in own.groupBy(F.col(f"f{k}").alias("level")).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns))).collect():
-            here = at[f, r.level]
-            full[here, place] = full[place, here] = [r[f"s{i}"] for i in range(p + 1)]
-            full[here, here] = r.s0
-        for g in range(k + 1, len(random)):
-            for r in own.groupBy(F.col(f"f{k}").alias("a"), F.col(f"f{g}").alias("b")).agg(F.count("*").alias("n")).collect():
-                a, b = at[f, r.a], at[random[g], r.b]
-                full[a, b] = full[b, a] = r.n
+    layout = Layout([f"x{i}" for i in range(len(design))], [(f"f{k}", [v for g, v in levels if g == f]) for k, f in enumerate(random)])
+    flat = own.select(*layout.fixed, *(f for f, _ in layout.factors), "y").mapInArrow(_gram(layout), "at long, v double")
+    full, p = _summed(flat, layout.d**2).reshape(layout.d, layout.d), len(design)
+    n = round(full[0, 0])
+    keep = _independent(full[:p, :p])
+    dropped |= {design[i][0]: "depends on the terms before it" for i in range(1, p) if i not in keep}
+    full = full[np.ix_([*keep, *range(p, layout.d)], [*keep, *range(p, layout.d)])]
+    design, layout, p = [design[i] for i in keep], Layout([f"x{i}" for i in keep], layout.factors), len(keep)
+    names = formula(y, [t for t in fixed if t not in dropped and (t not in text or any(c.startswith(t) for c, _ in design))], [*random, *nested])
+    if n <= p:
+        return Fit(names, n, [], [], {}, 0.0, 0, False, dropped)
+    d = layout.d  # the last one is y
 
     of = np.array([random.index(f) for f, _ in levels], int)
     many = np.bincount(of, minlength=len(random)).astype(float)
-    visits, local, everywhere = None, None, None
+    blocks, local, everywhere = None, None, None
     if nested:
-        visits, blocks, products_of = _nested(own, columns, random, at, p, d, len(nested))
-        outer, inner = visits.select(F.count_distinct("nest0")).first()[0], (sum(m for m, _ in products_of.values()),) * (len(nested) > 1)
+        blocks, products_of = _nested(own, layout, len(nested))
+        outer, inner = blocks.count(), (sum(m for m, _ in products_of.values()),) * (len(nested) > 1)
         many = np.concatenate([many, [outer], inner])
-        some = blocks.orderBy(F.xxhash64("sums", "size", "times")).limit(START_BLOCKS).select("size", "times", "sums").collect()
-        start_blocks = _parsed([tuple(r) for r in some], d)
+        some = blocks.orderBy(F.xxhash64("nest0")).limit(START_BLOCKS).select("size", "times", "sums").collect()
+        start_blocks = _parsed(zip(*some), d)
         share = outer / len(some)
 
         def local(a: float, b: float | None) -> Eliminated:
@@ -425,10 +521,7 @@ def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nest
         def everywhere(a: float, b: float | None) -> Eliminated:
             if share == 1:
                 return local(a, b)
-            sums = blocks.select("size", "times", "sums").mapInArrow(_leave(a, b, d), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-            flat = np.zeros(6 * d * d + 6)
-            for r in sums:
-                flat[r["at"]] = r.v
+            flat = _summed(blocks.select("size", "times", "sums").mapInArrow(_leave(a, b, d), "at long, v double"), 6 * d * d + 6)
             one = Eliminated(flat[:-6].reshape(6, d, d), flat[-6:])
             return one if b is None else one + of_inner(products_of, b, d)
 
@@ -461,49 +554,167 @@ def mixed_model(df: DataFrame, y: str, fixed: list[str], random: list[str], nest
         [(t, float(e), float(s)) for (t, _), e, s in zip(design, solution[:p], se[:p])],
         [(f, level, float(e), float(s)) for (f, level), e, s in zip(levels, solution[p:], se[p:])],
         {f: float(np.exp(v) * noise) for f, v in zip(factors, logs)}, noise, steps + more, gradient < 1e-6, dropped,
-        gradient, over_all.value(logs), dict(zip(factors, slopes.tolist())), visits, design, nested,
+        gradient, over_all.value(logs), dict(zip(factors, slopes.tolist())), own, layout, blocks, design, nested,
     )
 
 
-def _nested(own: DataFrame, columns: list[str], random: list[str], at: dict[tuple[str, str], int], p: int, d: int, depth: int) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, np.ndarray]]]:
-    """(visits, blocks, products): visits (nest0, nest1, size, w: a list of (i, v)) holds the sums of the design over each
-    inner level; blocks (size, times, sums) an outer level's; products, by size, inner levels' number and outer products.
+def _design(df: DataFrame, fixed: list[Column], y: str, random: list[str], nested: tuple[str, ...], *others: Column) -> DataFrame:
+    """A model's rows (x0, ..., y, f0, ..., nest0, nest1 and others), in pieces of the outer nested factor: as they are if df has
+    `piece`, as pieces.gathered() gives it, else written."""
+    cut = "piece" in df.columns and len(nested) > 0
+    names = {f"f{i}": f for i, f in enumerate(random)} | {f"nest{i}": f for i, f in enumerate(nested)}
+    own = df.select(*(c.alias(f"x{i}") for i, c in enumerate(fixed)), F.col(y).cast("double").alias("y"), *(F.col(f).cast("string").alias(n) for n, f in names.items()), *others, *(["piece"] if cut else []))
+    if cut:
+        return own
+    if not nested:
+        return kept(own, "design")
+    return pieces.gathered(pieces.marked(own, "nest0", "nest1" if len(nested) > 1 else None).repartition("nest0", "piece"), "nest0", "design")
 
-    The design's rows are dealt by level as they are and added up there, a column of sums for each of the design's: no row is
-    taken apart into its entries. Of one outer level no more is gathered than the design is wide, for each size."""
-    place = {c: (i if i < p else d - 1) for i, c in enumerate(columns)}
+
+def _nested(own: DataFrame, layout: Layout, depth: int) -> tuple[DataFrame, dict[int, tuple[int, np.ndarray]]]:
+    """(blocks, products): blocks (nest0, size, times, sums) holds an outer level's sums by the size of its inner levels;
+    products, by size, inner levels' number and outer products. All come from one pass over the rows; only what pieces of a cut
+    level leave is shuffled."""
     keys = [f"nest{i}" for i in range(depth)]
-    sums = {i: F.sum(c) for c, i in place.items()} | {i: F.count_if(F.col(f"f{random.index(g)}") == level).cast("double") for (g, level), i in at.items()}
-    wide = own.repartition(*keys).groupBy(*keys).agg(*(v.alias(f"s{i}") for i, v in sorted(sums.items())))
-    wide = kept(wide.withColumn("size", F.col("s0").cast("long")), "visits")
-    entry = lambda i: F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("v"))
-    # a fixed term's sum, whatever it is, and the levels that there are
-    held = lambda: F.concat(F.array(*(entry(i) for i in place.values())), F.filter(F.array(*(entry(i) for i in at.values())), lambda x: x["v"] > 0) if at else F.array().cast("array<struct<i:int,v:double>>"))
-    visits = wide.select(*keys, "size", held().alias("w"))
-    cells = wide.groupBy("nest0", "size").agg(F.count("*").alias("times"), *(F.sum(f"s{i}").alias(f"s{i}") for i in sums))
-    cells = cells.select("nest0", F.transform(held(), lambda x: F.struct(F.col("size").alias("size"), F.col("times").alias("times"), x["i"].alias("i"), x["v"].alias("v"))).alias("cells"))
-    blocks = kept(cells.groupBy("nest0").agg(F.flatten(F.collect_list("cells")).alias("cells")).select("cells").mapInArrow(_pack(d), "size binary, times binary, sums binary"), "blocks")
+    rows = own.select("piece", *keys, *layout.fixed, *(f for f, _ in layout.factors), "y")
+    cells = kept(rows.mapInArrow(_cells(layout, depth), "nest0 string, piece int, size binary, times binary, sums binary"), "cells")
+    blocks = cells.filter("piece < 0").select("nest0", "size", "times", "sums")
+    if not (cut := cells.filter("piece >= 0")).isEmpty():
+        cut = cut.groupBy("nest0").agg(F.collect_list(F.struct("size", "times", "sums")).alias("cells"))
+        cut = kept(cut.mapInArrow(_merged(layout.d), "nest0 string, size binary, times binary, sums binary"), "cut")  # few
+        blocks = blocks.union(cut)
     products: dict[int, tuple[int, np.ndarray]] = {}
     if depth > 1:
-        got = visits.select("size", "w").mapInArrow(_products(d), "size long, at long, v double").groupBy("size", "at").agg(F.sum("v").alias("v")).collect()
         flat: dict[int, np.ndarray] = {}
-        for r in got:
-            flat.setdefault(r["size"], np.zeros(d * d + 1))[r["at"]] = r.v
-        products = {c: (int(x[-1]), x[:-1].reshape(d, d)) for c, x in flat.items()}
-    return visits, blocks, products
+        got = cells.filter("nest0 is null").select("size", "times", "sums").mapInArrow(_products(layout.d), "size long, at long, v double")
+        for r in got.groupBy("size", "at").agg(F.sum("v").alias("v")).collect():
+            flat.setdefault(r["size"], np.zeros(layout.d**2 + 1))[r["at"]] = r.v
+        products = {c: (round(x[-1]), x[:-1].reshape(layout.d, layout.d)) for c, x in flat.items()}
+    return blocks, products
+
+
+# --- what a fit says of its rows -----------------------------------------------------------------------------------------
+
+
+@dataclass
+class Solution:
+    """What tasks need of a fit: the dense solution, the nested factors' ratios, the effects of outer levels in several pieces."""
+
+    layout: Layout
+    dense: np.ndarray
+    over: list[float]
+    cut: dict[str, float]
+
+    def of_visits(self, v: Visits, outer: list[str], cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(effects of pieces' outer levels, effects of inner levels)."""
+        left = v.sums @ np.append(-self.dense, 1.0)
+        f = np.ones(len(left)) if len(self.over) == 1 else self.over[1] / (v.size + self.over[1])
+        o = np.bincount(v.of, left * f, len(outer)) / (np.bincount(v.of, v.size * f, len(outer)) + self.over[0])
+        for k in np.flatnonzero(cut):
+            o[k] = self.cut[outer[k]]
+        return o, np.zeros(len(left)) if len(self.over) == 1 else (left - v.size * o[v.of]) / (v.size + self.over[1])
+
+
+def _outer_effects(layout: Layout, dense: np.ndarray, over: list[float]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(nest0, effect) of blocks (nest0, size, times, sums)."""
+
+    def effects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _parsed((c.to_pylist() for c in batch.columns[1:]), layout.d)
+                f = np.ones(len(own.size)) if len(over) == 1 else over[1] / (own.size + over[1])
+                left, many = (np.add.reduceat(x * f, own.begin) for x in (own.sums @ np.append(-dense, 1.0), own.size * own.times))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left / (many + over[0]))], names=["nest0", "effect"])
+
+    return effects
+
+
+def solution(fit: Fit, rows: DataFrame) -> tuple[Solution, DataFrame]:
+    """(what tasks need for these rows, (nest0, effect) of the outer levels)."""
+    dense = np.array([e for _, e, _ in fit.terms] + [e for _, _, e, _ in fit.levels])
+    over = [fit.noise / fit.variances[f] for f in fit.nested]
+    effects = fit.blocks.select("nest0", "size", "times", "sums").mapInArrow(_outer_effects(fit.layout, dense, over), "nest0 string, effect double")
+    cut = rows.filter("piece >= 0").select("nest0").distinct()  # one for each pieces.PIECE_ROWS rows at most
+    cut = {} if cut.isEmpty() else {r.nest0: r.effect for r in effects.join(F.broadcast(cut), "nest0").collect()}
+    return Solution(fit.layout, dense, over, cut), effects
+
+
+def _inner_effects(own: Solution) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def effects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in pieces.whole(batches, "nest0"):
+            v = _visits(rows, starts, own.layout, 2)
+            outer = rows.column("nest0").take(pa.array(starts)).to_pylist()
+            _, u = own.of_visits(v, outer, rows.column("piece").to_numpy()[starts] >= 0)
+            names = rows.select(["nest0", "nest1"]).take(pa.array(v.order[v.begin]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.to_pylist(), pa.string()) for c in names.columns), pa.array(u)], names=["nest0", "nest1", "effect"])
+
+    return effects
 
 
 def nested_effects(fit: Fit) -> tuple[DataFrame, DataFrame | None]:
     """((outer, effect), (outer, inner, effect)) of the nested factors' levels: what the dense solution leaves of their sums,
     shrunk by their ratios."""
-    solution = [e for _, e, _ in fit.terms] + [e for _, _, e, _ in fit.levels]
-    weights = F.array(*(F.lit(-x) for x in solution), F.lit(1.0))
-    left = fit.visits.withColumn("left", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["v"] * F.get(weights, x["i"])))
-    over = [fit.noise / fit.variances[f] for f in fit.nested]
-    if len(over) == 1:
-        return left.select(F.col("nest0").alias(fit.nested[0]), (F.col("left") / (F.col("size") + over[0])).alias("effect")), None
-    f = over[1] / (F.col("size") + over[1])
-    outer = left.groupBy("nest0").agg((F.sum(F.col("left") * f) / (F.sum(F.col("size") * f) + over[0])).alias("of_outer"))
-    outer = kept(outer, "outer")
-    inner = left.join(small(outer), "nest0").select(F.col("nest0").alias(fit.nested[0]), F.col("nest1").alias(fit.nested[1]), ((F.col("left") - F.col("size") * F.col("of_outer")) / (F.col("size") + over[1])).alias("effect"))
-    return outer.select(F.col("nest0").alias(fit.nested[0]), F.col("of_outer").alias("effect")), inner
+    own, outer = solution(fit, fit.rows)
+    outer = outer.withColumnRenamed("nest0", fit.nested[0])
+    if len(fit.nested) == 1:
+        return outer, None
+    inner = fit.rows.mapInArrow(_inner_effects(own), "nest0 string, nest1 string, effect double")
+    return outer, inner.withColumnsRenamed({"nest0": fit.nested[0], "nest1": fit.nested[1]})
+
+
+def _sides(own: Solution, factors: list[str], numbers: list[str], texts: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in pieces, (factor, equation, side, done): a row for each inner level and each outer one, and last the task's sums
+    for the fixed terms (n0, ..., then texts t0, ...) and the dense factors. What is not done is a part to be added up."""
+    layout = own.layout
+
+    def sides(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], float] = {}
+
+        def add(factor: str, equation: str, side: float) -> None:
+            sums[factor, equation] = sums.get((factor, equation), 0.0) + side
+
+        out = lambda factor, equation, side, done: pa.RecordBatch.from_arrays([pa.array([factor] * len(side)), pa.array(equation, pa.string()), pa.array(side), pa.array(done)], names=["factor", "equation", "side", "done"])
+        for rows, starts in pieces.whole(batches, "nest0"):
+            v = _visits(rows, starts, layout, 2)
+            outer, cut = rows.column("nest0").take(pa.array(starts)).to_pylist(), rows.column("piece").to_numpy()[starts] >= 0
+            o, u = own.of_visits(v, outer, cut)
+            fitted = v.x[:, :-1] @ own.dense + np.repeat(o[v.of] + u, v.size)
+            of_visit = np.add.reduceat(fitted, v.begin)
+            yield out(factors[-1], rows.column("nest1").take(pa.array(v.order[v.begin])).to_pylist(), of_visit + own.over[1] * u, np.ones(len(u), bool))
+            yield out(factors[-2], outer, np.bincount(v.of, of_visit, len(outer)) + np.where(cut, 0.0, own.over[0] * o), ~cut)
+            add("fixed", "(Intercept)", fitted.sum())
+            for i, t in enumerate(numbers):
+                add("fixed", t, rows.column(f"n{i}").to_numpy()[v.order] @ fitted)
+            for c, factor, prefix in [*((f"t{i}", "fixed", t) for i, t in enumerate(texts)), *((f"f{k}", f, "") for k, f in enumerate(factors[:-2]))]:
+                at = pieces.codes(rows.column(c))
+                first = np.unique(at, return_index=True)[1]
+                for level, side in zip(rows.column(c).take(pa.array(first)).to_pylist(), np.bincount(at[v.order], fitted)):
+                    add(factor, prefix + level, side)
+        if sums:
+            yield pa.concat_batches([out(f, [e], np.array([s]), [False]) for (f, e), s in sums.items()])
+
+    return sides
+
+
+def equations(df: DataFrame, fit: Fit, y: str, fixed: list[str]) -> DataFrame:
+    """(factor, equation, side): the left-hand sides of the mixed-model equations at a fit's estimates, from the rows that it
+    was made of. At a solution they are the right-hand sides: sums of y times a fixed term's column (a text term's level), and
+    sums of y over a random factor's level; those of terms that depend on others hold too. Factor `slope` has the deviance's
+    derivative by the logarithm of each variance ratio, 0 at the best ratios.
+
+    One pass over the rows in pieces; only sums of tasks are shuffled."""
+    dense, text = [f for f in fit.variances if f not in fit.nested], [t for t in fixed if df.schema[t].dataType.simpleString() == "string"]
+    numbers = [t for t in fixed if t not in text]
+    others = [*(F.col(t).cast("double").alias(f"n{i}") for i, t in enumerate(numbers)), *(F.col(t).alias(f"t{i}") for i, t in enumerate(text))]
+    rows = _design(df.dropna(subset=[y, *fixed, *fit.variances]), [c for _, c in fit.columns], y, dense, fit.nested, *others)
+    own, _ = solution(fit, rows)
+    factors = [*dense, *fit.nested]
+    at = Solution(Layout([f"x{i}" for i in range(len(fit.columns))], own.layout.factors), own.dense, own.over, own.cut)
+    schema = "factor string, equation string, side double"
+    out = kept(rows.mapInArrow(_sides(at, factors, numbers, text), schema + ", done boolean"), "sides")
+    # penalties: of the dense factors' levels, and of outer levels in several pieces
+    more = [(f, level, fit.noise / fit.variances[f] * e) for f, level, e, _ in fit.levels] + [(fit.nested[0], level, own.over[0] * e) for level, e in own.cut.items()]
+    spark = df.sparkSession
+    parts = out.filter("not done").select("factor", "equation", "side").union(spark.createDataFrame(more, schema)).groupBy("factor", "equation").agg(F.sum("side").alias("side"))
+    slopes = spark.createDataFrame([("slope", f, s) for f, s in fit.slopes.items()], schema)
+    return out.filter("done").select("factor", "equation", "side").union(parts).union(slopes)

@@ -20,8 +20,9 @@ from ratersight.sources.stages import kept
 PIECE_ROWS = 20_000
 
 
-def marked(df: DataFrame, outer: str, inner: str | None, rows: int = PIECE_ROWS) -> DataFrame:
+def marked(df: DataFrame, outer: str, inner: str | None, rows: int | None = None) -> DataFrame:
     """df with `piece`. Without inner levels, large outer ones are cut anywhere."""
+    rows = rows or PIECE_ROWS
     large = df.groupBy(F.col(outer).alias("large")).agg(F.ceil(F.count("*") / rows).alias("pieces")).filter("pieces > 1")
     large = kept(large, "large")  # a row for each `rows` rows of df at most
     if large.isEmpty():

@@ -1,10 +1,11 @@
 """The mixed model against dense fits, explicit dummies, finite differences and closed forms."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ratersight.operators import features, mixed
+from ratersight.operators import features, mixed, pieces
 
 
 def visits(spark, patients=12, seed=5):
@@ -141,3 +142,47 @@ def test_levels_outside_nested_factors_are_bounded(spark):
         mixed.mixed_model(df, "y", [], ["g"])
     empty = mixed.mixed_model(df.limit(0), "y", [], ["g"])
     assert empty.n == 0 and empty.terms == []
+
+
+def test_levels_in_pieces_equal_whole_ones(spark, monkeypatch):
+    df = visits(spark)
+    fit = lambda: mixed.mixed_model(df, "y", ["x", "kind"], ["m", "i"], ("p", "v"))
+    whole = fit()
+    monkeypatch.setattr(pieces, "PIECE_ROWS", 50)
+    cut = fit()
+    assert 0 < cut.rows.filter("piece >= 0").select("nest0").distinct().count() < cut.blocks.count() == 12
+    same(whole, cut)
+    for one, two in zip(mixed.nested_effects(whole), mixed.nested_effects(cut)):
+        one, two = ({tuple(r)[:-1]: r.effect for r in x.collect()} for x in (one, two))
+        assert one == pytest.approx(two, abs=1e-6)
+    sides = [{(r.factor, r.equation): r.side for r in features.equations(df, f, "y", ["x", "kind"]).collect()} for f in (whole, cut)]
+    assert sides[0] == pytest.approx(sides[1], abs=1e-5)
+    alone = mixed.mixed_model(df, "y", ["x"], ["m"], "p")
+    monkeypatch.undo()
+    same(alone, mixed.mixed_model(df, "y", ["x"], ["m"], "p"))
+
+
+def test_rows_in_pieces_are_not_written_again(spark, monkeypatch):
+    """No design and no visits: what is written of them is a row for each piece, and nothing is shuffled by level."""
+    own = pieces.gathered(pieces.marked(visits(spark).withColumnRenamed("p", "patient"), "patient", "v").repartition("patient", "piece"), "patient", "rows")
+    written, plans = [], []
+
+    def kept(df, label, real=mixed.kept):
+        written.append(label)
+        plans.append(df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return real(df, label)
+
+    monkeypatch.setattr(mixed, "kept", kept)
+    fit = mixed.mixed_model(own, "y", ["x", "kind"], ["m", "i"], ("patient", "v"))
+    assert fit.converged and written == ["cells"] and "Exchange" not in plans[0]
+
+
+def test_batches_of_whole_pieces():
+    rng = np.random.default_rng(3)
+    level = np.repeat([f"p{i // 2}" for i in range(40)], rng.integers(1, 30, 40))
+    table = pa.table({"nest0": level, "piece": pa.array(np.full(len(level), -1), pa.int32()), "at": np.arange(len(level))})
+    for size in (1, 7, 1000):
+        got = list(pieces.whole(iter(table.to_batches(max_chunksize=size)), "nest0"))
+        assert np.concatenate([t.column("at").to_numpy() for t, _ in got]).tolist() == list(range(len(level)))
+        own = [t.slice(a, b - a).column("nest0").to_pylist() for t, starts in got for a, b in zip(starts, np.append(starts[1:], t.num_rows))]
+        assert [len(x) for x in own] == [int((level == v).sum()) for v in dict.fromkeys(level)] and all(len(set(x)) == 1 for x in own)
