@@ -177,6 +177,21 @@ def test_rows_in_pieces_are_not_written_again(spark, monkeypatch):
     assert fit.converged and written == ["cells"] and "Exchange" not in plans[0]
 
 
+def test_equations_shuffle_sums_alone(spark, monkeypatch):
+    """Rows are not joined to their levels' effects; a pass over the rows in pieces leaves the sides."""
+    own = visits(spark).withColumnsRenamed({"p": "patient", "v": "visit"})
+    own = pieces.gathered(pieces.marked(own, "patient", "visit").repartition("patient", "piece"), "patient", "rows")
+    fit = mixed.mixed_model(own, "y", ["x", "less", "kind"], ["m", "i"], ("patient", "visit"))
+    written = []
+    for at in (mixed, features):
+        monkeypatch.setattr(at, "kept", lambda df, label, real=mixed.kept: written.append((label, df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))) or real(df, label))
+    out = features.equations(own, fit, "y", ["x", "less", "kind"])
+    assert [n for n, _ in written] == ["sides"] and "Exchange" not in written[0][1] and "Join" not in written[0][1]
+    got = {(r.factor, r.equation): r.side for r in out.collect()}
+    assert out.count() == len(got) == 4 + 1 + 2 + 3 + 9 + 4 + 12 + 30  # slopes, intercept, numbers, kinds, models, items, patients, visits
+    assert got["fixed", "less"] == pytest.approx(own.agg(F.sum(F.col("less") * F.col("y"))).first()[0], abs=1e-6)
+
+
 def test_batches_of_whole_pieces():
     rng = np.random.default_rng(3)
     level = np.repeat([f"p{i // 2}" for i in range(40)], rng.integers(1, 30, 40))
