@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratersight.operators import features, mixed, pieces
+from ratersight.plans import catalog
 
 
 def visits(spark, patients=12, seed=5):
@@ -184,7 +185,7 @@ def test_equations_shuffle_sums_alone(spark, monkeypatch):
     fit = mixed.mixed_model(own, "y", ["x", "less", "kind"], ["m", "i"], ("patient", "visit"))
     written = []
     for at in (mixed, features):
-        monkeypatch.setattr(at, "kept", lambda df, label, real=mixed.kept: written.append((label, df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))) or real(df, label))
+        monkeypatch.setattr(at, "kept", lambda df, label, real=at.kept: written.append((label, df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))) or real(df, label))
     out = features.equations(own, fit, "y", ["x", "less", "kind"])
     assert [n for n, _ in written] == ["sides"] and "Exchange" not in written[0][1] and "Join" not in written[0][1]
     got = {(r.factor, r.equation): r.side for r in out.collect()}
@@ -192,6 +193,15 @@ def test_equations_shuffle_sums_alone(spark, monkeypatch):
     assert got["fixed", "less"] == pytest.approx(own.agg(F.sum(F.col("less") * F.col("y"))).first()[0], abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["lme_item_blups", "lme_fixed_effects"])
+def test_a_query_writes_its_seeds_once(spark, monkeypatch, name):
+    written = []
+    for at in (mixed, features, pieces):
+        monkeypatch.setattr(at, "kept", lambda df, label, real=at.kept: written.append(label) or real(df, label))
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 10
+    assert sorted(written) == ["cells", "cells", "large", "seeds"]
+
+
 def test_batches_of_whole_pieces():
     rng = np.random.default_rng(3)
     level = np.repeat([f"p{i // 2}" for i in range(40)], rng.integers(1, 30, 40))
